@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality
+from . import bpe, chat, decontaminate, quality
 
-MODULES = (chat, quality, bpe)
+MODULES = (chat, quality, bpe, decontaminate)
 
 
 def queries() -> dict:
