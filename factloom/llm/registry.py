@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality
+from . import bpe, chat, decontaminate, quality, substring
 
-MODULES = (chat, quality, bpe, decontaminate)
+MODULES = (chat, quality, bpe, decontaminate, substring)
 
 
 def queries() -> dict:
