@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality, substring
+from . import bpe, chat, decontaminate, neardup, quality, substring
 
-MODULES = (chat, quality, bpe, decontaminate, substring)
+MODULES = (neardup, chat, quality, bpe, decontaminate, substring)
 
 
 def queries() -> dict:
