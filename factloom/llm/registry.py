@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, quality, substring
+from . import bpe, chat, decontaminate, neardup, quality, substring, toxicity
 
-MODULES = (neardup, chat, quality, bpe, decontaminate, substring)
+MODULES = (neardup, chat, quality, bpe, decontaminate, substring, toxicity)
 
 
 def queries() -> dict:
