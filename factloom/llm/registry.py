@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, quality, substring, toxicity
+from . import bpe, chat, decontaminate, neardup, quality, substring, tokenfiles, toxicity
 
-MODULES = (neardup, chat, quality, bpe, decontaminate, substring, toxicity)
+MODULES = (neardup, chat, quality, bpe, decontaminate, substring, toxicity, tokenfiles)
 
 
 def queries() -> dict:
