@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,7 @@ MEMORY_CHUNKS = 400_000
 MATRIX_CELLS = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NONE = np.int32(0x7FFFFFFF)
-#: White space before a word other than one plain space, where a text can't be cut in front of the last space only.
-_ODD_SPACE = regex.compile(r" (?=\s)|^ | $")
+_SPACED_SPACE = re.compile(r" \s")
 
 
 def _default_vocabulary() -> tuple[str, str]:
@@ -52,6 +53,73 @@ def _packed(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (np.concatenate(arrays) if arrays else np.empty(0, np.int32)), size, np.cumsum(size) - size
 
 
+class ChunkMemory:
+    """Ids of the chunks seen so far.
+
+    A text is cut before each space between two words, where the pattern always ends a match, so the chunks' ids join to the
+    text's. A text with other spacing (a space beside white space, or at an end) is one chunk.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.heads: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}  # without the space before them
+        self.n = 0
+        self.kept, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _codes(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[int]]:
+        codes: list[int] = []
+        names: list[str] = []
+        counts: list[int] = []
+        head, spaced = self.heads.get, self.spaced.get
+        for t in texts:
+            if not t:
+                counts.append(0)
+                continue
+            parts = [t] if t[0] == " " or t[-1] == " " or _SPACED_SPACE.search(t) else t.split(" ")
+            names += parts
+            counts.append(len(parts))
+            codes.append(head(parts[0], -1))
+            parts[0] = ""
+            codes.extend(map(spaced, parts, repeat(-1)))
+        return np.array(codes, np.int64), names, counts
+
+    def encode(self, texts: list[str], learn) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids); learn(chunks) gives (ids of all, number of each) of new chunks."""
+        # a head's place in codes is followed by one for the empty name that stands for it among the spaced ones
+        codes, names, counts = self._codes(texts)
+        per = np.array(counts, np.int64)
+        full = per[per > 0]
+        heads = np.cumsum(full + 1) - full - 1
+        keep = np.ones(len(codes), bool)
+        keep[heads + 1] = False
+        is_head = np.zeros(len(codes), bool)
+        is_head[heads] = True
+        codes, is_head = codes[keep], is_head[keep]
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            if self.n + len(missing) > self.limit:
+                self.forget()
+                missing = np.arange(len(codes))
+            lead = is_head[missing].tolist()
+            fresh_heads = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if h and names[i] not in self.heads))
+            fresh = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if not h))
+            flat, size = learn(fresh_heads + [" " + x for x in fresh])
+            self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.kept)])
+            self.size = np.concatenate([self.size, size])
+            self.kept = np.concatenate([self.kept, flat])
+            self.heads.update(zip(fresh_heads, range(self.n, self.n + len(fresh_heads)), strict=True))
+            self.spaced.update(zip(fresh, range(self.n + len(fresh_heads), self.n + len(fresh_heads) + len(fresh)), strict=True))
+            self.n += len(size)
+            codes[missing] = [self.heads[names[i]] if h else self.spaced[names[i]] for i, h in zip(missing.tolist(), lead, strict=True)]
+        size = self.size[codes]
+        sums = np.concatenate([[0], np.cumsum(size)])
+        return _gather(self.kept, self.at[codes], size), np.diff(sums[np.cumsum(per)], prepend=0)
+
+
 class PairTable:
     """Open-addressing table from a pair of ids to the id of their merge (its rank)."""
 
@@ -132,7 +200,7 @@ class ByteBPE:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.text_of = [str(i) for i in range(top)]
-        self.forget()
+        self.memory = ChunkMemory(MEMORY_CHUNKS)
 
     def _merge_rows(self, m: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
         """m: rows of byte ids padded at the right; the ids of each row after all merges."""
@@ -182,55 +250,21 @@ class ByteBPE:
                     out[i] = ids
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        """Pieces of a text whose encodings join to the text's: cut before a single space between two words, where the pattern always ends a match."""
-        if _ODD_SPACE.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def _learn(self, names: list[str]) -> None:
-        """Encodes the chunks and keeps their ids, one behind the other, in the flat store."""
-        found = [self.pattern.findall(c) for c in names]
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.pattern.findall(c) for c in chunks]
         distinct = list({p for f in found for p in f})
         code = {p: i for i, p in enumerate(distinct)}
-        ids = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in distinct])
-        pool, size, at = _packed(ids)
+        pool, size, at = _packed(self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in distinct]))
         each = np.array([len(f) for f in found], np.int64)
         codes = np.fromiter((code[p] for f in found for p in f), np.int64, int(each.sum()))
-        flat = _gather(pool, at[codes], size[codes])
         sums = np.concatenate([[0], np.cumsum(size[codes])])
-        ends = sums[np.cumsum(each)]
-        sizes = np.diff(ends, prepend=0)
-        for i, name in enumerate(names, len(self.memory)):
-            self.memory[name] = i
-        self.kept_at = np.concatenate([self.kept_at, ends - sizes + len(self.kept)])
-        self.kept_size = np.concatenate([self.kept_size, sizes])
-        self.kept = np.concatenate([self.kept, flat])
+        return _gather(pool, at[codes], size[codes]), np.diff(sums[np.cumsum(each)], prepend=0)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (int32) of each text."""
-        cut = [self._chunks(t) for t in texts]
-        memory = self.memory
-        codes = [memory.get(c, -1) for chunks in cut for c in chunks]
-        fresh = list(dict.fromkeys(c for c, k in zip((c for chunks in cut for c in chunks), codes, strict=True) if k < 0))
-        if fresh:
-            if len(memory) + len(fresh) > MEMORY_CHUNKS:
-                self.forget()
-                memory = self.memory
-                fresh = list(dict.fromkeys(c for chunks in cut for c in chunks))
-            self._learn(fresh)
-            codes = [memory[c] for chunks in cut for c in chunks]
-        which = np.array(codes, np.int64)
-        size = self.kept_size[which]
-        flat = _gather(self.kept, self.kept_at[which], size)
-        sums = np.concatenate([[0], np.cumsum(size)])
-        ends = sums[np.cumsum([len(chunks) for chunks in cut])]
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def forget(self) -> None:
-        self.memory: dict[str, int] = {}
-        self.kept, self.kept_at, self.kept_size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        flat, n = self.memory.encode(texts, self._learn)
+        ends = np.cumsum(n)
+        return [flat[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return _gather(self.flat, self.at[ids], self.size[ids]).tobytes()

@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .bpe import ChunkMemory, _groups
 
 END = 2
 MAGIC = b"WVMX0001"
@@ -54,8 +56,7 @@ class WaveletMatrix:
         a = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros, ones = [], [], []
         for level in range(width - 1, -1, -1):
-            bit = (a >> a.dtype.type(level)).astype(np.uint8) & 1
-            mask = bit.view(bool)
+            mask = (a & a.dtype.type(1 << level)) != 0
             packed = np.packbits(mask)
             pad = -len(packed) % (BLOCK // 8)
             per_block = np.bitwise_count(np.pad(packed, (0, pad)).reshape(-1, BLOCK // 8)).sum(axis=1)
@@ -186,54 +187,17 @@ class Encoder:
         with fs.open_input_stream(inner) as f:
             self.tokenizer = Tokenizer.from_str(f.read().decode())
         self.tokenizer.encode_special_tokens = True
-        self.forget()
+        self.memory = ChunkMemory(MEMORY_CHUNKS)
 
-    def forget(self) -> None:
-        self.memory: dict[str, int] = {}
-        self.kept, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, names: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        n = len(self.memory)
-        self.memory.update(zip(names, range(n, n + len(names)), strict=True))
-        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.kept)])
-        self.size = np.concatenate([self.size, size])
-        self.kept = np.concatenate([self.kept, flat])
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by END; number of each text's ids)."""
-        from .bpe import _ODD_SPACE
-
-        chunks: list[str] = []
-        counts = []
-        for t in texts:
-            if not t:
-                cut = []
-            elif _ODD_SPACE.search(t):
-                cut = [t]
-            else:
-                first, *rest = t.split(" ")
-                cut = [first, *(" " + x for x in rest)] if first else [t]
-            chunks += cut
-            counts.append(len(cut))
-        codes = list(map(self.memory.get, chunks))
-        fresh = list(dict.fromkeys(c for c, k in zip(chunks, codes, strict=True) if k is None))
-        if fresh:
-            if len(self.memory) + len(fresh) > MEMORY_CHUNKS:
-                self.forget()
-                fresh = list(dict.fromkeys(chunks))
-            self._learn(fresh)
-            codes = list(map(self.memory.__getitem__, chunks))
-        which = np.array(codes, np.int64)
-        size = self.size[which]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        flat = self.kept[np.arange(total) + np.repeat(self.at[which] - (end - size), size)]
-        sums = np.concatenate([[0], end])[np.cumsum(counts)] if counts else np.empty(0, np.int64)
-        n = np.diff(sums, prepend=0)
-        out = np.full(total + len(texts), END, np.int32)
+        flat, n = self.memory.encode(texts, self._learn)
+        out = np.full(len(flat) + len(texts), END, np.int32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(n + 1) - 1] = False
         out[keep] = flat
@@ -263,7 +227,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
         for b in batches:
             keys, at = b.column(0).to_pylist(), 0
-            for some in _text_groups(b.column(1)):
+            for some in _groups(b.column(1)):
                 ids, lengths = enc.encode(some)
                 if n and n + len(ids) > SHARD_TOKENS:
                     flush()
@@ -284,12 +248,6 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return C.cut(ordered.mapInArrow(run, "part long, piece long, path string, n_docs long, n_tokens long"))
 
 
-def _text_groups(column, limit: int = C.CHUNK_BYTES):
-    from .bpe import _groups
-
-    yield from _groups(column, limit)
-
-
 def read_files(shards: DataFrame, id_type: str = "long") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' files alone."""
     spark = shards.sparkSession
