@@ -322,25 +322,30 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {key}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """Encodes every text and decodes its ids in one pass: id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes every text and decodes its ids in one pass: id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
     path, pattern = vocabulary or _default_vocabulary()
 
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
     def run(batches):
         bpe = coder(path, pattern)
         for b in batches:
-            n: list[int] = []
-            ids_sha: list[str] = []
-            back_sha: list[str] = []
+            at = 0
             for some in _groups(b.column(1)):
-                for ids in bpe.encode_batch(some):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, ids.tolist())).encode()).hexdigest())
-                    back_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                every = bpe.encode_batch(some)
+                n = np.array([len(ids) for ids in every], np.int64)
+                ids_sha = [hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, ids.tolist())).encode()).hexdigest() for ids in every]
+                back_sha = [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in every]
+                columns = [b.column(0).slice(at, len(some)), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(every))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(some)
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    fields = f"id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields).withColumnRenamed("id", id_col)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

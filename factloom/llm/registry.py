@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, quality, substring, tokenfiles, toxicity, warc
+from . import bpe, chat, decontaminate, neardup, quality, sharding, substring, tokenfiles, toxicity, warc
 
-MODULES = (neardup, chat, quality, bpe, decontaminate, substring, toxicity, tokenfiles, warc)
+MODULES = (neardup, sharding, chat, quality, bpe, decontaminate, substring, toxicity, tokenfiles, warc)
 
 
 def queries() -> dict:
