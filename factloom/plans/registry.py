@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import joins
+
+MODULES: tuple = (joins,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
