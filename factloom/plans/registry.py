@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import joins
+from . import aggregates, joins, scalars, scores, windows
 
-MODULES: tuple = (joins,)
+MODULES: tuple = (scores, aggregates, joins, windows, scalars)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Intensity of every market."""
+    return scores.QUERIES["sc03_intensity"](spark, sf_dir)
 
 
 def queries() -> dict:
