@@ -6,11 +6,18 @@ random order. Documents with equal sets form a class first, so copies never meet
 classes into buckets; each bucket gives a star: edges from its centre to the others, never all pairs.
 
 A link is confirmed on the full sets (100 * intersection >= 75 * union). So that no link between two members is lost when
-the centre is not the right one, further rounds take other members as centres, eight times as many each round, for buckets
-whose members are still in different components: only pairs that are not joined yet are looked at, and pairs whose
-signature bits already rule out the threshold (five standard deviations or more) are passed over. Each member of such a bucket has been
-a centre once when the rounds end, so every pair that shares a bucket is joined or refuted. A pair at exactly 0.75 shares none
-of the 32 buckets with probability below 1e-5.
+the centre is not the right one, buckets whose members are still in different components are worked on further, exactly:
+
+* A shingle that no other component of the open buckets holds can't be shared with one. If the others bound a member's
+  similarity below 0.75, all its open pairs are refuted and it leaves its bucket.
+* If only the shingles of more than RARE holders bound it so, a link must share a rarer one: the member is compared with the
+  few holders of its rare shingles and leaves.
+* What is left after PEELS such (linear) steps goes through rounds of further stars, sixteen times as many centres each round, over
+  pairs that aren't joined, that the first bound leaves possible and that the signature bits don't rule out (five standard
+  deviations or more). Each member has left or been a centre once when the rounds end.
+
+So every pair that shares a bucket is joined or refuted. A pair at exactly 0.75 shares none of the 32 buckets with probability
+below 1e-5.
 
 Defined cases: null or blank text is an empty set and linked with nothing; repeated rows are copies of one class; rows of
 one doc_id share that id as their node; other columns are ignored; an empty table gives an empty result.
@@ -34,7 +41,11 @@ BANDS, ROWS = 32, 4
 #: 256, with a deviation of 5.3 for large sets; small sets fill fewer bins, which copy one another, so it is about 10
 #: there. Still smaller sets are never passed over.
 MOST_BITS = ((512, 66), (128, 84))
-GROWTH = 8
+GROWTH = 16
+#: How often members out of reach leave before centres are taken.
+PEELS = 4
+#: Holders of a rare shingle at most.
+RARE = 32
 
 _rng = np.random.default_rng(20240501)
 _ORDER = np.array([_rng.permutation(BINS) for _ in range(BINS)])
@@ -154,13 +165,18 @@ class _Links:
     def __init__(self, docs: DataFrame):
         self.docs, self.sets, self.roots = docs, None, None
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Verifies (a, b) pairs of classes and joins their components."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def fetch(self, ids: DataFrame) -> None:
+        """Reads the sets of ids that aren't held yet."""
         if self.sets is not None:
-            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+            ids = C.cut(ids.join(self.sets.select("id"), "id", "left_anti"))
+            if ids.isEmpty():
+                return
         more = C.cut(_sets_of(self.docs, ids))
         self.sets = more if self.sets is None else self.sets.unionByName(more)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Verifies (a, b) pairs of classes and joins their components."""
+        self.fetch(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         links = _linked(pairs, self.sets)
         if self.roots is None:
             self.roots = components(links)
@@ -170,11 +186,61 @@ class _Links:
         moved = self.roots.join(joined.select(F.col("v").alias("root"), F.col("root").alias("now")), "root", "left").select("v", F.coalesce("now", "root").alias("root"))
         self.roots = C.cut(moved.unionByName(joined))
 
+    def reach(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Over the sets of the given ids: (id, u, v) and (h, id, root) of rare shingles.
+
+        u: shingles that only the id's own component holds; v: those and the rare ones, of RARE holders at most.
+        """
+
+        def shingles(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
+                    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                    n = [len(x) for x in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in (0, 1))], ["h", "id", "root"])
+
+        self.fetch(ids)
+        held = self.rooted(self.sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "id").select("id", F.col("id_root").alias("root"), "s")
+        each = held.mapInArrow(shingles, "h long, id long, root long")
+        kinds = each.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
+        kinds = kinds.where((F.col("r0") == F.col("r1")) | (F.col("k") <= RARE)).select("h", (F.col("r0") == F.col("r1")).alias("own"))
+        few = C.cut(each.join(kinds, "h"))
+        return few.groupBy("id").agg(F.count_if("own").alias("u"), F.count(F.lit(1)).alias("v")), few.where("NOT own").select("h", "id", "root")
+
     def rooted(self, df: DataFrame, column: str) -> DataFrame:
         named = self.roots.withColumnsRenamed({"v": column, "root": "_r"})
         return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce("_r", column)).drop("_r")
 
 
+def _mixed(links: _Links, open_: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of buckets whose members are in different components, and their number."""
+    C.free_shuffles(open_.sparkSession)
+    now = links.rooted(open_, "id")
+    mixed = now.groupBy("key").agg(F.min("id_root").alias("r0"), F.max("id_root").alias("r1")).where("r0 <> r1").select("key")
+    out = C.cut(now.join(mixed, "key", "left_semi").select(*open_.columns))
+    return out, out.count()
+
+
+def _peeled(links: _Links, open_: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of members that aren't settled by what they can share with other components."""
+    counts, rare = links.reach(open_.select("id").distinct())
+    now = open_.drop("m").join(counts, "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).withColumn("common", F.col("n") - F.coalesce("v", F.lit(0)))
+    least = open_.groupBy("key").agg(F.min("n").alias("n_min"))
+    # a partner has n_min shingles at least, and no fewer than what is shared
+    can = lambda m: F.col(m) * 100 >= (F.col("n") + F.greatest("n_min", m) - F.col(m)) * THRESHOLD_PCT
+    now = C.cut(now.join(least, "key").where(can("m")).withColumn("stays", can("common")).select(*open_.columns, "stays"))
+    some = now.where("NOT stays").groupBy("id").agg(F.min("m").alias("m"))
+    left = rare.join(some, "id").join(facts, "id").alias("x")
+    right = rare.join(facts, "id").alias("y")
+    reachable = F.col("x.m") * 100 >= (F.col("x.n") + F.col("y.n") - F.col("x.m")) * THRESHOLD_PCT
+    pairs = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & reachable & _possible("x", "y"))
+    pairs = C.cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    if not pairs.isEmpty():
+        links.confirm(pairs)
+    return now.where("stays").select(*open_.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     spark = docs.sparkSession
@@ -193,25 +259,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.confirm(C.cut(near.select("a", "b")))
     share = (F.xxhash64("key", "id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     low, most = 0.0, 1.0
-    open_ = shared.select("key", "id", "size", share.alias("turn"))
-    while True:
-        # members whose turn (a fixed random number) lies in [low, most) / size are this round's centres
-        C.free_shuffles(spark)
-        now = links.rooted(open_, "id")
-        mixed = now.groupBy("key").agg(F.min("id_root").alias("r0"), F.max("id_root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = C.cut(now.join(mixed, "key", "left_semi").select("key", "id", "size", "turn"))
-        if open_.isEmpty():
+    open_ = shared.join(facts.select("id", "n"), "id").select("key", "id", "size", share.alias("turn"), "n", F.col("n").alias("m"))
+    open_, n = _mixed(links, open_)
+    for _ in range(PEELS):
+        if not n:
+            break
+        before = n
+        open_ = _peeled(links, open_, facts)
+        open_, n = _mixed(links, open_)
+        if n > 0.8 * before:
             break
-        most = low + 1 if low == 0 else most * GROWTH
-        held = links.rooted(open_, "id").join(facts, "id")
+    low, most = 0.0, 1.0
+    while n:
+        # members whose turn (a fixed random number) lies in [low, most) / size are this round's centres
+        held = links.rooted(open_, "id").join(facts.drop("n"), "id")
         centre = held.where((F.col("turn") * F.col("size") >= low) & (F.col("turn") * F.col("size") < most)).alias("x")
-        pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & _possible("x", "y"))
+        shared_most = F.least("x.m", "y.m")
+        reachable = shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * THRESHOLD_PCT
+        pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & reachable & _possible("x", "y"))
         pairs = C.cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
         if not pairs.isEmpty():
             links.confirm(pairs)
         # a bucket is done when its last member has been a centre
-        open_ = open_.where(F.col("size") > most)
-        low = most
+        open_, n = _mixed(links, open_.where(F.col("size") > most))
+        low, most = most, most * GROWTH
     ids = classes.select("n", "f1", "f2", F.col("id").alias("class_id"))
     out = signed.select("doc_id", "n", "f1", "f2").join(ids, ["n", "f1", "f2"], "left")
     out = links.rooted(out, "class_id")
