@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Distinct chunks whose ids a worker keeps; beyond it the memory is emptied and filled anew (results don't change).
-MEMORY_CHUNKS = 400_000
+#: Distinct chunks whose ids a worker keeps; beyond it the half that was met least goes (results don't change).
+MEMORY_CHUNKS = 800_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -69,6 +69,21 @@ class ChunkMemory:
         self.spaced: dict[str, int] = {}  # without the space before them
         self.n = 0
         self.kept, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met = np.empty(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps the chunks met most, half the limit of them, and halves their counts."""
+        keep = np.zeros(self.n, bool)
+        keep[np.argsort(self.met, kind="stable")[-(self.limit // 2) :]] = True
+        new = (np.cumsum(keep) - 1).tolist()
+        stays = keep.tolist()
+        self.heads = {c: new[k] for c, k in self.heads.items() if stays[k]}
+        self.spaced = {c: new[k] for c, k in self.spaced.items() if stays[k]}
+        self.kept = _gather(self.kept, self.at[keep], self.size[keep])
+        self.size = self.size[keep]
+        self.at = np.cumsum(self.size) - self.size
+        self.met = self.met[keep] // 2
+        self.n = len(self.size)
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[int]]:
         codes: list[int] = []
@@ -90,6 +105,8 @@ class ChunkMemory:
     def encode(self, texts: list[str], learn) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids); learn(chunks) gives (ids of all, number of each) of new chunks."""
         # a head's place in codes is followed by one for the empty name that stands for it among the spaced ones
+        if self.n > self.limit:
+            self._shrink()
         codes, names, counts = self._codes(texts)
         per = np.array(counts, np.int64)
         full = per[per > 0]
@@ -101,9 +118,6 @@ class ChunkMemory:
         codes, is_head = codes[keep], is_head[keep]
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            if self.n + len(missing) > self.limit:
-                self.forget()
-                missing = np.arange(len(codes))
             lead = is_head[missing].tolist()
             fresh_heads = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if h and names[i] not in self.heads))
             fresh = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if not h))
@@ -114,7 +128,9 @@ class ChunkMemory:
             self.heads.update(zip(fresh_heads, range(self.n, self.n + len(fresh_heads)), strict=True))
             self.spaced.update(zip(fresh, range(self.n + len(fresh_heads), self.n + len(fresh_heads) + len(fresh)), strict=True))
             self.n += len(size)
+            self.met = np.concatenate([self.met, np.zeros(len(size), np.int64)])
             codes[missing] = [self.heads[names[i]] if h else self.spaced[names[i]] for i, h in zip(missing.tolist(), lead, strict=True)]
+        self.met += np.bincount(codes, minlength=self.n)
         size = self.size[codes]
         sums = np.concatenate([[0], np.cumsum(size)])
         return _gather(self.kept, self.at[codes], size), np.diff(sums[np.cumsum(per)], prepend=0)

@@ -16,6 +16,7 @@ each fits a task; a file is written under a name of its own and counts only if i
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from itertools import chain
@@ -32,9 +33,11 @@ from .bpe import ChunkMemory, _groups
 END = 2
 MAGIC = b"WVMX0001"
 BLOCK = 512
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 800_000
+#: Chunks handed to the library at once: its encodings are large.
+LEARN_CHUNKS = 2048
 #: Tokens of a shard at most; a task with more writes several.
-SHARD_TOKENS = 1 << 24
+SHARD_TOKENS = 1 << 22
 
 
 def _vocabulary() -> str:
@@ -181,6 +184,7 @@ class Encoder:
     """The library's encoder with a memory of chunks: texts are cut before a single space between two words, where its pattern always ends a match."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
         fs, inner = _fs(path)
@@ -190,7 +194,7 @@ class Encoder:
         self.memory = ChunkMemory(MEMORY_CHUNKS)
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = [x.ids for i in range(0, len(chunks), LEARN_CHUNKS) for x in self.tokenizer.encode_batch_fast(chunks[i : i + LEARN_CHUNKS], add_special_tokens=False)]
         size = np.array([len(x) for x in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
