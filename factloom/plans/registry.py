@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, pages, scalars, scores, state, windows
+from . import aggregates, joins, pages, relations, scalars, scores, state, windows
 
-MODULES: tuple = (scores, aggregates, joins, windows, scalars, state, pages)
+MODULES: tuple = (scores, aggregates, joins, windows, scalars, state, relations, pages)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
