@@ -55,6 +55,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a broadcast side at most (narrow rows of ids and counts, a few MB); larger sides are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+#: Rows of a partition of a small checkpointed frame.
+PART_ROWS = 20_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A reliable checkpoint of df and its number of rows; few rows are read again by few tasks."""
+    out = cut(df)
+    n = out.count()
+    return (out.coalesce(n // PART_ROWS + 1) if n < 10 * PART_ROWS else out), n
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if so many rows (counted, or a bound) are few."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver's JVM find unreachable plans, so that Spark deletes their shuffle files now."""
     import gc
@@ -63,6 +83,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """One large object at a time for each Python worker: what another operator left there goes first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, in place."""
     x ^= x >> _U(30)

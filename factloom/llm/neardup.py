@@ -12,7 +12,7 @@ the centre is not the right one, buckets whose members are still in different co
   similarity below 0.75, all its open pairs are refuted and it leaves its bucket.
 * If only the shingles of more than RARE holders bound it so, a link must share a rarer one: the member is compared with the
   few holders of its rare shingles and leaves.
-* What is left after PEELS such (linear) steps goes through rounds of further stars, sixteen times as many centres each round, over
+* What is left after PEELS such (linear) steps goes through rounds of further stars, 64 times as many centres each round, over
   pairs that aren't joined, that the first bound leaves possible and that the signature bits don't rule out (five standard
   deviations or more). Each member has left or been a centre once when the rounds end.
 
@@ -41,9 +41,9 @@ BANDS, ROWS = 32, 4
 #: 256, with a deviation of 5.3 for large sets; small sets fill fewer bins, which copy one another, so it is about 10
 #: there. Still smaller sets are never passed over.
 MOST_BITS = ((512, 66), (128, 84))
-GROWTH = 16
+GROWTH = 64
 #: How often members out of reach leave before centres are taken.
-PEELS = 4
+PEELS = 2
 #: Holders of a rare shingle at most.
 RARE = 32
 
@@ -163,28 +163,32 @@ class _Links:
     """Confirmed components so far: (v, root)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs, self.sets, self.roots = docs, None, None
+        self.docs, self.sets, self.roots, self.n = docs, None, None, 0
 
     def fetch(self, ids: DataFrame) -> None:
         """Reads the sets of ids that aren't held yet."""
         if self.sets is not None:
-            ids = C.cut(ids.join(self.sets.select("id"), "id", "left_anti"))
-            if ids.isEmpty():
-                return
-        more = C.cut(_sets_of(self.docs, ids))
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        ids, n = C.counted(ids)
+        if n:
+            more = C.cut(_sets_of(self.docs, C.sized(ids, n)))
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Verifies (a, b) pairs of classes and joins their components."""
         self.fetch(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        links = _linked(pairs, self.sets)
+        if self.sets is None:
+            return
+        links, n = C.counted(_linked(pairs, self.sets))
+        if not n:
+            return
         if self.roots is None:
-            self.roots = components(links)
+            self.roots, self.n = components(links)
             return
         ends = self.rooted(self.rooted(links, "a"), "b")
-        joined = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-        moved = self.roots.join(joined.select(F.col("v").alias("root"), F.col("root").alias("now")), "root", "left").select("v", F.coalesce("now", "root").alias("root"))
-        self.roots = C.cut(moved.unionByName(joined))
+        joined, n = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        moved = self.roots.join(C.sized(joined.select(F.col("v").alias("root"), F.col("root").alias("now")), n), "root", "left").select("v", F.coalesce("now", "root").alias("root"))
+        self.roots, self.n = C.counted(moved.unionByName(joined))
 
     def reach(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Over the sets of the given ids: (id, u, v) and (h, id, root) of rare shingles.
@@ -201,6 +205,8 @@ class _Links:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in (0, 1))], ["h", "id", "root"])
 
         self.fetch(ids)
+        if self.sets is None:
+            self.sets = self.docs.sparkSession.createDataFrame([], "id long, s binary")
         held = self.rooted(self.sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "id").select("id", F.col("id_root").alias("root"), "s")
         each = held.mapInArrow(shingles, "h long, id long, root long")
         kinds = each.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
@@ -209,7 +215,9 @@ class _Links:
         return few.groupBy("id").agg(F.count_if("own").alias("u"), F.count(F.lit(1)).alias("v")), few.where("NOT own").select("h", "id", "root")
 
     def rooted(self, df: DataFrame, column: str) -> DataFrame:
-        named = self.roots.withColumnsRenamed({"v": column, "root": "_r"})
+        if self.roots is None:
+            return df.withColumn(f"{column}_root", F.col(column))
+        named = C.sized(self.roots.withColumnsRenamed({"v": column, "root": "_r"}), self.n)
         return df.join(named, column, "left").withColumn(f"{column}_root", F.coalesce("_r", column)).drop("_r")
 
 
@@ -218,13 +226,12 @@ def _mixed(links: _Links, open_: DataFrame) -> tuple[DataFrame, int]:
     C.free_shuffles(open_.sparkSession)
     now = links.rooted(open_, "id")
     mixed = now.groupBy("key").agg(F.min("id_root").alias("r0"), F.max("id_root").alias("r1")).where("r0 <> r1").select("key")
-    out = C.cut(now.join(mixed, "key", "left_semi").select(*open_.columns))
-    return out, out.count()
+    return C.counted(now.join(mixed, "key", "left_semi").select(*open_.columns))
 
 
 def _peeled(links: _Links, open_: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of members that aren't settled by what they can share with other components."""
-    counts, rare = links.reach(open_.select("id").distinct())
+    counts, rare = links.reach(C.counted(open_.select("id").distinct())[0])
     now = open_.drop("m").join(counts, "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).withColumn("common", F.col("n") - F.coalesce("v", F.lit(0)))
     least = open_.groupBy("key").agg(F.min("n").alias("n_min"))
     # a partner has n_min shingles at least, and no fewer than what is shared
@@ -235,8 +242,8 @@ def _peeled(links: _Links, open_: DataFrame, facts: DataFrame) -> DataFrame:
     right = rare.join(facts, "id").alias("y")
     reachable = F.col("x.m") * 100 >= (F.col("x.n") + F.col("y.n") - F.col("x.m")) * THRESHOLD_PCT
     pairs = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & reachable & _possible("x", "y"))
-    pairs = C.cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    if not pairs.isEmpty():
+    pairs, n = C.counted(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    if n:
         links.confirm(pairs)
     return now.where("stays").select(*open_.columns)
 
@@ -247,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = C.cut(_sign(d))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2")
-    classes = C.cut(classes.agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("bands", "c0", "c1", "c2", "c3"))))
-    facts = classes.select("id", "n", "c0", "c1", "c2", "c3")
+    classes, n_classes = C.counted(classes.agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("bands", "c0", "c1", "c2", "c3"))))
+    facts = C.sized(classes.select("id", "n", "c0", "c1", "c2", "c3"), n_classes)
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = C.cut(members.join(buckets, "key"))
@@ -256,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), (F.col("b") == F.col("y.id")) & _possible("x", "y"))
     links = _Links(d)
-    links.confirm(C.cut(near.select("a", "b")))
+    links.confirm(C.counted(near.select("a", "b"))[0])
     share = (F.xxhash64("key", "id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     low, most = 0.0, 1.0
     open_ = shared.join(facts.select("id", "n"), "id").select("key", "id", "size", share.alias("turn"), "n", F.col("n").alias("m"))
@@ -277,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared_most = F.least("x.m", "y.m")
         reachable = shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * THRESHOLD_PCT
         pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & reachable & _possible("x", "y"))
-        pairs = C.cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-        if not pairs.isEmpty():
+        pairs, k = C.counted(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+        if k:
             links.confirm(pairs)
         # a bucket is done when its last member has been a centre
         open_, n = _mixed(links, open_.where(F.col("size") > most))
