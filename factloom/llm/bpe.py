@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Distinct chunks whose ids a worker keeps; beyond it the half that was met least goes (results don't change).
-MEMORY_CHUNKS = 800_000
+MEMORY_CHUNKS = 400_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -286,9 +285,8 @@ class ByteBPE:
         return _gather(self.flat, self.at[ids], self.size[ids]).tobytes()
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+    return C.kept(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def _groups(texts: pa.Array, limit: int = C.CHUNK_BYTES):

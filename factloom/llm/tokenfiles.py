@@ -33,7 +33,7 @@ from .bpe import ChunkMemory, _groups
 END = 2
 MAGIC = b"WVMX0001"
 BLOCK = 512
-MEMORY_CHUNKS = 800_000
+MEMORY_CHUNKS = 600_000
 #: Chunks handed to the library at once: its encodings are large.
 LEARN_CHUNKS = 2048
 #: Tokens of a shard at most; a task with more writes several.
@@ -208,9 +208,6 @@ class Encoder:
         return out, n + 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Writes the shards; returns (part, piece, path, n_docs, n_tokens), in order of part and piece, of those that count."""
     vocabulary = vocabulary or _vocabulary()
@@ -219,7 +216,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
+        enc = C.kept(("encoder", vocabulary), lambda: Encoder(vocabulary))
         done, held, sizes, names, n = [], [], [], [], 0
 
         def flush():

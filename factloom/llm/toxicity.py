@@ -29,7 +29,7 @@ LEXICON = 2_000
 #: A word is a marker if so many toxic training texts hold it at least, as a number and a share, and with such a weight.
 LEAST_COUNT, LEAST_SHARE, LEAST_WEIGHT = 4, 0.01, 2.5
 SMOOTHING = 1.0
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 #: What a sign may stand for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
@@ -154,15 +154,8 @@ class Reader:
         return out
 
 
-_readers: dict[int, Reader] = {}
-
-
 def _reader(counts) -> Reader:
-    key = zlib.crc32(counts.value.tobytes())
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(counts.value)
-    return _readers[key]
+    return C.kept(("reader", zlib.crc32(counts.value.tobytes())), lambda: Reader(counts.value))
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
