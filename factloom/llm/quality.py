@@ -108,5 +108,24 @@ def op5_repetition_coverage(spark, sf_dir: str) -> DataFrame:
     return repetition_coverage(C.documents(spark, sf_dir))
 
 
+_KS = [3, *MAX_COVERAGE]
+_CHARS = {k: f"coalesce(any_value(x.chars) FILTER (WHERE x.k = {k}), 0)::BIGINT" for k in MAX_COVERAGE}
+ORACLE = {
+    "op5_repetition_coverage": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda v: v <> '') AS w FROM d),
+s AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest({_KS}) AS k) WHERE len(w) >= k)),
+m AS (SELECT r, k, g FROM s GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, k, unnest(range(i, i + k)) AS p FROM s SEMI JOIN m USING (r, k, g)),
+x AS (SELECT c.r, c.k, count(*) AS n, sum(length(w.w[p])) AS chars FROM c JOIN w USING (r) GROUP BY 1, 2),
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS rn FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+u AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'))) AS chars FROM l WHERE rn > 1 AND regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY 1),
+a AS (SELECT w.r, any_value(w.doc_id) AS doc_id, any_value(len(w.w))::BIGINT AS n_words, coalesce(any_value(length(array_to_string(w.w, ''))), 0)::BIGINT AS word_chars,
+  any_value(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(any_value(u.n), 0)::BIGINT AS n_dup_lines, coalesce(any_value(x.n) FILTER (WHERE x.k = 3), 0)::BIGINT AS n_repeat_words,
+  coalesce(any_value(u.chars), 0)::BIGINT AS dup_line_chars, {", ".join(f"{v} AS dup_{k}gram_chars" for k, v in _CHARS.items())}
+  FROM w LEFT JOIN x USING (r) LEFT JOIN u USING (r) GROUP BY w.r)
+SELECT * EXCLUDE (r), n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_WORDS_PCT} AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_WORDS_PCT}) AND dup_line_chars <= word_chars * {MAX_LINE_COVERAGE} AND {" AND ".join(f"dup_{k}gram_chars <= word_chars * {v}" for k, v in MAX_COVERAGE.items())} AS kept
+FROM a"""
+}
 QUERIES = {"op5_repetition_coverage": op5_repetition_coverage}
-ORACLE = {}
