@@ -350,3 +350,68 @@ def fn50(t):
 @q("fn36_whole_phrase", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])(of the|in der)([^a-z0-9_]|$)')")
 def fn36(t):
     return t.table("documents").where(F.lower("text").rlike(r"(?<![a-z0-9_])(?:of the|in der)(?![a-z0-9_])")).select("doc_id")
+
+
+@q("fn10_doi", "SELECT part_id, '10.1/' || lower(label) AS doi FROM parts", "parts")
+def fn10(t):
+    return t.parts.select("part_id", T.doi(F.concat(F.lit("https://doi.org/10.1/"), "label")).alias("doi"))
+
+
+@q("fn25_published_cascade", "SELECT page_id, coalesce(nullif(regexp_extract(html, 'published_time\" content=\"([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(html, '\"datePublished\":\"([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(url, '/([0-9]{4}-[0-9]{2}-[0-9]{2})/', 1), '')) AS published FROM pages")
+def fn25(t):
+    day = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    return t.table("pages").select("page_id", F.coalesce(found("html", 'published_time" content="' + day), found("html", '"datePublished":"' + day), found("url", f"/{day}/")).alias("published"))
+
+
+@q("fn35_alias", "SELECT actor_id, CASE WHEN length(x) >= 4 THEN x END AS alias FROM (SELECT actor_id, trim(regexp_replace(regexp_replace(lower(name || ' (' || country || ') GmbH'), '\\([^)]*\\)', ' ', 'g'), '(^| )(gmbh|sa|ltd|inc)( |$)', ' ', 'g')) AS x FROM actors)", "actors")
+def fn35(t):
+    full = F.lower(F.concat("name", F.lit(" ("), "country", F.lit(") GmbH")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(full, r"\([^)]*\)", " "), r"(^| )(gmbh|sa|ltd|inc)( |$)", " "))
+    return t.actors.select("actor_id", F.when(F.length(bare) >= 4, bare).alias("alias"))
+
+
+@q("fn38_title_segment", "SELECT page_id, trim(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' - ')[1]) AS title FROM pages")
+def fn38(t):
+    return t.table("pages").select("page_id", F.trim(F.split_part(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" - "), F.lit(1))).alias("title"))
+
+
+@q("fn39_description", "SELECT doc_id, md5(left(string_split(text, '. ')[1], 320)) AS description FROM documents")
+def fn39(t):
+    return t.table("documents").select("doc_id", F.md5(F.left(F.split_part("text", F.lit(". "), F.lit(1)), F.lit(320))).alias("description"))
+
+
+@q(
+    "fn40_url_score",
+    "SELECT page_id, least(140, greatest(0, CASE WHEN regexp_matches(url, '/(fr|en)/') THEN 60 ELSE 20 END + CASE WHEN starts_with(url, 'https') THEN 18 ELSE 0 END + CASE WHEN contains(url, '?') THEN -10 ELSE 0 END)) AS score FROM pages",
+)
+def fn40(t):
+    u = F.col("url")
+    raw = F.when(u.rlike("/(fr|en)/"), 60).otherwise(20) + F.when(u.startswith("https"), 18).otherwise(0) + F.when(F.contains(u, F.lit("?")), -10).otherwise(0)
+    return t.table("pages").select("page_id", F.least(F.lit(140), F.greatest(F.lit(0), raw)).alias("score"))
+
+
+@q("fn42_implausible_note", "SELECT user_id, string_agg(event_type || '=' || m::BIGINT, '; ' ORDER BY event_type) AS note FROM (SELECT user_id, event_type, floor(max(value)) AS m FROM runs GROUP BY 1, 2) WHERE m > 60 GROUP BY 1", "runs")
+def fn42(t):
+    m = t.runs.groupBy("user_id", "event_type").agg(F.floor(F.max("value")).alias("m")).where("m > 60")
+    entries = F.array_sort(F.map_entries(F.map_from_entries(F.collect_list(F.struct("event_type", "m")))))
+    return m.groupBy("user_id").agg(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; ").alias("note"))
+
+
+@q("fn47_flatten_strings", "SELECT event_id, [event_type, json_extract(props, '$.k')::BIGINT::VARCHAR] AS leaves FROM runs", "runs")
+def fn47(t):
+    nested = F.to_json(F.struct("event_type", F.struct(F.from_json("props", "k bigint")["k"].cast("string").alias("k")).alias("inner")))
+    return t.runs.select("event_id", F.regexp_extract_all(nested, F.lit(r':"([^"]*)"')).alias("leaves"))
+
+
+@q("fn51_participants", "SELECT offer_id, list_sort(list_distinct(list(coalesce(lang, 'participant')) FILTER (WHERE bucket <> 'pending'))) AS roles FROM evidence GROUP BY 1 HAVING count(*) FILTER (WHERE bucket <> 'pending') > 0", "evidence")
+def fn51(t):
+    g = t.evidence.groupBy("offer_id").agg(F.collect_list(F.struct("bucket", "lang")).alias("p"))
+    kept = F.filter("p", lambda x: x["bucket"] != "pending")
+    return g.select("offer_id", F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.coalesce(x["lang"], F.lit("participant"))))).alias("roles")).where("size(roles) > 0")
+
+
+@q("fn04_plain_bag", "SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9]+'), lambda w: w <> ''))) AS bag FROM pages")
+def fn04(t):
+    words = F.filter(F.split(T.fold(F.coalesce(F.try_url_decode("url"), F.col("url"))), "[^a-z0-9]+"), lambda w: w != "")
+    return t.table("pages").select("page_id", F.array_sort(F.array_distinct(words)).alias("bag"))
