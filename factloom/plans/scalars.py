@@ -31,7 +31,7 @@ _FILTERS = {
     "flt17_plausible_range": ("runs", "value BETWEEN 0.5 AND 20", "event_id", ""),
     "flt18_nameable": ("parts", "length(label) BETWEEN 3 AND 80 AND label LIKE '% %'", "part_id", ""),
     "flt19_allowlist": ("runs", "event_type IN ('click', 'purchase')", "event_id", ""),
-    "jn12_noise_blocks": ("runs", "value < 1 OR event_type = 'error' AND value < 2", "event_id", ""),
+    "flt16_noise_blocks": ("runs", "value < 1 OR event_type = 'error' AND value < 2", "event_id", ""),
 }
 
 
