@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2")
     classes, n_classes = C.counted(classes.agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("bands", "c0", "c1", "c2", "c3"))))
     facts = C.sized(classes.select("id", "n", "c0", "c1", "c2", "c3"), n_classes)
+    signs = C.sized(classes.select("id", "bands", "c0", "c1", "c2", "c3"), n_classes)
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = C.cut(members.join(buckets, "key"))
@@ -279,11 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low, most = 0.0, 1.0
     while n:
         # members whose turn (a fixed random number) lies in [low, most) / size are this round's centres
-        held = links.rooted(open_, "id").join(facts.drop("n"), "id")
-        centre = held.where((F.col("turn") * F.col("size") >= low) & (F.col("turn") * F.col("size") < most)).alias("x")
+        # a pair is looked at in the least bucket it shares, once: by the first of the two to be a centre there
+        place = F.col("turn") * F.col("size")
+        held = links.rooted(open_, "id").join(signs, "id").withColumn("place", place).where(F.col("place") >= low)
+        centre = held.where(F.col("place") < most).alias("x")
+        once = (F.col("y.place") >= most) | (F.col("x.id") < F.col("y.id"))
+        least = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
         shared_most = F.least("x.m", "y.m")
         reachable = shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * THRESHOLD_PCT
-        pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & reachable & _possible("x", "y"))
+        pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & once & reachable & _possible("x", "y") & least)
         pairs, k = C.counted(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
         if k:
             links.confirm(pairs)
