@@ -1,7 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Spans that look disguised (digits or signs in place of letters, letters spelled apart, letters repeated) become lattices of
-what each character may stand for. Viterbi finds the likeliest reading under a character trigram model, counted over the
+what each character may stand for. Where a sign may as well be punctuation or plain spelling (at a word's end, two equal
+letters, one separator inside), the word as it stands is kept beside its reading. Viterbi finds the likeliest reading under a character trigram model, counted over the
 texts of the whole corpus; the restored words are then scored by word weights learned from the labels.
 
 Labels are learned only from rows with crc32(doc_id as text) mod 5 other than 0, from TRAIN_ROWS of them at most, taken by
@@ -43,8 +44,13 @@ _NOT_LETTER[:128] = [not chr(i).isalpha() for i in range(128)]
 _CLASS[_NOT_LETTER] = _EDGE
 
 _DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+*]+[^\W\d_]|^[0-9@$!|+]+[^\W\d_]{2}|([^\W\d_])\1\1|[^\W\d_][0-9]+$|[^\W_](?:[.\-_*~][^\W_]){2}")
+#: Weaker signs, which plain words have as well: two equal letters, one inner separator.
+_PERHAPS = re.compile(r"([^\W\d_])\1|[^\W_][.\-_*~][^\W_]")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _EDGES = re.compile(r"^[^\w@$!|+]+|[^\w]+$")
-_APART = re.compile(r"(?<!\S)[^\s]{1,2}(?:[ \t][^\s]){2,}(?!\S)")
+#: As _EDGES, but signs in READINGS stay at the end.
+_SIGNED = re.compile(r"^[^\w@$!|+]+|[^\w@$!|+*]+$")
+_APART = re.compile(r"(?<!\S)[^\s]{1,2}(?:\s+[^\s]){2,}(?=[^\w\s]*(?!\S))")
 _SEPARATOR = set(" \t.-_~*")
 
 
@@ -74,10 +80,10 @@ class CharModel:
         total = tri.sum(axis=2, keepdims=True)
         self.logp = np.log((tri + 4 * p2[None]) / (total + 4)).tolist()
 
-    def restore(self, span: str) -> str:
-        """The likeliest reading of a disguised span; words in it are parted by spaces."""
+    def restore(self, span: str, letter_at: int = -1) -> str:
+        """The likeliest reading of a disguised span, with the sign at letter_at as a letter; words in it are parted by spaces."""
         states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
-        for options in _lattice(span):
+        for options in _lattice(span, letter_at):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in states.items():
                 for text, cost in options:
@@ -95,7 +101,7 @@ class CharModel:
         return max(((s + (self.logp[a][b][_EDGE] if b != _EDGE else 0.0), t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1].strip()
 
 
-def _lattice(span: str) -> list[list[tuple[str, float]]]:
+def _lattice(span: str, letter_at: int = -1) -> list[list[tuple[str, float]]]:
     """For each run of equal characters, its readings and their costs under the channel."""
     out: list[list[tuple[str, float]]] = []
     i, n = 0, len(span)
@@ -108,7 +114,9 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
         if ch in READINGS:
             letters = READINGS[ch]
             options = [(x * k, 0.3 * len(letters) + (0.0 if k == run else 0.5 if run > 2 else 2.5)) for x in letters for k in {1, min(run, 2)}]
-            if ch in _SEPARATOR or not ch.isdigit():
+            if i == letter_at:
+                options = [(x * min(run, 2), 0.3 * len(letters)) for x in letters]
+            elif ch in _SEPARATOR or not ch.isdigit():
                 options += [("", 2.0), (" ", 3.0)]
             else:
                 options.append(("", 12.0))
@@ -123,6 +131,11 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _halved(word: str) -> list[str]:
+    """The word with one of its doubled letters said once, for each of them."""
+    return [word[: m.start()] + word[m.start() + 1 :] for m in _TWICE.finditer(word)]
+
+
 class Reader:
     """Distinct restored words of a text."""
 
@@ -131,12 +144,22 @@ class Reader:
         self.memory: dict[str, tuple[str, ...]] = {}
 
     def _word(self, token: str) -> tuple[str, ...]:
-        bare = _EDGES.sub("", token)
-        if bare.isalpha() and not _DISGUISED.search(bare):
-            return (bare,)
-        if any(c.isalpha() for c in bare) and _DISGUISED.search(bare):
-            return tuple(self.model.restore(bare).split())
-        return tuple(x for x in re.split(r"[\W_]+", bare) if x)
+        """Readings of a token. Of weak signs and of signs at its end, both what stands and what it may hide."""
+        bare, signed = _EDGES.sub("", token), _SIGNED.sub("", token)
+        if not any(c.isalpha() for c in bare):
+            return tuple(x for x in re.split(r"[\W_]+", bare) if x)
+        if _DISGUISED.search(bare):
+            out = self.model.restore(bare).split()
+        else:
+            out = [bare] if bare.isalpha() else [x for x in re.split(r"[\W_]+", bare) if x]
+            if _PERHAPS.search(bare):
+                joined = "".join(out)
+                out += [joined, *_halved(joined), *self.model.restore(bare).split()]
+        if len(signed) > len(bare):
+            sign = next(i for i in range(len(bare), len(signed)) if signed[i] in READINGS)
+            for word in self.model.restore(signed, sign).split():
+                out += [word, *_halved(word)]
+        return tuple(dict.fromkeys(out))
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
@@ -150,7 +173,7 @@ class Reader:
                 got = memory[token] = self._word(token)
             out.update(got)
         for span in _APART.findall(low):
-            out.update(self.model.restore(span).split())
+            out.update(self.model.restore(" ".join(span.split())).split())
         return out
 
 

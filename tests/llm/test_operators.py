@@ -324,6 +324,23 @@ def test_toxicity_restores_and_holds_out(spark):
     assert {x.score for x in toxicity.toxicity_scores(docs.limit(5), lab.limit(0)).collect()} == {0.0}
 
 
+def _reader():
+    text = "he is an idiot and a moron said the worthless scum , stupid clown ! the tree stood in the hall and all was well known " * 20
+    c = np.concatenate([[toxicity._EDGE, toxicity._EDGE], toxicity._CLASS[np.frombuffer(text.encode(), np.uint8)], [toxicity._EDGE]])
+    return toxicity.Reader(np.bincount((c[:-2] * toxicity._N + c[1:-1]) * toxicity._N + c[2:], minlength=toxicity._N**3))
+
+
+@pytest.mark.parametrize(
+    "said, meant",
+    [("worthle$$", "worthless"), ("worthle$$!", "worthless"), ("worthle$$.", "worthless"), ("idio+", "idiot"), ("1di0+", "idiot"), ("idio+,", "idiot")]
+    + [("m o r o n.", "moron"), ("m o r o n, he", "moron"), ("(s c u m.)", "scum"), ("m  o  r  o  n", "moron"), ("a tree\ns\nc u\r\nm\tstood", "scum")]
+    + [("stuupid", "stupid"), ("worthlless", "worthless"), ("morron", "moron"), ("mo.ron", "moron"), ("id-iot", "idiot"), ("sc_um", "scum")]
+    + [("idiot!", "idiot"), ("worthless", "worthless"), ("tree!", "tree"), ("well-known", "known"), ("hall", "hall")],
+)
+def test_toxicity_reads_each_disguise(said, meant):
+    assert meant in _reader().words(said)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     same(spark, QUERIES[name], ORACLE[name])
