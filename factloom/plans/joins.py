@@ -320,9 +320,9 @@ def jn29(t):
     SELECT w.doc_id, (SELECT arg_min(word, pos) FROM x WHERE x.doc_id = w.doc_id AND word IN ('the', 'der', 'les', 'que', 'of', 'un')) AS matched FROM w""",
 )
 def jn30(t):
-    words = F.slice(F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), 1, 20)
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))  # keeps the order of first places
     roster = t.spark.createDataFrame([(x,) for x in ("the", "der", "les", "que", "of", "un")], "word string")
-    return J.first_of_roster(t.table("documents").select("doc_id", words.alias("w")), "doc_id", "w", roster, "word")
+    return J.first_of_roster(t.table("documents").select("doc_id", words.alias("w")), "doc_id", "w", F.broadcast(roster), "word")
 
 
 @q(
