@@ -183,8 +183,9 @@ def ag22(t):
     "SELECT term, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected FROM (SELECT DISTINCT d.doc_id, l.quality, unnest(list_slice(string_split(lower(text), ' '), 1, 10)) AS term FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1 HAVING count(*) >= 10",
 )
 def ag23(t):
-    d = t.table("documents").join(t.table("labels"), "doc_id").select("doc_id", "quality", F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 10))).alias("term")).distinct()
-    return d.groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("accepted"), F.count_if(F.col("quality") == 0).alias("rejected")).where("accepted + rejected >= 10")
+    labels = t.table("labels").where("quality IN (0, 1)").select("doc_id", "quality")
+    d = t.table("documents").join(labels, "doc_id").select("doc_id", "quality", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term")).distinct()
+    return d.groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("accepted"), F.count_if(F.col("quality") == 0).alias("rejected"))
 
 
 @q("ag24_tally", "SELECT coalesce(lang, 'unspecified') AS lang, count(*) AS n FROM evidence GROUP BY 1", "evidence")

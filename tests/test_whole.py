@@ -13,6 +13,8 @@ QUERIES = registry.queries()
 WHOLE = {
     "jn30_roster_first": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents)
     SELECT doc_id, list_filter(w, lambda x: x IN ('the', 'der', 'les', 'que', 'of', 'un'))[1] AS matched FROM w""",
+    "ag23_term_scoreboard": """SELECT term, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected
+    FROM (SELECT DISTINCT d.doc_id, l.quality, unnest(string_split(lower(text), ' ')) AS term FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1)) GROUP BY 1""",
 }
 
 
