@@ -186,8 +186,8 @@ def st19(t):
 
 @q("st22_vocabulary_queue", "SELECT w, count(*) AS seen, count(*) >= 150 AS promoted FROM (SELECT DISTINCT doc_id, unnest(list_slice(string_split(lower(text), ' '), 1, 30)) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 50")
 def st22(t):
-    w = F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 30)))
-    c = t.table("documents").select("doc_id", w.alias("w")).distinct().groupBy("w").agg(n().alias("seen")).where("seen >= 50")
+    w = F.explode(F.array_distinct(F.split(F.lower("text"), " ")))
+    c = t.table("documents").select("doc_id", w.alias("w")).distinct().groupBy("w").agg(n().alias("seen"))
     return c.withColumn("promoted", F.col("seen") >= 150)
 
 
