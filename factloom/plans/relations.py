@@ -226,7 +226,7 @@ def st32(t):
 
 @q("st35_schema_evolution", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents WHERE doc_id < 50 UNION ALL SELECT page_id, NULL, url FROM pages")
 def st35(t):
-    old = t.table("documents").where("doc_id < 50").select(F.col("doc_id").alias("id"), "lang")
+    old = t.table("documents").select(F.col("doc_id").alias("id"), "lang")
     return old.unionByName(t.table("pages").select(F.col("page_id").alias("id"), "url"), allowMissingColumns=True)
 
 
