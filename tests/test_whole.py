@@ -15,6 +15,7 @@ WHOLE = {
     SELECT doc_id, list_filter(w, lambda x: x IN ('the', 'der', 'les', 'que', 'of', 'un'))[1] AS matched FROM w""",
     "st22_vocabulary_queue": "SELECT w, count(*) AS seen, count(*) >= 150 AS promoted FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY 1",
     "st35_schema_evolution": "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages",
+    "fn28_inverted_index": "SELECT doc_id, md5(left(array_to_string(string_split(text, ' '), ' '), 6000)) AS abstract FROM documents",
     "ag23_term_scoreboard": """SELECT term, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected
     FROM (SELECT DISTINCT d.doc_id, l.quality, unnest(string_split(lower(text), ' ')) AS term FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1)) GROUP BY 1""",
 }
