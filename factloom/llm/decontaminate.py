@@ -6,10 +6,11 @@ looked up in the sketches: the share of an item's sketch found in a document est
 item. Pairs whose estimate comes near the threshold are verified on the full sets of shingle strings.
 
 A shingle is five consecutive lower-cased words, or all words of a text with fewer; words are maximal runs outside
-``\\x20 \\x09-\\x0D``. A pair is reported if the document holds at least 75 % of the item's distinct shingles.
+``\\x20 \\x09-\\x0D``. A pair is reported if the document holds at least 75 % of the item's distinct shingles. Where
+there are items of fewer than five words, documents are also read in runs of as many words as those items have.
 
-Defined cases: null or blank texts and items match nothing; a short item matches only a document that holds its one
-shingle; repeated rows of one id count as separate texts of which the best counts; other columns are ignored; an empty
+Defined cases: null or blank texts and items match nothing; a short item matches a document that holds its words in a
+row; repeated rows of one id count as separate texts of which the best counts; other columns are ignored; an empty
 table gives an empty result. A passage in very many documents gives one row for each, never pairs of documents.
 """
 
@@ -47,16 +48,27 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _strings(text: Column) -> Column:
-    return _let(_words(text), lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i, F.lit(WIDTH)), " "))))
+def _starts_of(words: Column, k: int) -> Column:
+    """First positions (from 1) of the runs of k words."""
+    return F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(text: Column) -> Column:
-    return _let(_words(text), lambda w: F.transform(_starts(w), lambda i: _hash_at(w, i)))
+def _each(words: Column, use, short: list[int]) -> Column:
+    """use(slice) of every shingle, and of every run of k words for each k in short."""
 
+    def runs(starts: Column, k: int) -> Column:
+        return F.transform(starts, lambda i: use(F.slice(words, i, F.lit(k))))
 
-def _hash_at(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.slice(words, i, F.lit(WIDTH)))
+    shingles = runs(_starts(words), WIDTH)
+    return F.concat(shingles, *[runs(_starts_of(words, k), k) for k in short]) if short else shingles
+
+
+def _strings(text: Column, short: list[int] = []) -> Column:  # noqa: B006
+    return _let(_words(text), lambda w: F.array_distinct(_each(w, lambda s: F.array_join(s, " "), short)))
+
+
+def _hashes(text: Column, short: list[int] = []) -> Column:  # noqa: B006
+    return _let(_words(text), lambda w: _each(w, F.xxhash64, short))
 
 
 def _sketches(items: DataFrame) -> DataFrame:
@@ -76,10 +88,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     items = benchmark.select("item_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
     items = items.select("item_id", F.xxhash64("t").alias("item_row"), "t")
+    length = F.size(_words(F.col("t"))).alias("k")
+    short = sorted(r.k for r in items.select(length).where(F.col("k").between(1, WIDTH - 1)).distinct().collect())  # WIDTH - 1 rows at most
     sketches = _sketches(items)
     n = sketches.limit(inline + 1).count()
     small = n <= inline
-    hashes = _hashes(F.col("text"))
+    hashes = _hashes(F.col("text"), short)
     if small:
         values = [r[0] for r in sketches.select("h").distinct().limit(inline + 1).collect()]
         hashes = F.filter(hashes, lambda h: h.isin(values))
@@ -92,7 +106,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     sides = pairs.join(F.broadcast(sets) if small else sets, (pairs.item_row == sets.item_row) & pairs.item_id.eqNullSafe(sets.of_item)).select("doc_id", "row", "item_id", "item_set")
     texts = d.select("doc_id", F.xxhash64("text").alias("row"), "text").withColumnsRenamed({"doc_id": "text_id", "row": "text_row"})
     both = sides.join(texts, F.col("row").eqNullSafe(F.col("text_row")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
-    shared = F.size(F.array_intersect("item_set", _strings(F.col("text"))))
+    shared = F.size(F.array_intersect("item_set", _strings(F.col("text"), short)))
     checked = both.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item_shingles"), shared.cast("long").alias("n_shared"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * THRESHOLD_PCT)
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "n_item_shingles", "n_shared")).alias("b"))

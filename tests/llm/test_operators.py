@@ -230,6 +230,17 @@ def test_containment_both_ways(spark):
     assert decontaminate.contained_items(frame(spark, rows), b.limit(0)).count() == 0
 
 
+def test_short_items_inside_longer_texts(spark):
+    items = {1: "w1", 2: "Zebra crossing", 3: "a b c", 4: "one two three four", 5: "one two three four five", 6: " "}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(1, "see the zebra\ncrossing over there now"), (2, "zebra of the crossing and more words"), (3, "x a b c"), (4, "b c a b"), (5, "zero one two three four six w1"), (6, "one two three four five"), (7, "w1"), (8, "w11 w12 w13 w14 w15 w16"), (9, None), (10, "zebra  crossing")]
+    runs = {i: {tuple(words((t or "").lower())[j : j + k]) for k in range(1, 6) for j in range(len(words(t)) - k + 1)} for i, t in rows}
+    want = {(i, k) for i in runs for k, t in items.items() if tuple(words(t.lower())) in runs[i]}
+    for inline in (decontaminate.INLINE_HASHES, 0):
+        got = decontaminate.contained_items(frame(spark, rows), b, inline=inline).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and {(x.n_item_shingles, x.n_shared, x.containment) for x in got} == {(1, 1, 1.0)}
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "[\\INST]", "<\\\\s>", "a</s", "", "[INST]" * 3]
     rows = [(c, i, ["system", "user", "assistant"][(c + i) % 3], random.Random(c * 9 + i).choice(odd + ["plain é"])) for c in range(12) for i in range(c)]
