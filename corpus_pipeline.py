@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 docs. A stage reads its input more than once, so run() writes each stage as Parquet in the shared folder and reads it again.
 
 Defined cases: an empty table passes through all stages; a null text is never toxic, a duplicate or contaminated, has nothing
-to cut and gives no ids; of rows that share a doc_id one stays after near-dedup; further columns are carried along, and
+to cut and gives no ids; rows that share a doc_id stand for themselves, as near duplicates only if their texts are; further columns are carried along, and
 n_chars follows a text that was cut.
 """
 
@@ -23,10 +23,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id of each group of near duplicates."""
+    """The row of least doc_id of each group of near duplicates; rows that share a doc_id are told apart by a hash of the text."""
+    named = docs.where("doc_id IS NOT NULL")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_dedup_by_text(docs)
     keep = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    return named.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def _near_dedup_by_text(docs: DataFrame) -> DataFrame:
+    """near_dedup where ids repeat: texts are numbered in the order of doc_id and hash; of equal rows one of least hash stays."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text"))
+    one = named.groupBy("doc_id", "_h").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    numbered = common.cut(one.select("doc_id", "_h").orderBy("doc_id", "_h").withColumn("_n", F.monotonically_increasing_id()))
+    texts = one.join(numbered, ["doc_id", "_h"]).select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text"))
+    keep = neardup.near_duplicates(common.cut(texts)).where("kept").select(F.col("doc_id").alias("_n"))
+    kept = one.join(numbered.join(keep, "_n", "left_semi"), ["doc_id", "_h"], "left_semi").select("_row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +54,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item."""
-    found = decontaminate.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_found")), "left_anti")
+    keyed = docs.withColumn("_id", F.struct("doc_id", F.xxhash64("text").alias("h")))  # rows may share a doc_id
+    found = decontaminate.contained_items(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_id").select(F.col("doc_id").alias("_found")).distinct()
+    return keyed.join(found, F.col("_id") == F.col("_found"), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,17 @@ def test_pipeline(spark, tmp_path):
         assert got[i].ids == coder.encode_batch([t or ""])[0].tolist() and got[i].n_tokens == len(got[i].ids)
 
 
+def test_rows_that_share_an_id(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, a + " more"), (2, c), (3, c), (None, a), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text or "-") for r in got)) == sorted([(1, a), (1, b), (2, c), (0, a), (4, "-"), (4, "-")])
+    spark.createDataFrame([(0, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id or 0, r.text or "-") for r in got)) == sorted((i or 0, t or "-") for i, t in rows if t != b)
+
+
 def test_stages_keep_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5, "extra")], "doc_id long, text string, lang string, source string, n_chars long, score string").limit(0)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
