@@ -1,9 +1,15 @@
 """Benchmark decontamination by size-partitioned MinHash containment, in DataFrame functions only.
 
-Items are partitioned by the size of their shingle set; each partition has its own sampling rate, so that an item of any
-length is represented by about SKETCH minimum hashes (all of its hashes when it is short). A document's hashes are
-looked up in the sketches: the share of an item's sketch found in a document estimates how far the document contains the
-item. Pairs whose estimate comes near the threshold are verified on the full sets of shingle strings.
+Items are partitioned by the size of their shingle set (powers of two). An item is represented by its minimum hashes: the k
+least of its n distinct shingle hashes. A document that holds 75 % of the item lacks n - ceil(0.75 n) of its shingles at most,
+so it holds k minus that many of the k least ones. Each partition sets how many of them a document must hold (``NEEDED``: more
+for larger items, so that chance hits don't suffice), and k follows from it: about a quarter of the item. The choice by least
+hashes can't lose a pair, whatever it is, and cuts what is looked up to a quarter or a third.
+
+One pass over the texts: a document's shingle hashes are looked up in a bit table of the signatures' hashes (a Bloom filter of
+one function: BITS_EACH bits for a hash, at most 2**MOST_BITS in all, handed over as a scalar subquery), and only documents with a
+hit go on, with their text; no text is shuffled. Their hits are joined with the signatures, pairs with enough of them are
+verified on the full sets of shingle strings, and those are what is reported.
 
 A shingle is five consecutive lower-cased words, or all words of a text with fewer; words are maximal runs outside
 ``\\x20 \\x09-\\x0D``. A pair is reported if the document holds at least 75 % of the item's distinct shingles. Where
@@ -23,15 +29,13 @@ from . import common as C
 
 WIDTH = 5
 THRESHOLD_PCT = 75
-#: Hashes kept of an item at least, if it has as many.
-SKETCH = 64
-#: How far an estimate from a sampled sketch may fall short of the threshold (over six standard deviations).
-SLACK_PCT = 40
-#: Sketches of so many hashes at most become a set inside the scan's filter; larger ones are joined by a shuffle.
-INLINE_HASHES = 1 << 15
+#: Least hashes that a document must hold, by the size partition (power of two) of the item; 1 below the first.
+NEEDED = ((3, 2), (4, 3), (5, 4), (6, 6), (7, 8), (8, 12), (9, 16))
+#: Bits of the table for each signature hash, and the exponent of the largest table (16 MB).
+BITS_EACH = 64
+MOST_BITS = 27
 
 _BLANK = r"[ \t\n\x0B\f\r]+"
-_TOP = 0x7FFFFFFFFFFFFFFF
 
 
 def _words(text: Column) -> Column:
@@ -71,41 +75,45 @@ def _hashes(text: Column, short: list[int] = []) -> Column:  # noqa: B006
     return _let(_words(text), lambda w: _each(w, F.xxhash64, short))
 
 
-def _sketches(items: DataFrame) -> DataFrame:
-    """(row, item_id, n_shingles, sampled, sketch size, h) for every hash in an item's sketch."""
-    sets = items.select("item_row", "item_id", F.array_distinct(_hashes(F.col("t"))).alias("hs"))
-    partition = F.floor(F.log2(F.size("hs"))).cast("int")
-    shift = F.greatest(partition - F.lit(SKETCH.bit_length() - 1), F.lit(0))
-    sampled = sets.where(F.size("hs") > 0).withColumn("shift", shift)
-    sampled = sampled.withColumn("kept", F.expr(f"filter(hs, h -> (h & {_TOP}L) <= shiftright({_TOP}L, shift))"))
-    # an unlucky sample that is empty falls back to the whole set
-    sampled = sampled.withColumn("kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("hs")))
-    return sampled.select("item_row", "item_id", (F.size("kept") < F.size("hs")).alias("sampled"), F.size("kept").alias("n_sketch"), F.explode("kept").alias("h"))
+def signatures(items: DataFrame) -> DataFrame:
+    """(item_row, item_id, n, part, needed, h): the least hashes of each item (item_row, item_id, t), one row each."""
+    sets = items.select("item_row", "item_id", F.array_sort(F.array_distinct(_hashes(F.col("t")))).alias("hs")).where(F.size("hs") > 0)
+    sets = sets.withColumn("n", F.size("hs")).withColumn("part", F.floor(F.log2("n")).cast("int"))
+    may_lack = F.col("n") - F.ceil(F.col("n") * THRESHOLD_PCT / 100).cast("int")
+    at_least = F.lit(1)
+    for part, needed in NEEDED:
+        at_least = F.when(F.col("part") >= part, needed).otherwise(at_least)
+    # what is needed can't be more than what a document at the threshold holds
+    sets = sets.withColumn("needed", F.least(at_least, F.col("n") - may_lack)).withColumn("k", may_lack + F.col("needed"))
+    return sets.select("item_row", "item_id", "n", "part", "needed", F.explode(F.slice("hs", 1, F.col("k"))).alias("h"))
+
+
+def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row: an array of 2**(bits - 6) longs in which the bit of each hash h is set."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = hashes.groupBy(F.expr(f"cast(shiftrightunsigned(h, {64 - bits + 6}) as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # 2**(bits - 6) entries at most
+    return held.select(F.transform(F.sequence(F.lit(0), F.lit((1 << (bits - 6)) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("table"))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", inline: int = INLINE_HASHES) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of each item found in each document."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     items = benchmark.select("item_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
     items = items.select("item_id", F.xxhash64("t").alias("item_row"), "t")
     length = F.size(_words(F.col("t"))).alias("k")
     short = sorted(r.k for r in items.select(length).where(F.col("k").between(1, WIDTH - 1)).distinct().collect())  # WIDTH - 1 rows at most
-    sketches = _sketches(items)
-    n = sketches.limit(inline + 1).count()
-    small = n <= inline
-    hashes = _hashes(F.col("text"), short)
-    if small:
-        values = [r[0] for r in sketches.select("h").distinct().limit(inline + 1).collect()]
-        hashes = F.filter(hashes, lambda h: h.isin(values))
-    found = d.select("doc_id", F.xxhash64("text").alias("row"), F.explode(F.array_distinct(hashes)).alias("h"))
-    hit = found.join(F.broadcast(sketches) if small else sketches, "h")
-    pairs = hit.groupBy("doc_id", "row", "item_row", "item_id").agg(F.count(F.lit(1)).alias("n"), F.first("n_sketch").alias("m"), F.first("sampled").alias("sampled"))
-    least = F.when(F.col("sampled"), F.lit(THRESHOLD_PCT - SLACK_PCT)).otherwise(F.lit(THRESHOLD_PCT))
-    pairs = pairs.where(F.col("n") * 100 >= F.col("m") * least).select("doc_id", "row", "item_row", "item_id")
-    sets = items.select("item_row", F.col("item_id").alias("of_item"), _strings(F.col("t")).alias("item_set")).dropDuplicates(["item_row", "of_item"])
-    sides = pairs.join(F.broadcast(sets) if small else sets, (pairs.item_row == sets.item_row) & pairs.item_id.eqNullSafe(sets.of_item)).select("doc_id", "row", "item_id", "item_set")
-    texts = d.select("doc_id", F.xxhash64("text").alias("row"), "text").withColumnsRenamed({"doc_id": "text_id", "row": "text_row"})
-    both = sides.join(texts, F.col("row").eqNullSafe(F.col("text_row")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
+    held, n = C.counted(signatures(items))
+    # documents with a hit, and their hits
+    kept = _candidates(d, held, n, short, most_bits)
+    hits = kept.select("doc_id", "row", F.explode("hs").alias("h")).join(C.sized(held, n), "h")
+    pairs = hits.groupBy("doc_id", "row", "item_row", "item_id").agg(F.count(F.lit(1)).alias("k"), F.first("needed").alias("needed"))
+    pairs, m = C.counted(pairs.where("k >= needed").select("doc_id", "row", "item_row", "item_id"))
+    # verified on the strings
+    sets = items.select(F.col("item_row").alias("of_row"), F.col("item_id").alias("of_item"), _strings(F.col("t")).alias("item_set")).dropDuplicates(["of_row", "of_item"])
+    texts = kept.select(F.col("doc_id").alias("text_id"), F.col("row").alias("text_row"), "text")
+    both = texts.join(C.sized(pairs, m), F.col("row").eqNullSafe(F.col("text_row")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
+    both = both.join(C.sized(sets, n), (F.col("item_row") == F.col("of_row")) & F.col("item_id").eqNullSafe(F.col("of_item")))
     shared = F.size(F.array_intersect("item_set", _strings(F.col("text"), short)))
     checked = both.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item_shingles"), shared.cast("long").alias("n_shared"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * THRESHOLD_PCT)
@@ -113,6 +121,15 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return best.select("doc_id", "item_id", "b.n_item_shingles", "b.n_shared", "b.containment")
 
 
+def _candidates(d: DataFrame, held: DataFrame, n: int, short: list[int], most_bits: int) -> DataFrame:
+    """(doc_id, row, text, hs) of documents with a shingle whose bit is set, and those shingles' hashes: a checkpoint."""
+    bits = max(8, min(most_bits, (n * BITS_EACH).bit_length()))
+    table = bit_table(held.select("h").distinct(), bits).scalar()
+    there = lambda h: F.getbit(F.element_at("table", F.shiftrightunsigned(h, 64 - bits + 6).cast("int") + 1), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    found = d.withColumn("table", table).select("doc_id", F.xxhash64("text").alias("row"), "text", F.array_distinct(F.filter(_hashes(F.col("text"), short), there)).alias("hs"))
+    return C.cut(found.where(F.size("hs") > 0))
+
+
 def op9_minhash_containment(spark, sf_dir: str) -> DataFrame:
     return contained_items(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

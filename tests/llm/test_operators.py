@@ -150,6 +150,26 @@ def test_byte_bpe_equals_the_library():
         mine.memory._shrink()
 
 
+def test_long_pieces():
+    """One letter run of a megabyte takes seconds; shorter ones equal the matrices and the library."""
+    import time
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine, r = bpe.ByteBPE(*bpe._default_vocabulary()), random.Random(6)
+    pieces = ["a" * 3000, "ab" * 700, "é" * 900, "".join(r.choice("etaoinshr") for _ in range(5000)), "".join(r.choice("ab") for _ in range(513)), "-" * 2000, "1" * 1500]
+    assert [x.tolist() for x in mine.encode_batch(pieces)] == [library.encode_ordinary(t) for t in pieces]
+    some = [p.encode()[:700] for p in pieces]
+    rows = np.array([mine.byte_id[np.frombuffer(p, np.uint8)] for p in some if len(p) == 700])
+    assert [x.tolist() for x in mine._merge_rows(rows, np.full(len(rows), 700))] == [mine._merge_long(p).tolist() for p in some if len(p) == 700]
+    began = time.time()
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    assert mine.decode(mine.encode_batch([text])[0]).decode() == text and time.time() - began < 60
+
+
 def test_bpe_query_forms(spark):
     df = frame(spark, list(enumerate([*TEXTS, None])))
     back = {r.doc_id: r.decoded.decode() for r in bpe.decode(bpe.encode(df)).collect()}
@@ -172,6 +192,31 @@ def test_wavelet_matrix():
             assert [w.select(v, k) for k in range(min(5, len(at)))] == at[:5].tolist()
             assert w.select(v, len(at)) == -1
         assert [w.access(i) for i in range(0, n, 97)] == a[::97].tolist()
+        assert (w.access_many(np.arange(n)) == a).all()
+
+
+def test_wavelet_file_is_read_in_parts(tmp_path):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 50_000, 1_000_000).astype(np.uint16)
+    ends = np.array([10, 400_000, 1_000_000])
+    tokenfiles.write_shard(f"{tmp_path}/x.wvm", a, ends, [5, 6, None])
+    w, got_ends, names = tokenfiles.open_shard(f"{tmp_path}/x.wvm")
+    assert got_ends.tolist() == ends.tolist() and names == [5, 6, None]
+    for i in (0, 77, 511, 512, 262_144, 999_999):
+        assert w.access(i) == a[i]
+    assert sum(len(p.held) for p in w.planes) <= 6 * len(w.planes) < sum(-(-len(p) // tokenfiles.FRAME) for p in w.planes) * 2
+    v = int(a[123_456])
+    at = np.flatnonzero(a == v)
+    assert w.count(v) == len(at) and w.rank(v, 500_000) == (at < 500_000).sum() and w.select(v, 3) == at[3]
+    assert (w.ids() == a).all() and (w.access_many(at) == v).all()
+
+
+def test_token_files_odd_ids(spark, tmp_path):
+    rows = [(None, "x y"), (3, "b"), (3, "a"), (3, "a"), (1, None), (2, "word " * 30_000)]
+    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], "doc_id long, text string, id int, path string")
+    got = sorted(tokenfiles.read_files(tokenfiles.write_files(df, f"file://{tmp_path}/o")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 3] and got[1].n_tokens == 1
+    assert all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:]))
 
 
 def test_token_files(spark, tmp_path):
@@ -212,6 +257,15 @@ def test_substring_dedup(spark):
     assert substring.substring_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def test_a_full_sketch_loses_nothing(spark, monkeypatch):
+    """A sketch far too small for its anchors flags more windows, and the result stays."""
+    assert [substring.sketch_bits(n) for n in (0, 10**9, 10**15)] == [22, 26, 27]
+    rows = corpus(70)
+    monkeypatch.setattr(substring, "sketch_bits", lambda n: substring.BLOCK_BITS)
+    got = sorted((r.row.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(frame(spark, rows)).collect())
+    assert got == substring_brute(rows)
+
+
 def test_containment_both_ways(spark):
     rows = corpus(50)
     items = [(0, rows[6][1][:150]), (1, "One two"), (2, None), (3, " "), (4, " ".join(WORDS[:30])), (5, rows[7][1]), (6, (rows[46][1] or "")[:900])]
@@ -223,21 +277,47 @@ def test_containment_both_ways(spark):
 
     want = sorted((i, j, len(shingles(x)), len(shingles(x) & shingles(t))) for i, t in rows for j, x in items if shingles(x) and 100 * len(shingles(x) & shingles(t)) >= 75 * len(shingles(x)))
     assert want
-    for inline in (decontaminate.INLINE_HASHES, 0):
-        got = decontaminate.contained_items(frame(spark, rows), b, inline=inline).collect()
+    for bits in (decontaminate.MOST_BITS, 8):  # a full table lets everything through to the joins
+        got = decontaminate.contained_items(frame(spark, rows), b, most_bits=bits).collect()
         assert sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got) == want
     assert decontaminate.contained_items(frame(spark, []).limit(0), b).count() == 0
     assert decontaminate.contained_items(frame(spark, rows), b.limit(0)).count() == 0
 
 
+def test_items_of_all_sizes_at_the_threshold(spark):
+    """Documents that hold just enough, and just too little, of items of 5 to 2000 shingles; the recall must be whole."""
+    r = random.Random(8)
+    items, rows, want = [], [], set()
+    for k, n in enumerate([5, 8, 13, 20, 33, 64, 129, 500, 2000]):
+        w = [f"i{k}x{j}" for j in range(n + 4)]
+        items.append((k, " ".join(w)))
+        need = -(-75 * n // 100)
+        for trial in range(6):
+            for share, inside in ((need, True), (need - 1, False)):
+                at = r.randrange(n - share + 1)
+                doc = [r.choice(WORDS) for _ in range(30)] + w[at : at + share + 4] + [r.choice(WORDS) for _ in range(30)]
+                rows.append((len(rows), " ".join(doc).upper() if trial % 2 else "\n".join(doc)))
+                if inside:
+                    want.add((len(rows) - 1, k))
+    rows += [(3, rows[3][1]), (900, None)]
+    b = spark.createDataFrame(items + [(0, items[0][1])], "item_id long, text string")
+    got = decontaminate.contained_items(frame(spark, rows), b)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+    keyed = b.select("item_id", F.xxhash64("text").alias("item_row"), F.col("text").alias("t"))
+    by = {x.n: x.k for x in decontaminate.signatures(keyed).dropDuplicates(["item_id", "h"]).groupBy("item_id", "n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    assert all(k <= 0.6 * n for n, k in by.items() if n >= 8) and by[2000] == 516
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_short_items_inside_longer_texts(spark):
     items = {1: "w1", 2: "Zebra crossing", 3: "a b c", 4: "one two three four", 5: "one two three four five", 6: " "}
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = [(1, "see the zebra\ncrossing over there now"), (2, "zebra of the crossing and more words"), (3, "x a b c"), (4, "b c a b"), (5, "zero one two three four six w1"), (6, "one two three four five"), (7, "w1"), (8, "w11 w12 w13 w14 w15 w16"), (9, None), (10, "zebra  crossing")]
     runs = {i: {tuple(words((t or "").lower())[j : j + k]) for k in range(1, 6) for j in range(len(words(t)) - k + 1)} for i, t in rows}
     want = {(i, k) for i in runs for k, t in items.items() if tuple(words(t.lower())) in runs[i]}
-    for inline in (decontaminate.INLINE_HASHES, 0):
-        got = decontaminate.contained_items(frame(spark, rows), b, inline=inline).collect()
+    for bits in (decontaminate.MOST_BITS, 8):
+        got = decontaminate.contained_items(frame(spark, rows), b, most_bits=bits).collect()
         assert {(x.doc_id, x.item_id) for x in got} == want and {(x.n_item_shingles, x.n_shared, x.containment) for x in got} == {(1, 1, 1.0)}
 
 
@@ -268,7 +348,7 @@ def test_warc_pushdown_and_ranges(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
     folder = f"file://{tmp_path}/w"
     warc.write_archives(df, folder)
-    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.digests(warc.read_archives(spark, folder)).collect()}
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.digests(warc.read_archives(spark, folder), warc.read_archives(spark, folder, payload=False)).collect()}
     sha = lambda s: hashlib.sha1((s or "").encode()).hexdigest()
     assert got == {i: ("revisit" if i == 1 else "response", 2 if i == 1 else None, len((h or "").encode()), sha(h)) for i, _, h in pages}
     only = warc.read_archives(spark, folder).where("record_type = 'revisit'")
@@ -283,6 +363,52 @@ def test_warc_pushdown_and_ranges(spark, tmp_path):
     assert warc.read_archives(spark, folder, payload=False).where("payload IS NOT NULL").count() == 0
 
 
+def test_warc_inflates_headers_only(tmp_path):
+    import io
+
+    big = "".join(chr(33 + (i * 7919) % 90) for i in range(200_000))
+    raw = b"".join(warc.member(warc.render(i, "http://a", big if i % 2 else "x", "response", None, "00" * 20)) for i in range(4))
+    inflated = []
+    kept = list(warc.scan(io.BytesIO(raw), 0, len(raw), lambda h: h["x-page-id"] == "3", True, inflated))
+    assert [(h["x-page-id"], p.decode()) for h, p in kept] == [("3", big)]
+    assert max(inflated[:3]) <= warc.HEAD_STEP < inflated[3]
+    inflated = []
+    assert all(p is None for _, p in warc.scan(io.BytesIO(raw), 0, len(raw), lambda h: True, False, inflated)) and max(inflated) <= warc.HEAD_STEP
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Gzip members without a skip length and plain records, in a nested folder."""
+    import gzip
+
+    def record(kind, uri, body, http=True):
+        block = (b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" if http else b"") + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{uri}>\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: sha1:{warc._b32(hashlib.sha1(body).hexdigest())}\r\n"
+        return head.encode() + f"Content-Type: application/{'http' if http else 'warc-fields'}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [record("warcinfo", "u0", b"software: x", False), record("response", "u1", b"p" * 5000), record("metadata", "u2", b"\r\n\r\nWARC/1.0 inside", False), record("response", "u3", b"")]
+    folder = tmp_path / "w" / "2020" / "01"
+    folder.mkdir(parents=True)
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (folder / "b.warc").write_bytes(b"".join(records))
+    got = warc.read_archives(spark, f"file://{tmp_path}/w")
+    want = [("response", "u1", 5000, hashlib.sha1(b"p" * 5000).hexdigest(), b"p" * 5000), ("response", "u3", 0, hashlib.sha1(b"").hexdigest(), b"")]
+    mine = sorted((r.record_type, r.url, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got.where("record_type = 'response'").collect())
+    assert mine == sorted(want * 2)
+    assert sorted(r.url for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()) == sorted(["u0", "u1", "u2", "u3"] * 2)
+    reader = warc.WarcReader({"path": f"file://{tmp_path}/w", "splitBytes": "500"})
+    assert sorted(u for p in reader.partitions() for b in reader.read(p) for u in b.column("url").to_pylist()) == sorted(["u0", "u1", "u2", "u3"] * 2)
+
+
+def test_warc_odd_tables(spark, tmp_path):
+    big = "z" * 1500
+    rows = [(1, "u", big), (1, "u", big), (None, "u", big), (7, None, ""), (8, "v", "y" * (9 << 20))]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id long, url string, html string, record_type string, n int")
+    read = lambda d, name: (warc.write_archives(d, f"file://{tmp_path}/{name}"), warc.digests(warc.read_archives(spark, f"file://{tmp_path}/{name}"), warc.read_archives(spark, f"file://{tmp_path}/{name}", payload=False)).collect())[1]
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in read(df, "a")), key=str)
+    assert got == sorted([(1, "response", None, 1500), (1, "response", None, 1500), (0, "revisit", 1, 1500), (7, "response", None, 0), (8, "response", None, 9 << 20)], key=str)
+    assert read(df.limit(0), "b") == []
+
+
 def test_hilbert_curve_steps_by_one():
     import itertools
 
@@ -337,8 +463,8 @@ def test_toxicity_restores_and_holds_out(spark):
 
 def _reader():
     text = "he is an idiot and a moron said the worthless scum , stupid clown ! the tree stood in the hall and all was well known " * 20
-    c = np.concatenate([[toxicity._EDGE, toxicity._EDGE], toxicity._CLASS[np.frombuffer(text.encode(), np.uint8)], [toxicity._EDGE]])
-    return toxicity.Reader(np.bincount((c[:-2] * toxicity._N + c[1:-1]) * toxicity._N + c[2:], minlength=toxicity._N**3))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return toxicity.Reader(toxicity._trigrams(raw, np.array([0, len(raw)])))
 
 
 @pytest.mark.parametrize(
@@ -352,6 +478,76 @@ def test_toxicity_reads_each_disguise(said, meant):
     assert meant in _reader().words(said)
 
 
+def test_trigrams_are_of_code_points():
+    texts = ["é", "", "aé b", "“x”", "日本 a"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = toxicity._trigrams(raw, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    kind = lambda ch: ord(ch) - 97 if "a" <= ch <= "z" else toxicity._OTHER if ch.isalpha() else toxicity._EDGE
+    c = [k for t in texts for k in (toxicity._EDGE, toxicity._EDGE, *map(kind, t))] + [toxicity._EDGE]
+    want = np.zeros_like(got)
+    for x in zip(c, c[1:], c[2:]):
+        want[(x[0] * toxicity._N + x[1]) * toxicity._N + x[2]] += 1
+    assert (got == want).all()
+
+
+def _every_reading(model, span):
+    """The best reading by trying every path through the lattice."""
+    import itertools
+
+    best = (-1e99, "")
+    for path in itertools.product(*toxicity._lattice(span)):
+        said, cost = "".join(t for t, _ in path), sum(c for _, c in path)
+        score, x, y = -cost, toxicity._EDGE, toxicity._EDGE
+        for ch in said:
+            k = ord(ch) - 97 if "a" <= ch <= "z" else toxicity._EDGE if ch == " " else toxicity._OTHER
+            if k == toxicity._EDGE and y == toxicity._EDGE:
+                continue
+            score += model.logp[x][y][k]
+            x, y = (toxicity._EDGE, toxicity._EDGE) if k == toxicity._EDGE else (y, k)
+        best = max(best, (score + (model.logp[x][y][toxicity._EDGE] if y != toxicity._EDGE else 0.0), said))
+    return best
+
+
+@pytest.mark.parametrize("span", ["m0r0n", "1d10t", "s.c.u.m", "wo*th", "stuuupid", "a b", "é3é"])
+def test_viterbi_finds_the_best_path(span):
+    model = _reader().model
+    score, said = _every_reading(model, span)
+    got = model.restore(span)
+    assert got == said.strip() or abs(_every_reading(model, got)[0]) <= abs(score) + 20
+
+
+def test_scores_by_brute_force(spark):
+    """Counts, weights and sums worked out in plain Python over a small table, without caps: every word has its weight."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["stone", "house", "river", "bread", "é", "field"]) for _ in range(8)) + (" m0ron" if i % 3 == 0 else "") + f" n{i % 7}x") for i in range(120)] + [(200, None), (201, "")]
+    rows += [rows[0], rows[0]]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(120)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.toxicity_scores(frame(spark, rows).withColumn("score", F.lit("clash")), lab).select("row.doc_id", "score").collect()}
+    raw = np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8)
+    reader = toxicity.Reader(toxicity._trigrams(raw, np.concatenate([[0], np.cumsum([len((t or "").encode()) for _, t in rows])])))
+    toxic = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 5}
+    train = {}
+    for i, t in rows:
+        if i in toxic:
+            train[t] = max(train.get(t, 0), toxic[i])
+    n1 = sum(train.values())
+    n0 = len(train) - n1
+    k = {}
+    for t, y in train.items():
+        for w in reader.words(t):
+            k.setdefault(w, [0, 0])[y] += 1
+    weight = {w: float(toxicity._weight(np.array([b]), np.array([a]), n1, n0)[0]) for w, (a, b) in k.items()}
+    total = {t: sum(weight.get(w, 0.0) for w in reader.words(t or "")) for _, t in rows}
+    bins = {}
+    for t, y in train.items():
+        s = float(np.round(total[t], 1))
+        bins[s, y] = bins.get((s, y), 0) + 1
+    a, b = toxicity._calibrate([(s, y, n) for (s, y), n in bins.items()])
+    for i, t in rows:
+        assert abs(got[i] - 1 / (1 + np.exp(-(a * total[t] + b)))) < 0.02
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     same(spark, QUERIES[name], ORACLE[name])
@@ -361,4 +557,4 @@ def test_toxicity_held_out_on_the_tables(spark):
     got = QUERIES["op8_noisy_channel_toxicity"](spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet"), "doc_id").where("held_out")
     pos, neg = ([r.score for r in got.where(f"toxic = {k}").collect()] for k in (1, 0))
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > 0.75  # few labelled rows; the tables of ten times the size give over 0.95
+    assert auc > 0.8  # 6 toxic of 70 rows; at ten times the rows it is over 0.95
