@@ -2,8 +2,12 @@
 
 Writing: one gzip member for each record, with the skip-length extra field ("sl"), so that a reader can step over a record
 without inflating it. Reading: files are planned into byte ranges, a record belongs to the range of its first byte, filters on
-record type and headers are pushed into the scan, a record's headers are inflated and parsed first, and the payload of an
-unwanted record is never inflated; with option payload=false no payload is.
+record type and headers are pushed into the scan, and a record's headers are inflated and parsed first, HEAD_STEP bytes at a time:
+of an unwanted record, or with option payload=false, nothing is inflated beyond the step in which its headers end.
+
+Archives of other writers are read as well, below nested folders, too: gzip members without "sl" (there the end of a member is only
+known by inflating it, a step at a time, and the file is one range) and plain WARC (stepped over by Content-Length, one range). Their
+records have no page_id; payload_bytes is the length of the payload where it is known, and a digest in base32 is given in hex.
 
 Payloads of at least MIN_REVISIT bytes that occur in several records are stored once: the record of the largest page_id is the
 response, the others revisit it.
@@ -15,7 +19,7 @@ are all responses if it is the largest; an empty table writes no records; other
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +40,8 @@ BATCH_BYTES = 8 << 20
 
 SCHEMA = "record_id string, record_type string, url string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
 WRITE_SCHEMA = "page_id long, url string, html string, record_type string, refers_to long, payload_digest string"
+#: Bytes inflated at once while a record's headers are looked for.
+HEAD_STEP = 1024
 #: gzip header: deflate, extra field, no time, unknown system, 12 extra bytes, subfield "sl" of 8.
 _SIGN = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x0c\x00sl\x08\x00"
 _PUSHED = {"record_type", "url", "page_id", "payload_digest", "record_id"}
@@ -134,52 +140,125 @@ def headers(text: bytes) -> dict[str, str]:
     return out
 
 
-def scan(f, begin: int, end: int, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of records whose first byte lies in [begin, end) and whose headers are wanted."""
-    at = begin
-    if begin:  # to the first record that begins here
-        held, base = b"", begin
-        while True:
-            f.seek(base + len(held))
-            more = f.read(1 << 16)
-            held += more
-            k = held.find(_SIGN)
-            if k >= 0:
-                at = base + k
-                break
-            if not more or base + len(held) - len(_SIGN) >= end:
-                return
-            base, held = base + max(0, len(held) - len(_SIGN)), held[-len(_SIGN) :]
+def kind_of(first: bytes) -> str:
+    """How a file is written, from its first bytes: own (gzip with "sl"), gzip, plain; empty if it is none of these."""
+    return "own" if first.startswith(_SIGN) else "gzip" if first[:3] == b"\x1f\x8b\x08" else "plain" if first[:5] == b"WARC/" else ""
+
+
+def _payload(block: bytes, h: dict[str, str]) -> bytes:
+    """What an HTTP response holds behind its headers; of other records, the block."""
+    return block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
+
+
+class _Member:
+    """A gzip member read a step at a time. inflated: how many bytes of it were."""
+
+    def __init__(self, f, at: int, wbits: int, most: int | None = None):
+        self.f, self.z, self.left = f, zlib.decompressobj(wbits), most
+        self.inflated, self.at = 0, at
+        f.seek(at)
+
+    def more(self, limit: int) -> bytes:
+        """Up to limit further bytes; empty at the end of the member."""
+        while not self.z.eof:
+            data = self.z.unconsumed_tail
+            if not data:
+                data = self.f.read(4096 if self.left is None else min(4096, self.left))
+                self.left = None if self.left is None else self.left - len(data)
+                self.at += len(data)
+            out = self.z.decompress(data, limit)
+            self.inflated += len(out)
+            if out or not data:
+                return out
+        return b""
+
+    def rest(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (out := self.more(size)):
+            parts.append(out)
+            size -= len(out)
+        return b"".join(parts)
+
+    def end(self) -> int:
+        """Where the member ends in the file: its remaining bytes are passed over."""
+        while self.more(1 << 16):
+            pass
+        return self.at - len(self.z.unused_data)
+
+
+def _head(more) -> tuple[bytes, bytes]:
+    """(header block, what was read behind it) from more(limit)."""
+    text = b""
+    while b"\r\n\r\n" not in text:
+        out = more(HEAD_STEP)
+        if not out:
+            break
+        text += out
+    head, _, rest = text.partition(b"\r\n\r\n")
+    return head, rest
+
+
+def _first_own(f, begin: int, end: int) -> int:
+    """Where the first record at or behind begin starts; end if none does before end."""
+    held, base = b"", begin
+    while True:
+        f.seek(base + len(held))
+        more = f.read(1 << 16)
+        held += more
+        k = held.find(_SIGN)
+        if k >= 0:
+            return base + k
+        if not more or base + len(held) - len(_SIGN) >= end:
+            return end
+        base, held = base + max(0, len(held) - len(_SIGN)), held[-len(_SIGN) :]
+
+
+def scan(f, begin: int, end: int, wanted, with_payload: bool, measured: list[int] | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of records whose first byte lies in [begin, end) and whose headers are wanted.
+
+    measured gets how many bytes were inflated or read of each record.
+    """
+    f.seek(begin)
+    kind = "own" if begin else kind_of(f.read(len(_SIGN)))
+    at = _first_own(f, begin, end) if begin else 0
     while at < end:
         f.seek(at)
-        first = f.read(2048)
-        if not first:
+        first = f.read(len(_SIGN) + 8)
+        if not first.strip(b"\r\n"):
             return
-        if not first.startswith(_SIGN):
+        now = kind_of(first)
+        if now != kind:
             raise ValueError(f"no record at byte {at}")
-        total = struct.unpack_from("<I", first, len(_SIGN))[0]
-        z = zlib.decompressobj(-15)
-        text = z.decompress(first[len(_SIGN) + 8 : total])
-        read = len(first)
-        while b"\r\n\r\n" not in text and read < total:
-            more = f.read(min(4096, total - read))
-            read += len(more)
-            text += z.decompress(more)
-        head, _, rest = text.partition(b"\r\n\r\n")
+        if kind == "plain":
+            f.seek(at)
+            m, body_at = None, 0
+            head, rest = _head(f.read)
+            body_at = at + len(head) + 4
+        else:
+            total = struct.unpack_from("<I", first, len(_SIGN))[0] if kind == "own" else None
+            m = _Member(f, at + len(first), -15, total - len(first)) if kind == "own" else _Member(f, at, 31)
+            head, rest = _head(m.more)
         h = headers(head)
+        size = int(h.get("content-length", 0))
         if wanted(h):
             payload = None
             if with_payload:
-                if read < total:
-                    rest += z.decompress(f.read(total - read))
-                block = rest[: int(h["content-length"])]
-                payload = block.partition(b"\r\n\r\n")[2]
+                if m is None:
+                    f.seek(body_at)
+                    block = f.read(size)
+                else:
+                    block = rest[:size] + m.rest(size - len(rest))
+                payload = _payload(block, h)
             yield h, payload
-        at += total
+        if measured is not None:
+            measured.append(m.inflated if m else len(head))
+        at = body_at + size + 4 if m is None else at + total if kind == "own" else m.end()
 
 
 def _hex(digest: str | None) -> str | None:
-    return base64.b32decode(digest.partition(":")[2]).hex() if digest else None
+    """A digest in hex; one that isn't base32 stays as it is."""
+    value = digest.rpartition(":")[2] if digest else None
+    return base64.b32decode(value).hex() if value and len(value) % 8 == 0 and re.fullmatch("[A-Z2-7]+", value) else value
 
 
 def _bare(uri: str | None) -> str | None:
@@ -219,8 +298,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, folder = _fs(self.path)
-        files = [x for x in fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)) if x.base_name.endswith(".warc.gz")]
-        ranges = [(x.path, a, min(a + self.split, x.size)) for x in sorted(files, key=lambda x: x.path) for a in range(0, x.size, self.split)]
+        found = fs.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True, allow_not_found=True))
+        files = [x for x in found if x.is_file and x.base_name.endswith((".warc.gz", ".warc")) and not x.base_name.startswith(("_", "."))]
+        ranges = []
+        for x in sorted(files, key=lambda x: x.path):
+            step = self.split
+            if x.size > step:  # only own files can be entered anywhere
+                with fs.open_input_file(x.path) as f:
+                    step = step if kind_of(f.read(len(_SIGN))) == "own" else x.size
+            ranges += [(x.path, a, min(a + step, x.size)) for a in range(0, x.size, step)]
         out: list[list[tuple[str, int, int]]] = []
         held = self.split
         for r in ranges:
@@ -241,7 +327,10 @@ class WarcReader(DataSourceReader):
         for path, begin, end in partition.parts:
             with fs.open_input_file(path) as f:
                 for h, payload in scan(f, begin, end, ok, self.with_payload):
-                    rows.append((*(_READ[n](h) for n in names[:-1]), payload))
+                    known = tuple(_READ[n](h) for n in names[:-1])
+                    if known[5] is None and payload is not None and known[1] == "response":
+                        known = (*known[:5], len(payload), *known[6:])
+                    rows.append((*known, payload))
                     held += len(payload or b"") + 200
                     if held > BATCH_BYTES:
                         yield batch(rows)
@@ -272,9 +361,10 @@ def register(spark: SparkSession) -> None:
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """Columns of WRITE_SCHEMA: which page of equal payloads is the response, and whom the others revisit."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("payload_digest"), F.octet_length(html).alias("n"))
     firsts = rows.where(F.col("n") >= MIN_REVISIT).groupBy("payload_digest", "n").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 AND first IS NOT NULL").drop("k")
-    both = rows.join(firsts, ["payload_digest", "n"], "left")
+    both = rows.join(C.sized(*C.counted(firsts)), ["payload_digest", "n"], "left")  # no page is shuffled while the repeated digests are few
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "payload_digest")
 
@@ -285,26 +375,23 @@ def write_archives(pages: DataFrame, folder: str) -> None:
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """All records; where() on the result is pushed into the scan. Spark keeps what was pushed with the loaded table, so read
+    the archives anew for another filter rather than filter one frame twice."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
 
 
-def digests(records: DataFrame) -> DataFrame:
+def digests(responses: DataFrame, revisits: DataFrame) -> DataFrame:
     """Per record: the digest and length of what a response holds, and of what a revisit names."""
-    own = F.col("record_type") == "response"
-    return records.select(
-        "page_id",
-        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    own = responses.where("record_type = 'response'").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    return own.unionByName(revisits.where("record_type = 'revisit'").select(own.columns))
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     folder = C.scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return digests(read_archives(spark, folder))
+    # record types are pushed into both scans; payloads are asked for where there are any
+    return digests(read_archives(spark, folder), read_archives(spark, folder, payload=False))
 
 
 ORACLE = {
