@@ -13,14 +13,18 @@ the centre is not the right one, buckets whose members are still in different co
 * If only the shingles of more than RARE holders bound it so, a link must share a rarer one: the member is compared with the
   few holders of its rare shingles and leaves.
 * What is left after PEELS such (linear) steps goes through rounds of further stars, 64 times as many centres each round, over
-  pairs that aren't joined, that the first bound leaves possible and that the signature bits don't rule out (five standard
-  deviations or more). Each member has left or been a centre once when the rounds end.
+  pairs that aren't joined and that the first bound leaves possible. Each member has left or been a centre once when the
+  rounds end. The members of a large bucket are dealt out in slices, each met by all of the round's centres.
 
-So every pair that shares a bucket is joined or refuted. A pair at exactly 0.75 shares none of the 32 buckets with probability
-below 1e-5.
+So every pair that shares a bucket is joined or refuted on its sets and sizes alone. A pair at exactly 0.75 shares none of the 32
+buckets with probability below 1e-5 (README has the recall measured against brute force).
+
+Classes are keyed by a 64-bit fingerprint of their set (two sets of n get the same one with probability of about n**2 / 2**65).
+Sets are read once more after signing, for classes that share a bucket with another one, and kept as a checkpoint.
 
 Defined cases: null or blank text is an empty set and linked with nothing; repeated rows are copies of one class; rows of
-one doc_id share that id as their node; other columns are ignored; an empty table gives an empty result.
+one doc_id are one node, whatever their texts, and a null doc_id is a node of its own, linked with nothing; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,19 +41,17 @@ WIDTH = 5
 THRESHOLD_PCT = 75
 BINS = 256
 BANDS, ROWS = 32, 4
-#: (size of the smaller set at least, signature bits that may differ): at a similarity of 0.75 one bit in eight does, 32 of
-#: 256, with a deviation of 5.3 for large sets; small sets fill fewer bins, which copy one another, so it is about 10
-#: there. Still smaller sets are never passed over.
-MOST_BITS = ((512, 66), (128, 84))
 GROWTH = 64
 #: How often members out of reach leave before centres are taken.
 PEELS = 2
 #: Holders of a rare shingle at most.
 RARE = 32
+#: Members of a slice of a bucket.
+SLICE = 2048
 
 _rng = np.random.default_rng(20240501)
 _ORDER = np.array([_rng.permutation(BINS) for _ in range(BINS)])
-_SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, c0 long, c1 long, c2 long, c3 long"
+_SIGNATURE = "doc_id long, n long, id long, bands array<long>"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +73,18 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, np.bincount(doc, minlength=len(off) - 1)
 
 
-def signatures(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, fingerprints of another kind, band keys, check bits) of non-empty sets."""
-    doc = np.repeat(np.arange(len(n)), n)
+def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each non-empty set, from two sums over its shingles and its size."""
     first = np.cumsum(n) - n
-    f1 = np.add.reduceat(h, first) if len(h) else np.empty(0, np.uint64)
-    f2 = np.add.reduceat(C.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first) if len(h) else np.empty(0, np.uint64)
+    if not len(h):
+        return np.empty(0, np.uint64)
+    one, two = np.add.reduceat(h, first), np.add.reduceat(C.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
+    return C.mix(one ^ C.mix(two + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Band keys of non-empty sets."""
+    doc = np.repeat(np.arange(len(n)), n)
     bin_ = (h >> np.uint64(56)).astype(np.int64)
     cell = doc * BINS + bin_
     new = np.ones(len(cell), bool)
@@ -96,39 +104,42 @@ def signatures(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     bands = np.zeros(keyed.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
         bands = C.mix((bands ^ keyed[:, :, r]) * np.uint64(0x9E3779B97F4A7C15))
-    bits = np.packbits(((minima >> np.uint64(9)) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-    return f1, f2, bands, bits
+    return bands
 
 
 def _sign(docs: DataFrame) -> DataFrame:
     def run(batches):
+        C.release()
         for b in batches:
             raw, off = C.utf8(b.column(1))
             for i, j, part, at in C.pieces(raw, off):
                 h, n = shingle_sets(part, at)
                 some = np.flatnonzero(n)
-                f1, f2, bands, bits = signatures(h, n[some])
-                wide = np.zeros((len(n), 6), np.int64)
-                wide[some, 0], wide[some, 1], wide[some, 2:] = f1.view(np.int64), f2.view(np.int64), bits
+                ids = np.zeros(len(n), np.int64)
+                ids[some] = fingerprints(h, n[some]).view(np.int64)
+                bands = signatures(h, n[some])
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-                arrays = [b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1).view(np.int64))), *(pa.array(wide[:, k]) for k in range(2, 6))]
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _SIGNATURE.split(", ")])
+                arrays = [b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ids, mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "id", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s binary): the sorted set of each document whose id is asked for."""
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, s binary): the fingerprint and the sorted set of each row whose doc_id is asked for."""
 
     def run(batches):
+        C.release()
         for b in batches:
             raw, off = C.utf8(b.column(1))
             for i, j, part, at in C.pieces(raw, off):
                 h, n = shingle_sets(part, at)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "s"])
+                some = np.flatnonzero(n)
+                ids = fingerprints(h, n[some]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in some.tolist()], pa.binary())], ["id", "s"])
 
-    return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, s binary")
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, s binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,33 +163,20 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _possible(x: str, y: str):
-    """Whether sizes and signature bits of two classes leave a link possible."""
-    differ = sum((F.bit_count(F.col(f"{x}.c{k}").bitwiseXOR(F.col(f"{y}.c{k}"))) for k in range(4)), F.lit(0))
-    least, most = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    bound = F.when(least >= MOST_BITS[0][0], MOST_BITS[0][1]).when(least >= MOST_BITS[1][0], MOST_BITS[1][1]).otherwise(BINS)
-    return (least * 100 >= most * THRESHOLD_PCT) & (differ <= bound)
+    """Whether the sizes of two classes leave a link possible."""
+    return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * THRESHOLD_PCT
 
 
 class _Links:
-    """Confirmed components so far: (v, root)."""
+    """Sets of the classes that share buckets, and confirmed components so far: (v, root)."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs, self.sets, self.roots, self.n = docs, None, None, 0
-
-    def fetch(self, ids: DataFrame) -> None:
-        """Reads the sets of ids that aren't held yet."""
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("id"), "id", "left_anti")
-        ids, n = C.counted(ids)
-        if n:
-            more = C.cut(_sets_of(self.docs, C.sized(ids, n)))
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
+    def __init__(self, sets: DataFrame, given: DataFrame, n_given: int):
+        self.sets, self.roots, self.n = sets, None, 0
+        if n_given:  # links that hold whatever the sets say
+            self.roots, self.n = components(given)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Verifies (a, b) pairs of classes and joins their components."""
-        self.fetch(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        if self.sets is None:
-            return
         links, n = C.counted(_linked(pairs, self.sets))
         if not n:
             return
@@ -204,10 +202,7 @@ class _Links:
                     n = [len(x) for x in sets]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in (0, 1))], ["h", "id", "root"])
 
-        self.fetch(ids)
-        if self.sets is None:
-            self.sets = self.docs.sparkSession.createDataFrame([], "id long, s binary")
-        held = self.rooted(self.sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "id").select("id", F.col("id_root").alias("root"), "s")
+        held = self.rooted(self.sets.join(ids, "id", "left_semi"), "id").select("id", F.col("id_root").alias("root"), "s")
         each = held.mapInArrow(shingles, "h long, id long, root long")
         kinds = each.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"))
         kinds = kinds.where((F.col("r0") == F.col("r1")) | (F.col("k") <= RARE)).select("h", (F.col("r0") == F.col("r1")).alias("own"))
@@ -226,7 +221,7 @@ def _mixed(links: _Links, open_: DataFrame) -> tuple[DataFrame, int]:
     C.free_shuffles(open_.sparkSession)
     now = links.rooted(open_, "id")
     mixed = now.groupBy("key").agg(F.min("id_root").alias("r0"), F.max("id_root").alias("r1")).where("r0 <> r1").select("key")
-    return C.counted(now.join(mixed, "key", "left_semi").select(*open_.columns))
+    return C.counted(now.join(C.sized(*C.counted(mixed)), "key", "left_semi").select(*open_.columns))
 
 
 def _peeled(links: _Links, open_: DataFrame, facts: DataFrame) -> DataFrame:
@@ -251,22 +246,49 @@ def _peeled(links: _Links, open_: DataFrame, facts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     spark = docs.sparkSession
+    C.bounded_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = C.cut(_sign(d))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2")
-    classes, n_classes = C.counted(classes.agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("bands", "c0", "c1", "c2", "c3"))))
-    facts = C.sized(classes.select("id", "n", "c0", "c1", "c2", "c3"), n_classes)
-    signs = C.sized(classes.select("id", "bands", "c0", "c1", "c2", "c3"), n_classes)
+    named = signed.where("n > 0 AND doc_id IS NOT NULL")
+    classes, n_classes = C.counted(named.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    facts = C.sized(classes.select("id", "n"), n_classes)
     members = classes.select("id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = C.sized(*C.counted(members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")))
     shared = C.cut(members.join(buckets, "key"))
     C.free_shuffles(spark)
+    # the sets of classes that share a bucket, read once
+    wanted = shared.select("id").distinct().join(classes.select("id", F.col("least").alias("doc_id")), "id").select("doc_id").distinct()
+    again = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("a"), F.max("id").alias("b")).where("rows > 1")
+    again, n_again = C.counted(again)
+    sets = _sets_of(d, C.sized(*C.counted(wanted)))
+    links = _Links(C.cut(sets.dropDuplicates(["id"]) if n_again else sets), *_same_node(named, again, n_again))
     stars = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = stars.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), (F.col("b") == F.col("y.id")) & _possible("x", "y"))
-    links = _Links(d)
     links.confirm(C.counted(near.select("a", "b"))[0])
+    _settle(links, shared, classes, n_classes, facts)
+    # a component is named by the least doc_id of its classes
+    least = classes.select("id", "least")
+    if links.roots is not None:
+        ends = links.roots.select("v", "root").unionByName(links.roots.select(F.col("root").alias("v"), "root")).distinct()
+        ends = ends.join(least, F.col("v") == F.col("id"))
+        named_roots = ends.groupBy("root").agg(F.min("least").alias("component"))
+        least = least.join(C.sized(ends.join(named_roots, "root").select(F.col("v").alias("id"), "component"), 2 * links.n), "id", "left")
+        least = least.select("id", F.coalesce("component", "least").alias("least"))
+    out = signed.select("doc_id", "n", "id").join(least, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _same_node(named: DataFrame, again: DataFrame, n_again: int) -> tuple[DataFrame, int]:
+    """(a, b) links between classes that share a doc_id."""
+    own = again.where("a <> b").select("doc_id", "a")
+    return C.counted(named.select("doc_id", "id").join(C.sized(own, n_again), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()) if n_again else (again, 0)
+
+
+def _settle(links: _Links, shared: DataFrame, classes: DataFrame, n_classes: int, facts: DataFrame) -> None:
+    """Joins or refutes every pair of classes that shares a bucket."""
+    signs = C.sized(classes.select("id", "bands"), n_classes)
     share = (F.xxhash64("key", "id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    low, most = 0.0, 1.0
     open_ = shared.join(facts.select("id", "n"), "id").select("key", "id", "size", share.alias("turn"), "n", F.col("n").alias("m"))
     open_, n = _mixed(links, open_)
     for _ in range(PEELS):
@@ -283,23 +305,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a pair is looked at in the least bucket it shares, once: by the first of the two to be a centre there
         place = F.col("turn") * F.col("size")
         held = links.rooted(open_, "id").join(signs, "id").withColumn("place", place).where(F.col("place") >= low)
-        centre = held.where(F.col("place") < most).alias("x")
+        slices = F.greatest(F.floor(F.col("size") / SLICE), F.lit(1))
+        centre = held.where(F.col("place") < most).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).alias("x")
+        others = held.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).alias("y")
         once = (F.col("y.place") >= most) | (F.col("x.id") < F.col("y.id"))
         least = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
         shared_most = F.least("x.m", "y.m")
         reachable = shared_most * 100 >= (F.col("x.n") + F.col("y.n") - shared_most) * THRESHOLD_PCT
-        pairs = centre.join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id_root") != F.col("y.id_root")) & once & reachable & _possible("x", "y") & least)
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.id_root") != F.col("y.id_root"))
+        pairs = centre.join(others, met & once & reachable & least)
         pairs, k = C.counted(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
         if k:
             links.confirm(pairs)
         # a bucket is done when its last member has been a centre
         open_, n = _mixed(links, open_.where(F.col("size") > most))
         low, most = most, most * GROWTH
-    ids = classes.select("n", "f1", "f2", F.col("id").alias("class_id"))
-    out = signed.select("doc_id", "n", "f1", "f2").join(ids, ["n", "f1", "f2"], "left")
-    out = links.rooted(out, "class_id")
-    component = F.coalesce("class_id_root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
