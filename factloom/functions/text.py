@@ -81,5 +81,11 @@ def number(c: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 12) -> Column:
-    """Sentences of at least so many characters; line breaks and semicolons end one, too."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|[\n;•]+"), lambda s: squeeze(s)), lambda s: F.length(s) >= least)
+    """Sentences of at least so many characters; bullets and semicolons end one, too."""
+    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.filter(F.transform(F.split(clean, r"(?<=[.!?]) +| *[•·▪◦;] *"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+
+def quotable(text: Column) -> Column:
+    """Sentences of any length; line breaks end one, too."""
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n+"), lambda s: squeeze(s)), lambda s: s != "")

@@ -1,51 +1,17 @@
-"""Relation evidence between label dimensions over blocks of text, by descending strength."""
+"""What is inferred between label dimensions; the relation cascade itself is operators.rules.relation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Confidence of a relation's strength.
 STRENGTH = {"direct": 0.78, "structured": 0.74, "contextual": 0.70, "page_context": 0.66, "partial": 0.55}
 
 
-def named(padded_text: Column, terms: list[str]) -> Column:
-    """Whether a padded text holds any of the terms as whole words."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(padded_text, F.lit(f" {t} "))
-    return out
-
-
-def cascade(blocks: DataFrame, group: str, order: str, a: Column, b: Column) -> DataFrame:
-    """(group, strength, at): the strongest relation between two facts of blocks, and the first block that shows it.
-
-    direct: one block names both; contextual: the block before names the other; structured: within two blocks; page_context: the
-    group names both somewhere; partial: one of them; no row where neither is named. One window pass and one grouping.
-    """
-    w = W.partitionBy(group).orderBy(order)
-    near = w.rowsBetween(-2, 2)
-    m = blocks.select(group, order, a.alias("_a"), b.alias("_b"))
-    m = m.withColumn("_pa", F.coalesce(F.lag("_a").over(w), F.lit(False))).withColumn("_pb", F.coalesce(F.lag("_b").over(w), F.lit(False)))
-    m = m.withColumn("_na", F.bool_or("_a").over(near)).withColumn("_nb", F.bool_or("_b").over(near))
-    level = F.when(F.col("_a") & F.col("_b"), 0).when((F.col("_a") & F.col("_pb")) | (F.col("_b") & F.col("_pa")), 1).when((F.col("_a") & F.col("_nb")) | (F.col("_b") & F.col("_na")), 2).when(F.col("_a") | F.col("_b"), 3)
-    g = m.withColumn("_l", level).groupBy(group).agg(F.min("_l").alias("l"), F.min_by(order, F.struct(F.coalesce("_l", F.lit(9)), order)).alias("at"), (F.bool_or("_a") & F.bool_or("_b")).alias("both"))
-    name = F.when(F.col("l") == 0, "direct").when(F.col("l") == 1, "contextual").when(F.col("l") == 2, "structured").when(F.col("both"), "page_context").otherwise("partial")
-    return g.where("l IS NOT NULL").select(group, name.alias("strength"), "at")
-
-
 def infer(known: Column, by: Column, table: dict[str, str]) -> Column:
     """A missing value inferred from another one."""
     out = F.lit(None).cast("string")
     for k, v in table.items():
         out = F.when(by == k, v).otherwise(out)
     return F.coalesce(known, out)
-
-
-def ambiguous(labels: Column, clusters: list[set[str]]) -> Column:
-    """Several labels that don't all lie in one cluster."""
-    inside = F.lit(False)
-    for c in clusters:
-        inside = inside | (F.size(F.array_except(labels, F.array(*[F.lit(x) for x in sorted(c)]))) == 0)
-    return (F.size(labels) > 1) & ~inside

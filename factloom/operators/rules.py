@@ -1,21 +1,34 @@
 """Rule-table label matching as joins.
 
-A rule names a label of a dimension by terms: any of some, all of some, none of some, and at least one of required ones.
-Terms and texts are compared as whole words in lower case. Texts meet terms on a term's first word (an equi-join with the small
-term table), and phrases are verified on the text afterwards, so the work follows the matching words, not texts times rules.
+A rule names a label of a dimension by terms: any of some, all of some, none of some, at least one of required ones, and
+patterns. Terms are compared on normalised text (NFKC, one kind of dash, single spaces, case-folded) as whole words, blanks and
+hyphens being the same; patterns are searched in the text as it stands, in any case. Texts meet terms on a term's first word (an
+equi-join with the small term table), and phrases are verified in the same pass, so the work follows the matching words, not texts
+times rules, and texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-RULE = "dimension string, label string, ord int, any_of array<string>, all_of array<string>, exclude array<string>, requires_any array<string>"
+from .joins import SMALL_ROWS, small
+from .vocabulary import NEGATION, PREDICATES
+
+RULE = "dimension string, label string, ord int, any_of array<string>, all_of array<string>, exclude array<string>, requires_any array<string>, regex array<string>"
+KINDS = ("all_of", "any_of", "regex", "exclude", "requires_any")
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rules, RULE)
+    """Rules of seven fields have no patterns. A label that a dimension has twice is an error."""
+    seen = [(r[0], r[1]) for r in rules]
+    if len(set(seen)) < len(seen):
+        raise ValueError("a dimension names a label twice")
+    return spark.createDataFrame([r if len(r) == 8 else (*r, []) for r in rules], RULE)
 
 
 def extend(rules: list[tuple], label: str, terms: list[str]) -> list[tuple]:
@@ -30,62 +43,224 @@ def overlay(base: DataFrame, custom: DataFrame) -> DataFrame:
     return base.join(custom, ["dimension", "label"], "left_anti").select(base.columns).unionByName(custom)
 
 
+def normalize(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).replace("­", "").replace("–", "-").replace("—", "-")
+    return " ".join(text.split()).casefold()
+
+
+def _normalized(c: pd.Series) -> pd.Series:
+    return c.map(normalize, na_action="ignore")
+
+
+def normalized(c: Column | str) -> Column:
+    """Spark has no NFKC and no case folding: an Arrow batch at a time in Python."""
+    return F.pandas_udf(_normalized, "string")(c)
+
+
 def variants(term: str) -> list[str]:
     """A term and its regular plural."""
     return [term] if term.endswith(("s", "x")) else [term, term + "s"]
 
 
-def word_array(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def spaced(c: Column) -> Column:
+    """Words and signs of a normalised text parted by single blanks, with one at either end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(c, r"([^\p{L}\p{N}_\s-])", " $1 "), r"[\s-]+", " ")), F.lit(" "))
 
 
 def padded(c: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(word_array(c), " "), F.lit(" "))
+    return spaced(normalized(c))
+
+
+def named(padded_text: Column, terms) -> Column:
+    """Whether a padded text holds any of the (normalised) terms as whole words."""
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.contains(padded_text, F.lit(f" {t} "))
+    return out
+
+
+def negated(padded_text: Column) -> Column:
+    return named(padded_text, NEGATION)
+
+
+def asserted(padded_text: Column) -> Column:
+    return named(padded_text, PREDICATES)
+
+
+def term_table(rules: DataFrame) -> DataFrame:
+    """(dimension, label, kind, pos, term, n, v, w, phrase): every variant of every term, its first word and the term's length."""
+    words = [k for k in KINDS if k != "regex"]
+    each = rules.select("dimension", "label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("terms")) for k in words])).alias("k"))
+    terms = each.select("dimension", "label", "k.kind", F.posexplode("k.terms").alias("pos", "term")).withColumn("norm", normalized("term"))
+    plural = F.when(~F.col("norm").rlike("[sx]$"), F.concat("norm", F.lit("s")))
+    terms = terms.withColumn("v", F.explode(F.array_compact(F.array(F.col("norm"), plural))))
+    terms = terms.withColumn("n", F.length("norm")).withColumn("v", F.trim(spaced(F.col("v")))).where("v <> ''")
+    return terms.withColumn("w", F.split("v", " ")[0]).withColumn("phrase", F.contains("v", F.lit(" "))).drop("norm")
 
 
 def term_hits(texts: DataFrame, rules: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, dimension, label, kind, term) for every term of a rule in a text; kind: any_of, all_of, exclude, requires_any."""
-    kinds = ("any_of", "all_of", "exclude", "requires_any")
-    each = rules.select("dimension", "label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("terms")) for k in kinds])).alias("k"))
-    terms = each.select("dimension", "label", "k.kind", F.explode("k.terms").alias("raw")).withColumn("term", F.array_join(word_array(F.col("raw")), " ")).where("term <> ''")
-    terms = terms.withColumn("w", F.split("term", " ")[0]).withColumn("phrase", F.contains("term", F.lit(" "))).drop("raw")
-    tokens = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(word_array(F.col(text_col)))).alias("w"))
-    near = tokens.join(F.broadcast(terms), "w")  # a rule table is a vocabulary of fixed, small size
-    single = near.where(~F.col("phrase")).select("id", "dimension", "label", "kind", "term")
-    whole = texts.select(F.col(id_col).alias("id"), padded(F.col(text_col)).alias("t"))
-    phrases = near.where("phrase").join(whole, "id").where(F.col("t").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
-    return single.unionByName(phrases.select(single.columns)).distinct()
+    """(id, dimension, label, kind, pos, term, n) for every term or pattern of a rule in a text; a pattern's term is what it met."""
+    terms = term_table(rules)
+    held = terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    t = texts.select(F.col(id_col).alias("id"), padded(F.col(text_col)).alias("t"))
+    tokens = F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("w")
+    whole = F.contains("t", F.concat(F.lit(" "), "v", F.lit(" ")))
+    out = ["id", "dimension", "label", "kind", "pos", "term", "n"]
+    if held:
+        hits = t.select("id", "t", tokens).join(F.broadcast(terms), "w").where(~F.col("phrase") | whole).select(out)
+    else:  # terms too many to broadcast: texts stay behind, and only those with a phrase to verify are joined again
+        near = t.select("id", tokens).join(terms, "w")
+        some = near.where("phrase")
+        verified = some.join(t.join(some.select("id").distinct(), "id", "left_semi"), "id").where(whole)
+        hits = near.where("NOT phrase").select(out).unionByName(verified.select(out))
+    return hits.unionByName(_pattern_hits(texts, rules, id_col, text_col)).distinct()
+
+
+def _pattern_hits(texts: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    found = rules.select("dimension", "label", F.posexplode("regex").alias("pos", "pattern")).limit(SMALL_ROWS).collect()  # of a vocabulary
+    met = [F.struct(F.lit(r.dimension).alias("dimension"), F.lit(r.label).alias("label"), F.lit("regex").alias("kind"), F.lit(r.pos).alias("pos"), F.regexp_extract(text_col, f"(?iU){r.pattern}", 0).alias("term")) for r in found]
+    none = "array<struct<dimension:string,label:string,kind:string,pos:int,term:string>>"
+    hits = texts.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*met), lambda x: x["term"] != "") if met else F.array().cast(none)).alias("m"))
+    return hits.select("id", "m.*").withColumn("n", F.length(normalized("term")))
 
 
 def labels(texts: DataFrame, rules: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, dimension, label, ord, hits, score) of every rule that a text meets; the score grows with specificity."""
+    """(id, dimension, label, ord, hits, score) of every rule that a text meets.
+
+    score, compared field by field: 3 for a rule with required terms, 1 for one with patterns, and its hits; the hits' length; the number of
+    required terms. hits: distinct, required terms first, then any-terms, then what patterns met, each in the rule's order.
+    """
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    got = term_hits(texts, rules, id_col, text_col).groupBy("id", "dimension", "label").agg(
-        n("any_of").alias("n_any"), n("all_of").alias("n_all"), n("exclude").alias("n_not"), n("requires_any").alias("n_req"), F.array_sort(F.collect_set(F.when(F.col("kind").isin("any_of", "all_of"), F.col("term")))).alias("hits")
-    )
-    j = got.join(F.broadcast(rules.select("dimension", "label", "ord", F.size("any_of").alias("k_any"), F.size("all_of").alias("k_all"), F.size("requires_any").alias("k_req"))), ["dimension", "label"])
-    ok = j.where("n_not = 0 AND n_all = k_all AND (k_any = 0 OR n_any > 0) AND (k_req = 0 OR n_req > 0) AND n_any + n_all > 0")
-    return ok.select("id", "dimension", "label", "ord", "hits", (3 * F.col("n_all") + F.col("n_any")).alias("score"))
+    order = F.when(F.col("kind") == "all_of", 0).when(F.col("kind") == "any_of", 1).when(F.col("kind") == "regex", 2)
+    entry = F.when(order.isNotNull(), F.struct(order.alias("o"), "pos", "term", "n"))
+    got = term_hits(texts, rules, id_col, text_col).groupBy("id", "dimension", "label").agg(n("all_of").alias("n_all"), n("exclude").alias("n_not"), n("requires_any").alias("n_req"), F.array_sort(F.collect_set(entry)).alias("met"))
+    known = small(rules.select("dimension", "label", "ord", F.size("all_of").alias("k_all"), F.size("requires_any").alias("k_req"), F.size("regex").alias("k_regex")))
+    ok = got.join(known, ["dimension", "label"]).where("n_not = 0 AND n_all = k_all AND size(met) > 0 AND (k_req = 0 OR n_req > 0)")
+    once = F.filter("met", lambda x, i: F.array_position(F.transform("met", lambda y: y["term"]), x["term"]) == i + 1)
+    ok = ok.withColumn("met", once)
+    first = F.when(F.col("k_all") > 0, 3).otherwise(0) + F.when(F.col("k_regex") > 0, 1).otherwise(0) + F.size("met")
+    weight = F.aggregate("met", F.lit(0), lambda a, x: a + x["n"])
+    score = F.struct(first.alias("hits"), weight.alias("weight"), F.col("k_all").alias("required"))
+    return ok.select("id", "dimension", "label", "ord", F.transform("met", lambda x: x["term"]).alias("hits"), score.alias("score"))
+
+
+def rank() -> Column:
+    """Orders labels by specificity; of equal ones, the first rule comes first."""
+    return F.struct((-F.col("score.hits")).alias("a"), (-F.col("score.weight")).alias("b"), (-F.col("score.required")).alias("c"), "ord", "label")
 
 
 def best_label(found: DataFrame) -> DataFrame:
-    """The most specific label of each text and dimension; of equal ones, the first rule."""
-    w = W.partitionBy("id", "dimension").orderBy(F.desc("score"), "ord", "label")
-    return found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The most specific label of each text and dimension."""
+    best = found.groupBy("id", "dimension").agg(F.min_by(F.struct("label", "hits", "score"), rank()).alias("b"))
+    return best.select("id", "dimension", "b.*")
 
 
-def sentence_labels(texts: DataFrame, rules: DataFrame, sentences: Column, id_col: str = "id") -> DataFrame:
-    """(id, dimension, label, position, sentence): the first sentence of a text that meets a rule is its proof."""
-    each = texts.select(F.col(id_col).alias("doc"), F.posexplode(sentences).alias("position", "sentence"))
-    keyed = each.withColumn("sid", F.concat_ws(":", "doc", "position"))
-    first = labels(keyed, rules, "sid", "sentence").join(keyed.withColumnRenamed("sid", "id"), "id")
-    pick = F.min_by(F.struct("position", "sentence"), "position")
-    return first.groupBy(F.col("doc").alias("id"), "dimension", "label").agg(pick.alias("p")).select("id", "dimension", "label", "p.position", "p.sentence")
+def core(found: DataFrame, market_of: dict[str, str]) -> DataFrame:
+    """(id, markets, components, operations, market, component, operation, inferred) of each text with a label.
+
+    The best label of each core dimension; a market that the component belongs to is preferred if the text names it, too.
+    inferred: the markets that the components belong to.
+    """
+    of = lambda d: F.col("dimension") == d
+    every = lambda d: F.array_sort(F.collect_set(F.when(of(d), F.col("label")))).alias(d + "s")
+    best = lambda d: F.min_by(F.when(of(d), F.col("label")), F.when(of(d), rank())).alias(d)
+    dims = ("market", "component", "operation")
+    g = found.where(F.col("dimension").isin(*dims)).groupBy("id").agg(*[every(d) for d in dims], *[best(d) for d in dims])
+    pairs = F.create_map(*[F.lit(x) for kv in market_of.items() for x in kv])
+    g = g.withColumn("inferred", F.array_sort(F.array_distinct(F.array_compact(F.transform("components", lambda c: F.try_element_at(pairs, c))))))
+    own = F.try_element_at(pairs, F.col("component"))
+    return g.withColumn("market", F.when(F.array_contains("markets", own), own).otherwise(F.col("market")))
+
+
+def ambiguous(clusters: list[set[str]]) -> Column:
+    """Whether a window of core() lists several applications: components of several markets, or markets that neither a component
+    settles nor one cluster holds."""
+    settled = (F.size("inferred") == 1) & F.array_contains("markets", F.col("inferred")[0])
+    inside = F.lit(False)
+    for c in clusters:
+        inside = inside | (F.size(F.array_except("markets", F.array(*[F.lit(x) for x in sorted(c)]))) == 0)
+    settled = F.coalesce(settled, F.lit(False))
+    return ((F.size("components") > 1) & ~settled) | ((F.size("markets") > 1) & ~settled & ~inside)
+
+
+BIBLIOGRAPHIC = r"(?i)doi\.org|et al|conference|congress|proceedings|\[\s*pdf"
+INITIALS = r"\b[A-Z]\.[,:]\s"
+
+
+def usable(sentence: Column, readable: Column, most: int | None = None, bibliography: bool = False, negation: bool = False) -> Column:
+    """Sentence guards. Length and bibliography are judged on the sentence as written, negation on what is read of it."""
+    out = F.lit(True)
+    if most is not None:
+        out = out & (F.length(sentence) <= most)
+    if bibliography:
+        out = out & ~sentence.rlike(BIBLIOGRAPHIC) & ~sentence.rlike(INITIALS)
+    if negation:
+        out = out & ~negated(padded(readable))
+    return out
+
+
+def masked(text: Column, names: list[str]) -> Column:
+    """The text with names blanked, in any case."""
+    for name in names:
+        text = F.regexp_replace(text, "(?iu)" + re.escape(name), " ")
+    return text
+
+
+def _sentences(texts: DataFrame, sentences: Column, id_col: str) -> DataFrame:
+    return texts.select(F.col(id_col).alias("doc"), F.posexplode(sentences).alias("position", "sentence")).withColumn("sid", F.struct("doc", "position"))
+
+
+def sentence_labels(texts: DataFrame, rules: DataFrame, sentences: Column, id_col: str = "id", names: list[str] = (), guard=None, also: tuple[str, str] | None = None) -> DataFrame:
+    """(id, dimension, label, position, sentence): the first sentence of a text that meets a rule is its proof.
+
+    Names are blanked before reading, the sentence is given as written. guard(sentence, readable) says which sentences count;
+    also: a (dimension, label) that the sentence must name, too.
+    """
+    each = _sentences(texts, sentences, id_col).withColumn("readable", masked(F.col("sentence"), list(names)))
+    if guard is not None:
+        each = each.where(guard(F.col("sentence"), F.col("readable")))
+    found = labels(each, rules, "sid", "readable")
+    if also:
+        with_it = found.where((F.col("dimension") == also[0]) & (F.col("label") == also[1])).select("id")
+        found = found.join(with_it, "id", "left_semi")
+    first = found.groupBy(F.col("id.doc").alias("id"), "dimension", "label").agg(F.min("id.position").alias("position"))
+    proof = each.select(F.col("doc").alias("id"), "position", "sentence")
+    return first.join(proof, ["id", "position"]).select("id", "dimension", "label", "position", "sentence")
+
+
+QUOTE_MOST = 700
 
 
 def quote(texts: DataFrame, rules: DataFrame, sentences: Column, id_col: str = "id") -> DataFrame:
-    """(id, sentence): the sentence with most terms; of equal ones, the longest, then the first."""
-    each = texts.select(F.col(id_col).alias("doc"), F.posexplode(sentences).alias("position", "sentence")).withColumn("sid", F.concat_ws(":", "doc", "position"))
-    n = term_hits(each, rules, "sid", "sentence").where("kind IN ('any_of', 'all_of')").groupBy("id").agg(F.countDistinct("term").alias("n"))
+    """(id, sentence): the sentence with most terms; of equal ones the longest (up to QUOTE_MOST), then the first.
+
+    A longer one is cut to QUOTE_MOST characters, a third of them before its first term.
+    """
+    each = _sentences(texts, sentences, id_col)
+    hits = term_hits(each, rules, "sid", "sentence").where("kind IN ('any_of', 'all_of')")
+    n = hits.groupBy("id").agg(F.countDistinct("term").alias("n"), F.collect_set("term").alias("terms"))
     j = each.join(n, each.sid == n.id)
-    return j.groupBy(F.col("doc").alias("id")).agg(F.max_by("sentence", F.struct("n", F.length("sentence"), -F.col("position"))).alias("sentence"))
+    best = j.groupBy(F.col("doc").alias("id")).agg(F.max_by(F.struct("sentence", "terms"), F.struct("n", F.least(F.length("sentence"), F.lit(QUOTE_MOST)), -F.col("position"))).alias("b"))
+    s = F.col("b.sentence")
+    low = F.lower(s)
+    at = F.array_min(F.filter(F.transform("b.terms", lambda t: F.position(t, low)), lambda p: p > 0))
+    begin = F.greatest(F.lit(0), F.least(F.coalesce(at, F.lit(1)) - 1 - QUOTE_MOST // 3, F.length(s) - QUOTE_MOST))
+    cut = F.concat(F.when(begin > 0, F.lit("…")).otherwise(F.lit("")), F.substr(s, begin + 1, F.lit(QUOTE_MOST)))
+    return best.select("id", F.when(F.length(s) <= QUOTE_MOST, s).otherwise(cut).alias("sentence"))
+
+
+def relation(windows: DataFrame, found: DataFrame, market_of: dict[str, str], clusters: list[set[str]]) -> DataFrame:
+    """(block, strength, window): the strongest relation of market, component and operation that a block's windows show.
+
+    windows: (id, block, level, ord, text, base, market): level 0 direct sentence, 1 heading with sentence (market is the heading's
+    only one), 2 two sentences, 3 structured group, 4 sentence under the page's market. base: a sentence must itself hold component and
+    operation (levels 1 and 4). A window counts if it has all three, isn't ambiguous, isn't denied and asserts something.
+    """
+    c = core(found, market_of)
+    w = windows.join(c, "id").withColumn("p", padded(F.col("text")))
+    market = F.when(F.col("level").isin(1, 4), F.col("given")).otherwise(F.col("market"))
+    ok = market.isNotNull() & F.col("component").isNotNull() & F.col("operation").isNotNull() & ~ambiguous(clusters) & ~negated(F.col("p")) & asserted(F.col("p"))
+    name = F.when(F.col("level") == 0, "direct").when(F.col("level").isin(1, 2), "contextual").when(F.col("level") == 3, "structured").otherwise("page_context")
+    g = w.where(ok).groupBy("block").agg(F.min_by(F.struct(name.alias("strength"), F.col("text").alias("window")), F.struct("level", "ord")).alias("b"))
+    return g.select("block", "b.*")

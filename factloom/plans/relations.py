@@ -7,50 +7,18 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
 from factloom.operators import relations as L
-from factloom.operators import rules as R
 from factloom.operators import state as X
 
 from .base import Book
-from .state import _FOUND, _PADDED, _found
 
 book = Book()
 QUERIES, ORACLE = book.QUERIES, book.ORACLE
 q = book.query
 
-_A, _B = ["the", "der", "les"], ["of", "und", "que"]
-
-
 def n():
     return F.count(F.lit(1))
 
 
-def _any(terms):
-    return "(" + " OR ".join(f"contains(t, ' {x} ')" for x in terms) + ")"
-
-
-_BLOCKS = f"""b AS (SELECT conv_id, turn, {_any(_A)} AS a, {_any(_B)} AS b FROM (SELECT conv_id, turn, {_PADDED.format("coalesce(text, '')")} AS t FROM conversations)),
-  m AS (SELECT *, coalesce(lag(a) OVER w, false) AS pa, coalesce(lag(b) OVER w, false) AS pb, bool_or(a) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS na,
-    bool_or(b) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nb FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-  l AS (SELECT conv_id, turn, a, b, CASE WHEN a AND b THEN 0 WHEN a AND pb OR b AND pa THEN 1 WHEN a AND nb OR b AND na THEN 2 WHEN a OR b THEN 3 END AS l FROM m),
-  s AS (SELECT conv_id, CASE min(l) WHEN 0 THEN 'direct' WHEN 1 THEN 'contextual' WHEN 2 THEN 'structured' ELSE CASE WHEN bool_or(a) AND bool_or(b) THEN 'page_context' ELSE 'partial' END END AS strength,
-    arg_min(turn, struct_pack(x := coalesce(l, 9), y := turn)) AS "at" FROM l GROUP BY 1 HAVING min(l) IS NOT NULL)"""
-
-
-def _cascade(t):
-    c = t.table("conversations").select("conv_id", "turn", R.padded(F.coalesce("text", F.lit(""))).alias("t"))
-    return L.cascade(c, "conv_id", "turn", L.named(F.col("t"), _A), L.named(F.col("t"), _B))
-
-
-@q("tx24_relation_cascade", f"WITH {_BLOCKS} SELECT conv_id, strength, s.\"at\" FROM s")
-def tx24(t):
-    return _cascade(t)
-
-
-@q("tx29_relation_strength", f"WITH {_BLOCKS} SELECT strength, count(*) AS n FROM s GROUP BY 1")
-def tx29(t):
-    return _cascade(t).groupBy("strength").agg(n().alias("n"))
-
-
 @q("tx23_section_role", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'context' WHEN role = 'user' THEN 'heading' WHEN length(text) < 200 THEN 'list' ELSE 'body' END AS section FROM conversations")
 def tx23(t):
     role = F.when(F.col("role") == "system", "context").when(F.col("role") == "user", "heading").when(F.length("text") < 200, "list").otherwise("body")
@@ -62,45 +30,6 @@ def tx20(t):
     return t.parts.select("part_id", L.infer(F.col("market"), F.col("component"), {"Brand#1": "LARGE", "Brand#2": "SMALL"}).alias("market"))
 
 
-@q(
-    "tx21_ambiguous_window",
-    "SELECT actor_id, len(m) > 1 AND len(list_filter(m, lambda x: x NOT IN ('ECONOMY', 'SMALL'))) > 0 AS ambiguous FROM (SELECT actor_id, list(DISTINCT market) FILTER (WHERE market IS NOT NULL) AS m FROM evidence JOIN parts USING (part_id) WHERE quantity = 50 AND verbatim GROUP BY 1 HAVING count(market) > 0)",
-    "evidence parts",
-)
-def tx21(t):
-    m = t.evidence.where("quantity = 50 AND verbatim").join(t.parts.where("market IS NOT NULL").select("part_id", "market"), "part_id").groupBy("actor_id").agg(F.collect_set("market").alias("m"))
-    return m.select("actor_id", L.ambiguous(F.col("m"), [{"ECONOMY", "SMALL"}]).alias("ambiguous"))
-
-
-@q("tx19_core_labels", f"WITH {_FOUND} SELECT id, max(label) FILTER (WHERE dimension = 'operation') AS operation, max(label) FILTER (WHERE dimension = 'material') AS material FROM found GROUP BY 1")
-def tx19(t):
-    pick = lambda d: F.max(F.when(F.col("dimension") == d, F.col("label")))
-    return _found(t).groupBy("id").agg(pick("operation").alias("operation"), pick("material").alias("material"))
-
-
-@q("tx09_domain_gate", f"WITH {_FOUND} SELECT count(DISTINCT id) AS n FROM found")
-def tx09(t):
-    return _found(t).agg(F.countDistinct("id").alias("n"))
-
-
-@q("tx27_offer_candidates", f"WITH {_FOUND} SELECT id, label AS operation, (0.70 + CASE WHEN len(hits) > 1 THEN 0.08 ELSE 0 END)::DOUBLE AS confidence FROM found WHERE dimension = 'operation'")
-def tx27(t):
-    c = F.when(F.size("hits") > 1, 0.78).otherwise(0.70)
-    return _found(t).where("dimension = 'operation'").select("id", F.col("label").alias("operation"), c.alias("confidence"))
-
-
-@q("tx32_document_tags", f"WITH {_FOUND} SELECT dimension, label, count(*) AS documents FROM found GROUP BY 1, 2")
-def tx32(t):
-    return _found(t).groupBy("dimension", "label").agg(n().alias("documents"))
-
-
-@q("tx33_compiled", f"WITH {_FOUND} SELECT a.label AS operation, b.label AS material, count(*) AS documents FROM found a JOIN found b ON a.id = b.id AND a.dimension = 'operation' AND b.dimension = 'material' GROUP BY 1, 2")
-def tx33(t):
-    f = _found(t)
-    a = f.where("dimension = 'operation'").select("id", F.col("label").alias("operation"))
-    return a.join(f.where("dimension = 'material'").select("id", F.col("label").alias("material")), "id").groupBy("operation", "material").agg(n().alias("documents"))
-
-
 @q("tx34_capability_numbers", "SELECT doc_id, list_sort(list_transform(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT)) AS numbers, len(list_filter(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT NOT BETWEEN 20 AND 1500))::BIGINT AS implausible FROM documents")
 def tx34(t):
     numbers = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{2,4})")), lambda x: x.cast("bigint"))
@@ -108,35 +37,12 @@ def tx34(t):
     return d.select("doc_id", F.array_sort("x").alias("numbers"), F.size(F.filter("x", lambda v: ~v.between(20, 1500))).cast("bigint").alias("implausible"))
 
 
-@q("tx31_career_signal", "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])(job|career|stelle|emploi|of the)([^a-z]|$)') AS career FROM documents")
-def tx31(t):
-    return t.table("documents").select("doc_id", F.lower("text").rlike(r"(?<![a-z])(?:job|career|stelle|emploi|of the)(?![a-z])").alias("career"))
-
-
-@q("tx37_context_mentions", "SELECT conv_id, turn FROM (SELECT conv_id, turn, contains(lower(text), 'tion') AS here, bool_or(contains(lower(text), ' the ')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM conversations) WHERE here AND near")
-def tx37(t):
-    near = F.bool_or(F.contains(F.lower("text"), F.lit(" the "))).over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 1))
-    c = t.table("conversations").select("conv_id", "turn", F.contains(F.lower("text"), F.lit("tion")).alias("here"), near.alias("near"))
-    return c.where("here AND near").select("conv_id", "turn")
-
-
-@q("tx40_rejudged", f"WITH {_FOUND}, j AS (SELECT d.doc_id, EXISTS (SELECT 1 FROM found WHERE id = d.doc_id) AS now FROM documents d) SELECT j.doc_id FROM j ANTI JOIN labels l USING (doc_id) WHERE NOT now")
-def tx40(t):
-    none = t.table("documents").select("doc_id").join(_found(t).select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    return none.join(t.table("labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @q("tx41_context_text", "SELECT conv_id, turn, md5(concat_ws(' | ', lag(role) OVER (PARTITION BY conv_id ORDER BY turn), role, text)) AS context FROM conversations")
 def tx41(t):
     before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
     return t.table("conversations").select("conv_id", "turn", F.md5(F.concat_ws(" | ", before, "role", "text")).alias("context"))
 
 
-@q("tx43_match_terms", f"WITH {_FOUND} SELECT id, dimension, array_to_string(list_sort(list_distinct(flatten(list(hits)))), ',') AS terms FROM found GROUP BY 1, 2")
-def tx43(t):
-    return _found(t).groupBy("id", "dimension").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), ",").alias("terms"))
-
-
 @q("st02_offer_routing", "SELECT buyer_id, count(DISTINCT offer_id) AS proofs, CASE WHEN count(DISTINCT offer_id) < 10 THEN 'review' ELSE 'accepted' END AS route FROM offers GROUP BY 1", "offers")
 def st02(t):
     p = t.offers.groupBy("buyer_id").agg(F.countDistinct("offer_id").alias("proofs"))
@@ -218,12 +124,6 @@ def st30(t):
     return X.insert_missing(X.insert_missing(g.limit(0), g, k), g, k).agg(n().alias("n"))
 
 
-@q("st32_project_signals", f"WITH {_FOUND} SELECT label, count(*) AS signals, list_sort(list_distinct(list(d.source))) AS sources FROM found JOIN documents d ON d.doc_id = found.id GROUP BY 1")
-def st32(t):
-    s = _found(t).join(t.table("documents").select(F.col("doc_id").alias("id"), "source"), "id")
-    return s.groupBy("label").agg(n().alias("signals"), F.array_sort(F.collect_set("source")).alias("sources"))
-
-
 @q("st35_schema_evolution", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents WHERE doc_id < 50 UNION ALL SELECT page_id, NULL, url FROM pages")
 def st35(t):
     old = t.table("documents").select(F.col("doc_id").alias("id"), "lang")

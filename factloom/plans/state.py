@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import rules as R
 from factloom.operators import state as X
 
 from .base import Book
@@ -16,112 +15,6 @@ q = book.query
 CUT = "1999-01-01"
 _RANK = "CASE bucket WHEN 'existing' THEN 2 WHEN 'radar' THEN 1 ELSE 0 END"
 
-#: The engine's own small vocabulary over frequent words of the landed texts.
-RULES = [
-    ("operation", "joining", 0, ["the", "erung"], [], ["les"], []),
-    ("operation", "cutting", 1, ["der", "die der"], [], [], ["und", "ein"]),
-    ("material", "glass", 0, ["of the", "in the"], ["and"], [], []),
-    ("material", "steel", 1, ["que", "des"], ["les"], [], []),
-]
-
-
-def _values(rules):
-    arr = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
-    return "(VALUES " + ", ".join(f"('{d}', '{lab}', {o}, {arr(a)}, {arr(b)}, {arr(c)}, {arr(e)})" for d, lab, o, a, b, c, e in rules) + ") r(dimension, label, ord, any_of, all_of, exclude, requires_any)"
-
-
-_PADDED = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' '"
-_HITS = "list_filter({0}, lambda x: contains(t, ' ' || x || ' '))"
-_FOUND = f"""n AS (SELECT doc_id AS id, {_PADDED.format("text")} AS t FROM documents),
-  f AS (SELECT id, dimension, label, ord, {_HITS.format("any_of")} AS a, {_HITS.format("all_of")} AS b, len({_HITS.format("exclude")}) AS x, len({_HITS.format("requires_any")}) AS q, any_of, all_of, requires_any FROM n, {_values(RULES)}),
-  found AS (SELECT id, dimension, label, ord, list_sort(list_distinct(a || b)) AS hits, (3 * len(b) + len(a))::BIGINT AS score FROM f WHERE x = 0 AND len(b) = len(all_of) AND (len(any_of) = 0 OR len(a) > 0) AND (len(requires_any) = 0 OR q > 0) AND len(a) + len(b) > 0)"""
-
-
-def _found(t):
-    return R.labels(t.table("documents"), R.rule_table(t.spark, RULES), "doc_id")
-
-
-@q("tx04_rule_matches", f"WITH {_FOUND} SELECT id, dimension, label, hits FROM found")
-def tx04(t):
-    return _found(t).select("id", "dimension", "label", "hits")
-
-
-@q("tx05_specificity", f"WITH {_FOUND} SELECT id, label, score FROM found")
-def tx05(t):
-    return _found(t).select("id", "label", "score")
-
-
-@q("tx07_best_label", f"WITH {_FOUND} SELECT id, dimension, label FROM (SELECT *, row_number() OVER (PARTITION BY id, dimension ORDER BY score DESC, ord, label) AS rn FROM found) WHERE rn = 1")
-def tx07(t):
-    return R.best_label(_found(t)).select("id", "dimension", "label")
-
-
-@q("tx08_all_labels", f"WITH {_FOUND} SELECT id, string_agg(label, ',' ORDER BY score DESC, dimension, ord) AS labels FROM found GROUP BY 1")
-def tx08(t):
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "dimension", "ord", "label")))
-    return _found(t).groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["label"]), ",").alias("labels"))
-
-
-@q("tx10_on_topic", f"WITH {_FOUND} SELECT DISTINCT id FROM found WHERE label <> 'joining'")
-def tx10(t):
-    return _found(t).where("label <> 'joining'").select("id").distinct()
-
-
-@q(
-    "tx11_negative_gate",
-    f"WITH {_FOUND} SELECT n.id FROM n WHERE contains(t, ' the ') AND NOT EXISTS (SELECT 1 FROM found WHERE found.id = n.id AND dimension = 'material')",
-)
-def tx11(t):
-    cue = t.table("documents").select(F.col("doc_id").alias("id"), R.padded(F.col("text")).alias("t")).where(F.contains("t", F.lit(" the "))).select("id")
-    return cue.join(_found(t).where("dimension = 'material'").select("id"), "id", "left_anti")
-
-
-@q("tx12_maturity", f"WITH n AS (SELECT doc_id AS id, {_PADDED.format('text')} AS t FROM documents) SELECT id, CASE WHEN contains(t, ' of ') THEN 'production' WHEN contains(t, ' der ') THEN 'pilot' ELSE 'research' END AS stage FROM n")
-def tx12(t):
-    d = t.table("documents").select(F.col("doc_id").alias("id"), R.padded(F.col("text")).alias("t"))
-    return d.select("id", F.when(F.contains("t", F.lit(" of ")), "production").when(F.contains("t", F.lit(" der ")), "pilot").otherwise("research").alias("stage"))
-
-
-_LINES = "list_filter(list_transform(regexp_split_to_array(text, '[\\n;]+'), lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))), lambda s: length(s) >= 12)"
-
-
-def _lines():
-    return F.filter(F.transform(F.split("text", r"[\n;]+"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r]+", " "))), lambda s: F.length(s) >= 12)
-
-
-@q("tx14_sentences", f"SELECT doc_id, len({_LINES})::BIGINT AS n FROM documents")
-def tx14(t):
-    return t.table("documents").select("doc_id", F.size(_lines()).cast("bigint").alias("n"))
-
-
-_SENTENCES = f"s AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(0, len(l))) AS position FROM (SELECT doc_id, {_LINES} AS l FROM documents))"
-
-
-@q(
-    "tx16_sentence_labels",
-    f"""WITH {_SENTENCES}, n AS (SELECT *, {_PADDED.format("sentence")} AS t FROM s),
-    f AS (SELECT doc_id AS id, position, sentence, dimension, label, {_HITS.format("any_of")} AS a, {_HITS.format("all_of")} AS b, len({_HITS.format("exclude")}) AS x, len({_HITS.format("requires_any")}) AS q, any_of, all_of, requires_any FROM n, {_values(RULES)})
-    SELECT id, dimension, label, min(position) AS position, md5(arg_min(sentence, position)) AS proof FROM f WHERE x = 0 AND len(b) = len(all_of) AND (len(any_of) = 0 OR len(a) > 0) AND (len(requires_any) = 0 OR q > 0) AND len(a) + len(b) > 0 GROUP BY 1, 2, 3""",
-)
-def tx16(t):
-    got = R.sentence_labels(t.table("documents"), R.rule_table(t.spark, RULES), _lines(), "doc_id")
-    return got.select("id", "dimension", "label", F.col("position").cast("bigint").alias("position"), F.md5("sentence").alias("proof"))
-
-
-@q(
-    "tx13_quote",
-    f"""WITH {_SENTENCES}, n AS (SELECT *, {_PADDED.format("sentence")} AS t FROM s), h AS (SELECT doc_id AS id, position, sentence, len(list_distinct(flatten(list({_HITS.format("any_of || all_of")})))) AS n FROM n, {_values(RULES)} GROUP BY 1, 2, 3)
-    SELECT id, md5(arg_max(sentence, struct_pack(a := n, b := length(sentence), c := -position))) AS quote FROM h WHERE n > 0 GROUP BY 1""",
-)
-def tx13(t):
-    return R.quote(t.table("documents"), R.rule_table(t.spark, RULES), _lines(), "doc_id").select("id", F.md5("sentence").alias("quote"))
-
-
-@q("tx22_negation_guard", "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])(not|nicht|pas|non)([^a-z]|$)') AS negated FROM documents")
-def tx22(t):
-    return t.table("documents").select("doc_id", F.lower("text").rlike(r"(?<![a-z])(?:not|nicht|pas|non)(?![a-z])").alias("negated"))
-
-
 @q(
     "tx25_partial_two_of_three",
     "SELECT evidence_id, (market IS NOT NULL)::INT + (lang IS NOT NULL)::INT + (confidence IS NOT NULL)::INT = 2 AS partial FROM evidence JOIN parts USING (part_id)",

@@ -79,5 +79,5 @@ def test_rolling_baseline_flags_a_drop(spark):
 
 
 def test_sentences(spark):
-    got = one(spark, T.sentences(F.col("a")), a="First one is long. Short.\nAnother long line; and a third one!")
-    assert got == ["First one is long.", "Another long line", "and a third one!"]
+    got = one(spark, T.sentences(F.col("a")), a="First one is long. Short.\nAnother long line; and a third one! • a point of its own")
+    assert got == ["First one is long.", "Another long line", "and a third one!", "a point of its own"]

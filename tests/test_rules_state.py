@@ -1,12 +1,16 @@
 """Rule matching, folds, sources, pages and streams."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import html as H
+from factloom.functions import text as T
 from factloom.operators import rules as R
 from factloom.operators import state as X
+from factloom.operators import vocabulary as V
 from factloom.sources import landed
 from factloom.streaming import folds
 
@@ -18,27 +22,93 @@ RULES = [
 ]
 
 
-def exhaustive(text):
-    import re
-
-    w = " " + " ".join(x for x in re.split(r"[^\w]+", text.lower()) if x) + " "
-    has = lambda t: f" {t} " in w
-    out = set()
-    for d, lab, _, a, b, c, e in RULES:
-        if not any(map(has, c)) and all(map(has, b)) and (not a or any(map(has, a))) and (not e or any(map(has, e))) and (any(map(has, a)) or b):
-            out.add((d, lab))
+def met(term, text):
+    """Whether a normalised text holds a term: whole words, blanks and hyphens alike, singular or plural."""
+    body = r"[\s-]+".join(re.escape(x) for x in re.split(r"[\s-]+", R.normalize(term)) if x)
+    plural = "" if R.normalize(term).endswith(("s", "x")) else "s?"
+    return re.search(rf"(?<!\w){body}{plural}(?!\w)", text) is not None
+
+
+def exhaustive(text, rules):
+    """Every rule tried on a text: {(dimension, label): (hits, score)}."""
+    low, out = R.normalize(text), {}
+    for d, lab, ord_, a, b, c, e, *g in rules:
+        g = g[0] if g else []
+        if any(met(x, low) for x in c) or not all(met(x, low) for x in b):
+            continue
+        hits = [*b, *[x for x in a if met(x, low)], *[m.group(0) for p in g if (m := re.search(p, text, re.I))]]
+        if hits and (not e or any(met(x, low) for x in e)):
+            hits = list(dict.fromkeys(hits))
+            out[d, lab] = (hits, ((3 if b else 0) + (1 if g else 0) + len(hits), sum(len(R.normalize(x)) for x in hits), len(b)), ord_)
     return out
 
 
-def test_indexed_matching_equals_exhaustive(spark):
-    r = random.Random(4)
-    pool = ["laser", "weld", "joining", "spot", "cut", "trim", "beam", "glass", "thin", "clear", "steel", "sheet", "of", "lasers"]
-    texts = [(i, " ".join(r.choice(pool) for _ in range(r.randrange(0, 9)))) for i in range(300)] + [(900, None), (901, "Laser-Weld, GLASS thin")]
+def check_all(spark, texts, rules):
     df = spark.createDataFrame(texts, "id long, text string")
+    found = R.labels(df, R.rule_table(spark, rules))
     got = {}
-    for x in R.labels(df, R.rule_table(spark, RULES)).collect():
-        got.setdefault(x.id, set()).add((x.dimension, x.label))
-    assert got == {i: e for i, t in texts if (e := exhaustive(t or ""))}
+    for x in found.collect():
+        got.setdefault(x.id, {})[x.dimension, x.label] = (x.hits, tuple(x.score), x.ord)
+    want = {i: e for i, t in texts if (e := exhaustive(t or "", rules))}
+    assert got == want
+    best = {(x.id, x.dimension): x.label for x in R.best_label(found).collect()}
+    for i, by in want.items():
+        for d in {k[0] for k in by}:
+            assert best[i, d] == max(((s, -o, lab) for (dd, lab), (_, s, o) in by.items() if dd == d))[2]
+
+
+def test_indexed_matching_equals_exhaustive(spark):
+    r = random.Random(4)
+    pool = ["laser", "weld", "joining", "spot", "cut", "trim", "beam", "glass", "thin", "clear", "steel", "sheet", "of", "lasers", "welds", "-", ",", "GLASS"]
+    texts = [(i, " ".join(r.choice(pool) for _ in range(r.randrange(0, 9)))) for i in range(300)]
+    texts += [(900, None), (901, "Laser-Weld, GLASS thin"), (902, "ｌａｓｅｒ ｗｅｌｄ"), (903, "laser –  weld"), (904, "laser\u00a0weld"), (905, "laser, weld")]
+    check_all(spark, texts, RULES)
+
+
+def test_the_vocabulary_equals_exhaustive(spark):
+    rules = V.vocabulary()
+    assert len(rules) >= 150 and len({x[0] for x in rules}) == 7 and any(x[7] for x in rules)
+    r = random.Random(9)
+    pool = [V.word(i) for i in range(700)] + [V.word(i) + s for i in range(40) for s in ("s", "ing", "ed", "ly")] + ["the", "de", "of", "-", "."]
+    check_all(spark, [(i, " ".join(r.choice(pool) for _ in range(r.randrange(3, 40)))) for i in range(120)], rules)
+
+
+def test_patterns_read_the_text_as_it_stands(spark):
+    rules = [("d", "a", 0, ["straße"], [], [], [], [r"ns\d{2}"]), ("d", "b", 1, ["µm/s"], [], [], [], [])]
+    check_all(spark, [(0, "STRASSE"), (1, "Straße NS12"), (2, "ns１２"), (3, "10 µm/s"), (4, "NS 12")], rules)
+    with pytest.raises(ValueError):
+        R.rule_table(spark, [rules[0], rules[0]])
+
+
+def test_sentences_masks_and_guards(spark):
+    rules = [("d", "glass", 0, ["glass"], [], [], [], []), ("d", "steel", 1, ["steel"], [], [], [], []), ("o", "cut", 0, ["cut"], [], [], [], [])]
+    text = "We work for Glass Corp today. It is not glass at all here; glass is cut by hand here. Steel et al. in proceedings. Steel is cut here too."
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    guard = lambda s, r: R.usable(s, r, 320, True, True)
+    got = {(x.label, x.sentence) for x in R.sentence_labels(df, R.rule_table(spark, rules), T.sentences(F.col("text")), names=["glass corp"], guard=guard).where("dimension = 'd'").collect()}
+    assert got == {("glass", "glass is cut by hand here."), ("steel", "Steel is cut here too.")}
+    got = {x.label for x in R.sentence_labels(df, R.rule_table(spark, rules), T.sentences(F.col("text")), also=("o", "cut")).collect()}
+    assert got == {"glass", "steel", "cut"}
+
+
+def test_quote_is_cut_around_its_term(spark):
+    rules = R.rule_table(spark, [("d", "glass", 0, ["glass"], [], [], [], [])])
+    long = "x" * 900 + " glass " + "y" * 900
+    df = spark.createDataFrame([(1, "Glass here. No more.\n" + long), (2, long), (3, "none")], "id long, text string")
+    got = {x.id: x.sentence for x in R.quote(df, rules, T.quotable(F.col("text"))).collect()}
+    assert set(got) == {1, 2} and all(len(q) == 701 and q[0] == "…" and "glass" in q for q in got.values())
+
+
+def test_relation_levels(spark):
+    names = {"market": ["optics", "energy"], "component": ["lens", "foil"], "operation": ["cutting"]}
+    rules = R.rule_table(spark, [(d, x, i, [x], [], [], [], []) for d, xs in names.items() for i, x in enumerate(xs)])
+    rows = [
+        ("a", 0, "optics is for lens cutting"), ("a", 3, "optics lens cutting is"), ("b", 0, "lens cutting is"), ("b", 1, "lens cutting is"), ("c", 0, "optics is not lens cutting"), ("c", 4, "lens cutting is fine"),
+        ("d", 0, "optics energy is lens cutting"), ("e", 2, "optics lens. cutting is"), ("f", 0, "optics lens cutting"), ("g", 0, "lens foil optics cutting is"),
+    ]
+    w = spark.createDataFrame([(i, b, k, i, t, "energy" if b in "bc" else None) for i, (b, k, t) in enumerate(rows)], "id long, block string, level int, ord int, text string, given string")
+    got = {x.block: x.strength for x in R.relation(w, R.labels(w, rules), {"foil": "energy"}, [{"optics"}]).collect()}
+    assert got == {"a": "direct", "b": "contextual", "c": "page_context", "e": "contextual"}
 
 
 def test_overlay_and_extension(spark):
