@@ -60,13 +60,41 @@ def phrase_pairs(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: st
 
 
 def reasoned_pairs(df: DataFrame, id_col: str, reasons: dict[str, Column]) -> DataFrame:
-    """(a, b, reasons): pairs a < b that agree on any of the named keys; each key is its own equi-join."""
+    """(a, b, reasons): b shares any of the named keys with a, the least id of the key's rows.
+
+    Rows that agree on a key are a class, given by its representative and its members, so a large class gives no pairs of
+    members: two of them agree if their representatives do.
+    """
     keyed = df.select(id_col, F.explode(F.array(*[F.struct(F.lit(n).alias("reason"), c.cast("string").alias("key")) for n, c in reasons.items()])).alias("r")).select(id_col, "r.*").where("key IS NOT NULL")
-    other = keyed.withColumnRenamed(id_col, "b")
-    pairs = keyed.withColumnRenamed(id_col, "a").join(other, ["reason", "key"]).where("a < b")
+    classes = keyed.groupBy("reason", "key").agg(F.min(id_col).alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    pairs = keyed.withColumnRenamed(id_col, "b").join(classes, ["reason", "key"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def contained(texts: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """(id, item): items that a text holds as they stand, at any place.
+
+    An item of three words or more has an inner one, which the text then holds as a whole word: an equi-join on the first inner
+    word. Shorter items meet the texts on their first characters, if there are such items. Candidates are verified on the text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    keyed = items.select(item_col, F.when(F.size(words(F.col(item_col))) > 2, F.try_element_at(words(F.trim(item_col)), F.lit(2))).alias("_w"))
+    inner = keyed.where("_w IS NOT NULL")
+    near = texts.select(id_col, F.explode(F.array_distinct(words(F.col(text_col)))).alias("_w")).join(small(inner), "_w").select(id_col, item_col)
+    short = keyed.where("_w IS NULL").where(F.length(item_col) > 0).select(item_col)
+    if not short.isEmpty():
+        sizes = (1, 2, 3, 8)
+        least = F.lit(sizes[0])
+        for k in sizes[1:]:
+            least = F.when(F.length(item_col) >= k, k).otherwise(least)
+        short = short.withColumn("_k", least).withColumn("_w", F.substr(item_col, F.lit(1), F.col("_k")))
+        ks = [r[0] for r in short.select("_k").distinct().collect()]  # four at most
+        each = F.array(*[F.struct(F.lit(k).alias("k"), F.sequence(F.lit(1), F.greatest(F.length(text_col) - (k - 1), F.lit(1))).alias("at")) for k in ks])
+        grams = F.array_distinct(F.flatten(F.transform(each, lambda e: F.transform(e["at"], lambda i: F.substr(F.col(text_col), i, e["k"])))))
+        near = near.unionByName(texts.select(id_col, F.explode(grams).alias("_w")).join(small(short.select(item_col, "_w")), "_w").select(id_col, item_col))
+    return near.distinct().join(texts.select(id_col, text_col), id_col).where(F.contains(F.col(text_col), F.col(item_col))).select(id_col, item_col)
+
+
 def neighbours(df: DataFrame, group: str, order: str, value: str, radius: int) -> DataFrame:
     """Values within so many places in the same group, itself included."""
     return df.withColumn("near", F.collect_list(value).over(W.partitionBy(group).orderBy(order).rowsBetween(-radius, radius)))

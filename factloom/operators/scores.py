@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Weight and base threat of a competitive class.
 CLASS_WEIGHT = {"C1": 3, "C2": 2, "A1": 2, "T1": 1}
-CLASS_THREAT = {"C1": 55, "C2": 30, "A1": 10}
+CLASS_THREAT = {"C1": 55, "C2": 30, "T1": 10}
 DEFAULT_THREAT = 15
 
 
@@ -39,8 +39,10 @@ def confidence_score(validated: Column, total: Column, verbatim: Column, cited:
     return F.when(validated > 0, F.round(clamp(score), 1))
 
 
-def threat_score(klass: Column, facts: Column, recent: Column, active: Column, reference: Column) -> Column:
-    score = lookup(klass, CLASS_THREAT, DEFAULT_THREAT) + F.least(F.lit(25.0), 1.5 * facts) + F.least(F.lit(20.0), 4.0 * recent) - F.when(active, 0).otherwise(15)
+def threat_score(klass: Column, facts: Column, recent: Column, active: Column, reference: Column, periods: Column) -> Column:
+    """Recent facts count only if there are several periods: else what is new can't be told from what is seen first."""
+    velocity = F.when(periods > 1, F.least(F.lit(20.0), 4.0 * recent)).otherwise(0.0)
+    score = lookup(klass, CLASS_THREAT, DEFAULT_THREAT) + F.least(F.lit(25.0), 1.5 * facts) + velocity - F.when(active, 0).otherwise(15)
     return F.when(reference, F.lit(0.0)).otherwise(F.round(clamp(score), 1))
 
 

@@ -180,7 +180,7 @@ def ag22(t):
 
 @q(
     "ag23_term_scoreboard",
-    "SELECT term, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected FROM (SELECT DISTINCT d.doc_id, l.quality, unnest(list_slice(string_split(lower(text), ' '), 1, 10)) AS term FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1 HAVING count(*) >= 10",
+    "SELECT term, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS rejected FROM (SELECT DISTINCT d.doc_id, l.quality, unnest(string_split(lower(text), ' ')) AS term FROM documents d JOIN labels l USING (doc_id) WHERE quality IN (0, 1)) GROUP BY 1",
 )
 def ag23(t):
     labels = t.table("labels").where("quality IN (0, 1)").select("doc_id", "quality")
@@ -308,12 +308,13 @@ def ag35(t):
 
 @q(
     "ag36_exclusive_labels",
-    "SELECT part_id, count(*) AS n FROM evidence GROUP BY 1 HAVING count(*) >= 2 AND (count(*) FILTER (WHERE status = 'validated') = 0 OR count(*) FILTER (WHERE status = 'review') = 0)",
+    "SELECT actor_id || '-' || part_id AS label, count(*) AS n, count(*) FILTER (WHERE status = 'review') = 0 AS validated_only FROM evidence GROUP BY 1 HAVING count(*) >= 2 AND (count(*) FILTER (WHERE status = 'validated') = 0 OR count(*) FILTER (WHERE status = 'review') = 0)",
     "evidence",
 )
 def ag36(t):
-    g = t.evidence.groupBy("part_id").agg(one().alias("n"), F.count_if(F.col("status") == "validated").alias("a"), F.count_if(F.col("status") == "review").alias("b"))
-    return g.where("n >= 2 AND (a = 0 OR b = 0)").select("part_id", "n")
+    label = F.concat_ws("-", F.col("actor_id").cast("string"), F.col("part_id").cast("string"))
+    g = t.evidence.groupBy(label.alias("label")).agg(one().alias("n"), F.count_if(F.col("status") == "validated").alias("a"), F.count_if(F.col("status") == "review").alias("b"))
+    return g.where("n >= 2 AND (a = 0 OR b = 0)").select("label", "n", (F.col("b") == 0).alias("validated_only"))
 
 
 @q(
@@ -338,9 +339,9 @@ def ag39(t):
     return t.actors.groupBy(reason.alias("reason")).agg(one().alias("n"))
 
 
-@q("ag40_singleton_cells", "SELECT part_id, bucket, min(actor_id) AS actor_id FROM evidence WHERE quantity > 40 GROUP BY 1, 2 HAVING count(DISTINCT actor_id) = 1", "evidence")
+@q("ag40_singleton_cells", "SELECT part_id, bucket, strftime(created, '%Y-%m') AS period, min(actor_id) AS actor_id FROM evidence GROUP BY 1, 2, 3 HAVING count(DISTINCT actor_id) = 1", "evidence")
 def ag40(t):
-    return t.evidence.where("quantity > 40").groupBy("part_id", "bucket").agg(F.countDistinct("actor_id").alias("k"), F.min("actor_id").alias("actor_id")).where("k = 1").drop("k")
+    return t.evidence.groupBy("part_id", "bucket", F.date_format("created", "yyyy-MM").alias("period")).agg(F.countDistinct("actor_id").alias("k"), F.min("actor_id").alias("actor_id")).where("k = 1").drop("k")
 
 
 @q("ag41_activity_ranking", "SELECT a.actor_id, a.name, count(*) AS n FROM evidence JOIN actors a USING (actor_id) WHERE class <> 'T1' AND bucket <> 'pending' GROUP BY 1, 2 ORDER BY n DESC, a.actor_id LIMIT 5", "evidence actors")
@@ -392,9 +393,9 @@ def ag48(t):
     return want.join(g, ["user_id", "kind"], "left").select("user_id", "kind", F.when(F.col("n").isNull(), "missing").when(F.col("ok") > 0, "ready").otherwise("pending").alias("status"))
 
 
-@q("ag49_offers_coverage", "SELECT a.actor_id, count(e.evidence_id) FILTER (WHERE bucket = 'existing') AS existing, count(DISTINCT e.part_id) AS parts FROM actors a LEFT JOIN evidence e ON e.actor_id = a.actor_id AND e.quantity > 45 GROUP BY 1", "actors evidence")
+@q("ag49_offers_coverage", "SELECT a.actor_id, count(e.evidence_id) FILTER (WHERE bucket = 'existing') AS existing, count(DISTINCT e.part_id) AS parts FROM actors a LEFT JOIN evidence e ON e.actor_id = a.actor_id GROUP BY 1", "actors evidence")
 def ag49(t):
-    e = t.evidence.where("quantity > 45").select("actor_id", "evidence_id", "bucket", "part_id")
+    e = t.evidence.select("actor_id", "evidence_id", "bucket", "part_id")
     return t.actors.select("actor_id").join(e, "actor_id", "left").groupBy("actor_id").agg(F.count(F.when(F.col("bucket") == "existing", F.col("evidence_id"))).alias("existing"), F.countDistinct("part_id").alias("parts"))
 
 

@@ -110,9 +110,9 @@ def jn09(t):
     return J.top_one(t.offers.select("offer_id"), t.evidence.select("offer_id", "date_confidence", F.struct("evidence_id", "date_confidence").alias("k")), "offer_id", "date_confidence", "k", "unknown")
 
 
-@q("jn10_semi_probe", "SELECT p.part_id, p.market FROM parts p WHERE EXISTS (SELECT 1 FROM evidence e WHERE e.part_id = p.part_id AND e.bucket = 'radar' AND e.quantity > 49)", "parts evidence")
+@q("jn10_semi_probe", "SELECT p.part_id, p.market FROM parts p WHERE EXISTS (SELECT 1 FROM evidence e WHERE e.part_id = p.part_id AND e.bucket = 'radar')", "parts evidence")
 def jn10(t):
-    return t.parts.select("part_id", "market").join(t.evidence.where("bucket = 'radar' AND quantity > 49").select("part_id"), "part_id", "left_semi")
+    return t.parts.select("part_id", "market").join(t.evidence.where("bucket = 'radar'").select("part_id"), "part_id", "left_semi")
 
 
 @q("jn11_anti_probe", "SELECT offer_id, price FROM offers o WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.offer_id = o.offer_id)", "offers evidence")
@@ -146,7 +146,7 @@ _CELLS = "cells AS (SELECT DISTINCT m.market, c.component, b.bucket FROM (SELECT
 
 @q(
     "jn15_reference_matrix",
-    f"""WITH {_CELLS}, f AS (SELECT p.market, p.component, e.bucket, count(*) AS n FROM evidence e JOIN parts p USING (part_id) WHERE e.status = 'validated' AND e.quantity > 48 GROUP BY ALL)
+    f"""WITH {_CELLS}, f AS (SELECT p.market, p.component, e.bucket, count(*) AS n FROM evidence e JOIN parts p USING (part_id) WHERE e.status = 'validated' GROUP BY ALL)
     SELECT c.market, c.component, c.bucket, coalesce(f.n, 0) AS n, f.n IS NOT NULL AS covered FROM cells c LEFT JOIN f USING (market, component, bucket)""",
     "parts evidence",
 )
@@ -155,7 +155,7 @@ def jn15(t):
     markets, components = p.select("market").where("market IS NOT NULL").distinct(), p.select("component").distinct()
     # the declared matrix: a product of two short vocabularies, not of facts
     cells = markets.withColumn("j", F.lit(1)).join(components.withColumn("j", F.lit(1)), "j").drop("j").withColumn("bucket", F.explode(F.array(F.lit("existing"), F.lit("radar"))))
-    f = t.evidence.where("status = 'validated' AND quantity > 48").join(p, "part_id").groupBy("market", "component", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    f = t.evidence.where("status = 'validated'").join(p, "part_id").groupBy("market", "component", "bucket").agg(F.count(F.lit(1)).alias("n"))
     out = cells.join(f, ["market", "component", "bucket"], "left")
     return out.select("market", "component", "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("covered"))
 
@@ -186,8 +186,9 @@ def jn17(t):
 
 @q(
     "jn18_duplicate_candidates",
-    """WITH k AS (SELECT actor_id, 'balance' AS reason, CAST(CAST(floor(balance / 50) AS BIGINT) AS VARCHAR) AS key FROM actors UNION ALL SELECT actor_id, 'country_parent', country || '|' || parent FROM actors)
-    SELECT x.actor_id AS a, y.actor_id AS b, list_sort(list(DISTINCT x.reason)) AS reasons FROM k x JOIN k y ON x.reason = y.reason AND x.key = y.key AND x.actor_id < y.actor_id GROUP BY 1, 2""",
+    """WITH k AS (SELECT actor_id, 'balance' AS reason, CAST(CAST(floor(balance / 50) AS BIGINT) AS VARCHAR) AS key FROM actors UNION ALL SELECT actor_id, 'country_parent', country || '|' || parent FROM actors WHERE parent IS NOT NULL),
+    c AS (SELECT reason, key, min(actor_id) AS a FROM k GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT a, actor_id AS b, list_sort(list(DISTINCT reason)) AS reasons FROM k JOIN c USING (reason, key) WHERE a < actor_id GROUP BY 1, 2""",
     "actors",
 )
 def jn18(t):
@@ -226,7 +227,7 @@ def jn21(t):
 
 @q(
     "jn22_keyed_promotion",
-    """WITH u AS (SELECT evidence_id, offer_id, actor_id FROM evidence WHERE quantity = 1), k AS (SELECT offer_id, review_status FROM offers WHERE price > 250000)
+    """WITH u AS (SELECT evidence_id, offer_id, actor_id FROM evidence ), k AS (SELECT offer_id, review_status FROM offers WHERE price > 250000)
     SELECT u.evidence_id, coalesce(k.review_status, 'unlinked') AS state, k.offer_id IS NOT NULL AND a.actor_id IS NOT NULL AS promoted
     FROM u LEFT JOIN k ON k.offer_id = u.offer_id LEFT JOIN (SELECT actor_id FROM actors WHERE active) a ON a.actor_id = u.actor_id""",
     "evidence offers actors",
@@ -234,7 +235,7 @@ def jn21(t):
 def jn22(t):
     k = t.offers.where("price > 250000").select("offer_id", "review_status")
     a = t.actors.where("active").select("actor_id", F.lit(True).alias("known"))
-    out = t.evidence.where("quantity = 1").select("evidence_id", "offer_id", "actor_id").join(k, "offer_id", "left").join(a, "actor_id", "left")
+    out = t.evidence.select("evidence_id", "offer_id", "actor_id").join(k, "offer_id", "left").join(a, "actor_id", "left")
     return out.select("evidence_id", F.coalesce("review_status", F.lit("unlinked")).alias("state"), (F.col("review_status").isNotNull() & F.col("known").isNotNull()).alias("promoted"))
 
 
@@ -249,14 +250,14 @@ def jn23(t):
 
 @q(
     "jn24_miss_cascade",
-    """WITH g AS (SELECT DISTINCT actor_id, part_id, bucket FROM evidence WHERE quantity > 48), f AS (SELECT actor_id, part_id, bucket FROM evidence WHERE status = 'validated' AND confidence > 0.05)
+    """WITH g AS (SELECT DISTINCT actor_id, part_id, bucket FROM evidence), f AS (SELECT actor_id, part_id, bucket FROM evidence WHERE status = 'validated' AND confidence > 0.05)
     SELECT g.*, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.actor_id = g.actor_id AND f.part_id = g.part_id AND f.bucket = g.bucket) THEN 'found'
       WHEN EXISTS (SELECT 1 FROM f WHERE f.part_id = g.part_id) THEN 'same_part' ELSE 'missed' END AS verdict FROM g""",
     "evidence",
 )
 def jn24(t):
     e = t.evidence
-    g = e.where("quantity > 48").select("actor_id", "part_id", "bucket").distinct()
+    g = e.select("actor_id", "part_id", "bucket").distinct()
     f = e.where("status = 'validated' AND confidence > 0.05").select("actor_id", "part_id", "bucket").distinct()
     exact = f.withColumn("exact", F.lit(True))
     near = f.select("part_id").distinct().withColumn("near", F.lit(True))
@@ -270,14 +271,9 @@ def jn24(t):
     round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM w WHERE contains(w.t, lower(b.text)))) / count(*), 4) AS recall FROM benchmark b""",
 )
 def jn25(t):
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     b = t.table("benchmark").select("item_id", F.lower("text").alias("item"))
-    # a text that holds a passage holds its second word whole: an equi-join on that, then the exact test
-    keyed = b.withColumn("w", F.element_at(words(F.col("item")), 2))
-    d = t.table("documents").select("doc_id", "text")
-    near = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(keyed, "w").select("doc_id", "item_id", "item")
-    hit = near.join(d.select("doc_id", F.lower("text").alias("t")), "doc_id").where("contains(t, item)").select("item_id").distinct().withColumn("hit", F.lit(True))
-    out = b.join(hit, "item_id", "left").agg(F.count(F.lit(1)).alias("golden"), F.count("hit").alias("found"))
+    hit = J.contained(t.table("documents").select("doc_id", F.lower("text").alias("t")), b.select("item").distinct(), "doc_id", "t", "item").select("item").distinct().withColumn("hit", F.lit(True))
+    out = b.join(hit, "item", "left").agg(F.count(F.lit(1)).alias("golden"), F.count("hit").alias("found"))
     return out.withColumn("recall", F.round(F.col("found") / F.col("golden"), 4))
 
 
@@ -315,7 +311,7 @@ def jn29(t):
 
 @q(
     "jn30_roster_first",
-    """WITH w AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), 1, 20) AS w FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
     x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w)
     SELECT w.doc_id, (SELECT arg_min(word, pos) FROM x WHERE x.doc_id = w.doc_id AND word IN ('the', 'der', 'les', 'que', 'of', 'un')) AS matched FROM w""",
 )

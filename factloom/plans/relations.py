@@ -49,10 +49,10 @@ def st02(t):
     return p.withColumn("route", F.when(F.col("proofs") < 10, "review").otherwise("accepted"))
 
 
-@q("st05_promotion", "SELECT e.evidence_id, CASE WHEN o.offer_id IS NULL THEN 'queued' ELSE 'corpus' END AS place FROM (SELECT * FROM evidence WHERE quantity = 7) e LEFT JOIN (SELECT offer_id FROM offers WHERE review_status = 'validated') o USING (offer_id)", "evidence offers")
+@q("st05_promotion", "SELECT e.evidence_id, CASE WHEN o.offer_id IS NULL THEN 'queued' ELSE 'corpus' END AS place FROM evidence e LEFT JOIN (SELECT offer_id FROM offers WHERE review_status = 'validated') o USING (offer_id)", "evidence offers")
 def st05(t):
     o = t.offers.where("review_status = 'validated'").select("offer_id", F.lit(True).alias("known"))
-    return t.evidence.where("quantity = 7").select("evidence_id", "offer_id").join(o, "offer_id", "left").select("evidence_id", F.when(F.col("known"), "corpus").otherwise("queued").alias("place"))
+    return t.evidence.select("evidence_id", "offer_id").join(o, "offer_id", "left").select("evidence_id", F.when(F.col("known"), "corpus").otherwise("queued").alias("place"))
 
 
 @q("st06_exclusion_cascade", "SELECT count(*) AS n FROM evidence WHERE offer_id NOT IN (SELECT offer_id FROM offers WHERE review_status = 'rejected')", "evidence offers")
@@ -90,7 +90,7 @@ def st19(t):
     return X.fold(e.where("evidence_id % 2 = 0"), e.where("evidence_id % 2 = 1"), ["part_id"], {"amount": X.most, "first": X.least, "statuses": X.union}, ["evidence_id"])
 
 
-@q("st22_vocabulary_queue", "SELECT w, count(*) AS seen, count(*) >= 150 AS promoted FROM (SELECT DISTINCT doc_id, unnest(list_slice(string_split(lower(text), ' '), 1, 30)) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 50")
+@q("st22_vocabulary_queue", "SELECT w, count(*) AS seen, count(*) >= 150 AS promoted FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY 1")
 def st22(t):
     w = F.explode(F.array_distinct(F.split(F.lower("text"), " ")))
     c = t.table("documents").select("doc_id", w.alias("w")).distinct().groupBy("w").agg(n().alias("seen"))
@@ -124,7 +124,7 @@ def st30(t):
     return X.insert_missing(X.insert_missing(g.limit(0), g, k), g, k).agg(n().alias("n"))
 
 
-@q("st35_schema_evolution", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents WHERE doc_id < 50 UNION ALL SELECT page_id, NULL, url FROM pages")
+@q("st35_schema_evolution", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
 def st35(t):
     old = t.table("documents").select(F.col("doc_id").alias("id"), "lang")
     return old.unionByName(t.table("pages").select(F.col("page_id").alias("id"), "url"), allowMissingColumns=True)

@@ -23,15 +23,13 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
-@q(
-    "sc01_confidence",
-    """WITH f AS (SELECT actor_id, count(*) FILTER (WHERE status = 'validated') AS v, count(*) AS n, count(*) FILTER (WHERE verbatim) AS q, count(lang) AS c, count(*) FILTER (WHERE date_confidence = 'published') AS p,
+_CONFIDENCE = """WITH f AS (SELECT actor_id, count(*) FILTER (WHERE status = 'validated') AS v, count(*) AS n, count(*) FILTER (WHERE verbatim) AS q, count(lang) AS c, count(*) FILTER (WHERE date_confidence = 'published') AS p,
       count(*) FILTER (WHERE date_confidence <> 'unknown') AS d FROM evidence GROUP BY 1)
     SELECT actor_id, CASE WHEN v > 0 THEN round(greatest(0.0, least(100.0, 100 * (0.35 * coalesce(v / nullif(n, 0), 0) + 0.25 * coalesce(q / nullif(c, 0), 0) + 0.25 * coalesce(p / nullif(d, 0), 0) + 0.15 * active::INT))), 1) END AS confidence
-    FROM f JOIN actors USING (actor_id)""",
-    "evidence actors",
-)
-def sc01(t):
+    FROM f JOIN actors USING (actor_id)"""
+
+
+def _confidence(t):
     f = t.evidence.groupBy("actor_id").agg(
         F.count_if(F.col("status") == "validated").alias("v"),
         one().alias("n"),
@@ -45,28 +43,37 @@ def sc01(t):
     return f.join(t.actors.select("actor_id", "active"), "actor_id").select("actor_id", score.alias("confidence"))
 
 
-@q(
-    "sc02_threat",
-    f"""WITH f AS (SELECT actor_id, count(*) FILTER (WHERE quantity > 48) AS n, count(*) FILTER (WHERE date_diff('day', created, DATE '{AS_OF}') <= 60) AS r FROM evidence GROUP BY 1)
-    SELECT a.actor_id, CASE WHEN is_reference THEN 0.0 ELSE round(greatest(0.0, least(100.0, CASE class WHEN 'C1' THEN 55 WHEN 'C2' THEN 30 WHEN 'A1' THEN 10 ELSE 15 END + least(25.0, 1.5 * coalesce(n, 0)) + least(20.0, 4.0 * coalesce(r, 0)) - CASE WHEN active THEN 0 ELSE 15 END)), 1) END::DOUBLE AS threat
-    FROM actors a LEFT JOIN f USING (actor_id)""",
-    "evidence actors",
-)
-def sc02(t):
-    f = t.evidence.groupBy("actor_id").agg(F.count_if(F.col("quantity") > 48).alias("n"), F.count_if(D.whole_days(as_of(), F.col("created")) <= D.RECENT_DAYS).alias("r"))
+@q("sc01_confidence", _CONFIDENCE, "evidence actors")
+def sc01(t):
+    return _confidence(t)
+
+
+_THREAT = f"""WITH k AS (SELECT count(DISTINCT strftime(created, '%Y-%m')) AS periods FROM evidence), f AS (SELECT actor_id, count(*) AS n, count(*) FILTER (WHERE date_diff('day', created, DATE '{AS_OF}') <= 60) AS r FROM evidence WHERE status = 'validated' AND verbatim GROUP BY 1)
+    SELECT a.actor_id, CASE WHEN is_reference THEN 0.0 ELSE round(greatest(0.0, least(100.0, CASE class WHEN 'C1' THEN 55 WHEN 'C2' THEN 30 WHEN 'T1' THEN 10 ELSE 15 END + least(25.0, 1.5 * coalesce(n, 0)) + CASE WHEN periods > 1 THEN least(20.0, 4.0 * coalesce(r, 0)) ELSE 0 END - CASE WHEN active THEN 0 ELSE 15 END)), 1) END::DOUBLE AS threat
+    FROM actors a CROSS JOIN k LEFT JOIN f USING (actor_id)"""
+
+
+def _threat(t):
+    e = t.evidence
+    f = e.where("status = 'validated' AND verbatim").groupBy("actor_id").agg(one().alias("n"), F.count_if(D.whole_days(as_of(), F.col("created")) <= D.RECENT_DAYS).alias("r"))
+    periods = e.agg(F.countDistinct(F.date_format("created", "yyyy-MM"))).scalar()
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return t.actors.join(f, "actor_id", "left").select("actor_id", S.threat_score(F.col("class"), zero("n"), zero("r"), F.col("active"), F.col("is_reference")).alias("threat"))
+    return t.actors.join(f, "actor_id", "left").select("actor_id", S.threat_score(F.col("class"), zero("n"), zero("r"), F.col("active"), F.col("is_reference"), periods).alias("threat"))
 
 
-_INTENSITY = """WITH f AS (SELECT market, count(*) FILTER (WHERE bucket = 'existing' AND quantity > 49.5) AS e, count(*) FILTER (WHERE bucket = 'radar' AND quantity > 49.5) AS r, count(DISTINCT actor_id) FILTER (WHERE quantity > 49.5) AS a,
+@q("sc02_threat", _THREAT, "evidence actors")
+def sc02(t):
+    return _threat(t)
+
+
+_INTENSITY = """WITH f AS (SELECT market, count(*) FILTER (WHERE bucket = 'existing') AS e, count(*) FILTER (WHERE bucket = 'radar') AS r, count(DISTINCT actor_id) AS a,
       count(*) FILTER (WHERE date_confidence = 'published') AS p, count(*) AS n FROM evidence JOIN parts USING (part_id) WHERE market IS NOT NULL AND verbatim AND status = 'validated' GROUP BY 1)
     SELECT market, round(greatest(0.0, least(100.0, 100 * (0.35 * least(1.0, e / 8.0) + 0.15 * least(1.0, r / 8.0) + 0.25 * least(1.0, a / 5.0) + 0.25 * coalesce(p / nullif(n, 0), 0)))), 1)::DOUBLE AS intensity"""
 
 
 def _intensity(t):
     e = t.evidence.where("verbatim AND status = 'validated'").join(t.parts.where("market IS NOT NULL").select("part_id", "market"), "part_id")
-    big = F.col("quantity") > 49.5
-    f = e.groupBy("market").agg(F.count_if(big & (F.col("bucket") == "existing")).alias("e"), F.count_if(big & (F.col("bucket") == "radar")).alias("r"), F.countDistinct(F.when(big, F.col("actor_id"))).alias("a"), F.count_if(F.col("date_confidence") == "published").alias("p"), one().alias("n"))
+    f = e.groupBy("market").agg(F.count_if(F.col("bucket") == "existing").alias("e"), F.count_if(F.col("bucket") == "radar").alias("r"), F.countDistinct("actor_id").alias("a"), F.count_if(F.col("date_confidence") == "published").alias("p"), one().alias("n"))
     return f.select("market", S.intensity_score(F.col("e"), F.col("r"), F.col("a"), F.col("p"), F.col("n")).alias("intensity"))
 
 
@@ -97,35 +104,77 @@ def sc04(t):
     return each.groupBy("k.dimension", "k.key", "period").agg(one().alias("facts"), F.count_if(F.col("status") == "validated").alias("validated"))
 
 
-@q(
-    "sc05_health_indicators",
-    f"""WITH x AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 'validated') AS v, count(*) FILTER (WHERE NOT verbatim) AS nv, count(*) FILTER (WHERE status = 'review') AS u, count(*) FILTER (WHERE date_confidence = 'published') AS p,
-      count(*) FILTER (WHERE lang IS NULL) AS nl, count(*) FILTER (WHERE confidence IS NULL) AS nc, median(date_diff('day', created, DATE '{AS_OF}')) AS latency FROM evidence)
-    SELECT unnest(['yield', 'non_verbatim', 'unreviewed', 'published_date', 'no_language', 'no_confidence', 'latency']) AS indicator, unnest([round(v / n, 4), round(nv / n, 4), round(u / n, 4), round(p / n, 4), round(nl / n, 4), round(nc / n, 4), latency]) AS value FROM x""",
-    "evidence",
-)
-def sc05(t):
-    n = one()
-    shares = {"yield": F.col("status") == "validated", "non_verbatim": ~F.col("verbatim"), "unreviewed": F.col("status") == "review", "published_date": F.col("date_confidence") == "published", "no_language": F.col("lang").isNull(), "no_confidence": F.col("confidence").isNull()}
-    row = t.evidence.agg(*[S.ratio(F.count_if(c), n).alias(k) for k, c in shares.items()], F.median(F.date_diff(as_of(), F.col("created"))).alias("latency"))
-    return row.unpivot([], [*shares, "latency"], "indicator", "value")
-
-
 #: Where an indicator raises an alert.
-ALERTS = [("yield", "below", 0.15), ("non_verbatim", "above", 0.05), ("unreviewed", "above", 0.20), ("published_date", "below", 0.30), ("latency", "above", 180.0)]
+ALERTS = [
+    ("collection_yield", "below", 0.15), ("unvisited_rate", "above", 0.85), ("crawl_error_rate", "above", 0.10), ("non_verbatim_share", "above", 0.05),
+    ("unreviewed_share", "above", 0.20), ("published_dates", "below", 0.30), ("latency_days", "above", 180.0), ("top_decile_share", "above", 0.50),
+]
+#: A visit of a page is an event: an error answers 500, any other 200; one of value below 1 was never made.
+_HEALTH = """WITH v AS (SELECT CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS http, value >= 1 AS visited FROM runs),
+    u AS (SELECT offer_id FROM evidence UNION SELECT offer_id FROM offers WHERE review_status = 'validated'),
+    k AS (SELECT o.offer_id, count(DISTINCT e.actor_id) AS sources FROM offers o LEFT JOIN evidence e USING (offer_id) WHERE o.review_status = 'validated' GROUP BY 1),
+    d AS (SELECT date_confidence = 'published' AS p FROM evidence UNION ALL SELECT precedence <= 2 FROM offers),
+    l AS (SELECT date_diff('day', published, created) AS d FROM evidence JOIN offers USING (offer_id) UNION ALL SELECT date_diff('day', published, DATE '2001-08-01') FROM offers),
+    c AS (SELECT count(*) AS n FROM evidence GROUP BY offer_id UNION ALL SELECT count(*) FROM offers GROUP BY buyer_id),
+    r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS k, count(*) OVER () AS m FROM c),
+    x AS (SELECT (SELECT round((SELECT count(*) FROM u) / nullif(count(*) FILTER (WHERE visited AND http = 200), 0), 4) FROM v) AS collection_yield, (SELECT round(count(*) FILTER (WHERE NOT visited) / nullif(count(*), 0), 4) FROM v) AS unvisited_rate,
+      (SELECT round(count(*) FILTER (WHERE visited AND http NOT BETWEEN 200 AND 399) / nullif(count(*) FILTER (WHERE visited), 0), 4) FROM v) AS crawl_error_rate, (SELECT round(count(*) FILTER (WHERE NOT verbatim) / nullif(count(*), 0), 4) FROM evidence WHERE status = 'validated') AS non_verbatim_share,
+      (SELECT round(count(*) FILTER (WHERE sources <= 1) / nullif(count(*), 0), 4) FROM k) AS unreviewed_share, (SELECT round(count(*) FILTER (WHERE p) / nullif(count(*), 0), 4) FROM d) AS published_dates, (SELECT round(median(d), 1) FROM l) AS latency_days,
+      (SELECT round(sum(n) FILTER (WHERE k <= greatest(1, round_even(m * 0.1, 0))) / nullif(sum(n), 0), 4) FROM r) AS top_decile_share),
+    h AS (UNPIVOT x ON COLUMNS(*) INTO NAME indicator VALUE value)"""
+
+
+def _top_share(counts):
+    """Share of the sum that the top tenth of the counts holds (their number half-even, one at least), from a histogram of the counts."""
+    from pyspark.sql import Window as W
+
+    hist = counts.groupBy("n").agg(one().alias("times"))  # a row for each different count
+    above = F.sum("times").over(W.partitionBy(F.lit(0)).orderBy(F.desc("n")))
+    top = F.greatest(F.lit(1), F.bround(F.sum("times").over(W.partitionBy(F.lit(0))) * 0.1))
+    taken = F.greatest(F.lit(0), F.least(F.col("times"), top - (above - F.col("times"))))
+    return hist.select("n", "times", taken.alias("taken")).agg(S.ratio(F.sum(F.col("n") * F.col("taken")), F.sum(F.col("n") * F.col("times"))).alias("value"))
+
+
+def _health(t):
+    e, o = t.evidence, t.offers
+    v = t.runs.select(F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http"), (F.col("value") >= 1).alias("visited"))
+    seen = v.agg(F.count_if(F.expr("visited AND http = 200")).alias("ok"), F.count_if("visited").alias("tried"), F.count_if(F.expr("visited AND http NOT BETWEEN 200 AND 399")).alias("bad"), F.count_if(~F.col("visited")).alias("not_tried"), one().alias("n"))
+    urls = e.select("offer_id").union(o.where("review_status = 'validated'").select("offer_id")).distinct().agg(one().alias("urls"))
+    k = o.where("review_status = 'validated'").select("offer_id").join(e.select("offer_id", "actor_id"), "offer_id", "left").groupBy("offer_id").agg(F.countDistinct("actor_id").alias("sources"))
+    dates = e.select((F.col("date_confidence") == "published").alias("p")).union(o.select(F.col("precedence") <= 2))
+    days = e.join(o.select("offer_id", "published"), "offer_id").select(F.date_diff("created", "published").alias("d")).union(o.select(F.date_diff(F.lit("2001-08-01").cast("date"), "published")))
+    counts = e.groupBy("offer_id").agg(one().alias("n")).select("n").union(o.groupBy("buyer_id").agg(one().alias("n")).select("n"))
+    row = lambda df, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("indicator"), "value")
+    c = F.col
+    out = [
+        urls.crossJoin(seen.select("ok")).select(F.lit("collection_yield").alias("indicator"), S.ratio(c("urls"), c("ok")).alias("value")),  # two single rows
+        seen.select(F.lit("unvisited_rate"), S.ratio(c("not_tried"), c("n"))),
+        seen.select(F.lit("crawl_error_rate"), S.ratio(c("bad"), c("tried"))),
+        row(e.where("status = 'validated'"), "non_verbatim_share", S.ratio(F.count_if(~c("verbatim")), one())),
+        row(k, "unreviewed_share", S.ratio(F.count_if(c("sources") <= 1), one())),
+        row(dates, "published_dates", S.ratio(F.count_if("p"), one())),
+        row(days, "latency_days", F.round(F.median("d"), 1)),
+        _top_share(counts).select(F.lit("top_decile_share"), "value"),
+    ]
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.union(df)
+    return whole
+
+
+@q("sc05_health_indicators", f"{_HEALTH} SELECT indicator, value::DOUBLE AS value FROM h", "runs evidence offers")
+def sc05(t):
+    return _health(t)
 
 
 @q(
     "prj11_threshold_alerts",
-    f"""WITH x AS (SELECT unnest(['yield', 'non_verbatim', 'unreviewed', 'published_date', 'latency']) AS indicator, unnest([(count(*) FILTER (WHERE status = 'validated')) / count(*), (count(*) FILTER (WHERE NOT verbatim)) / count(*), (count(*) FILTER (WHERE status = 'review')) / count(*),
-      (count(*) FILTER (WHERE date_confidence = 'published')) / count(*), median(date_diff('day', created, DATE '{AS_OF}'))]) AS value FROM evidence),
-    h AS (SELECT * FROM (VALUES ('yield', 'below', 0.15), ('non_verbatim', 'above', 0.05), ('unreviewed', 'above', 0.20), ('published_date', 'below', 0.30), ('latency', 'above', 180.0)) v(indicator, direction, bound))
-    SELECT indicator, CASE WHEN direction = 'below' THEN round(value, 4) < bound ELSE round(value, 4) > bound END AS alert FROM x JOIN h USING (indicator)""",
-    "evidence",
+    f"{_HEALTH} SELECT indicator, CASE WHEN direction = 'below' THEN value < bound ELSE value > bound END AS alert FROM h JOIN (VALUES {', '.join(map(repr, ALERTS))}) a(indicator, direction, bound) USING (indicator)",
+    "runs evidence offers",
 )
 def prj11(t):
     h = t.spark.createDataFrame(ALERTS, "indicator string, direction string, bound double")
-    j = sc05(t).join(F.broadcast(h), "indicator")
+    j = _health(t).join(F.broadcast(h), "indicator")
     return j.select("indicator", F.when(F.col("direction") == "below", F.col("value") < F.col("bound")).otherwise(F.col("value") > F.col("bound")).alias("alert"))
 
 
@@ -141,19 +190,40 @@ def sc06(t):
     return j.groupBy(F.col("date_confidence").alias("mode")).agg(one().alias("n"), S.ratio(F.count_if(F.col("status") == "review"), one()).alias("rejection"), F.median(F.when(days >= 0, days)).alias("latency"))
 
 
+#: The impact of an item by its queue.
+IMPACT = {"evidence": 3, "offers": 2, "tech_signals": 1, "events": 1, "facts": 1, "vocabulary": 1, "actors": 2, "candidates": 1}
+
+
 @q(
     "sc08_review_queues",
-    """WITH u AS (SELECT 'facts' AS queue, evidence_id AS id, confidence FROM evidence WHERE status = 'review' AND quantity > 45 UNION ALL SELECT 'offers', offer_id, NULL FROM offers WHERE review_status = 'pending'
-      UNION ALL SELECT 'actors', actor_id, NULL FROM actors WHERE NOT active)
-    SELECT queue, id, round(CASE queue WHEN 'facts' THEN 1 WHEN 'offers' THEN 2 ELSE 3 END * CASE WHEN confidence IS NULL THEN 1.5 ELSE 1 + (1 - confidence) END, 3)::DOUBLE AS priority FROM u""",
-    "evidence offers actors",
+    f"""WITH u AS (SELECT 'evidence' AS queue, evidence_id AS id, class, confidence FROM evidence JOIN actors USING (actor_id) WHERE status = 'review' UNION ALL SELECT 'offers', offer_id, '', NULL FROM offers WHERE review_status = 'pending'
+      UNION ALL SELECT 'tech_signals', doc_id, '', NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'events', event_id, '', NULL FROM runs WHERE event_type = 'error' UNION ALL SELECT 'facts', part_id, '', 0.5 FROM parts WHERE market IS NULL
+      UNION ALL SELECT 'vocabulary', doc_id, '', 0.25 FROM labels WHERE quality = 0 UNION ALL SELECT 'actors', actor_id, class, NULL FROM actors WHERE NOT active UNION ALL SELECT 'candidates', buyer_id, '', NULL FROM buyers WHERE balance < 0)
+    SELECT queue, id, round(CASE class WHEN 'C1' THEN 3 WHEN 'C2' THEN 2 WHEN 'A1' THEN 2 ELSE 1 END * CASE queue {' '.join(f"WHEN '{k}' THEN {v}" for k, v in IMPACT.items())} END * CASE WHEN confidence IS NULL THEN 1.5 ELSE 1 + (1 - confidence) END, 3)::DOUBLE AS priority FROM u""",
+    "evidence offers actors runs parts buyers",
 )
 def sc08(t):
-    shape = lambda df, k, i, c: df.select(F.lit(k).alias("queue"), F.col(i).alias("id"), c.cast("double").alias("confidence"))
-    u = shape(t.evidence.where("status = 'review' AND quantity > 45"), "facts", "evidence_id", F.col("confidence"))
-    u = u.unionByName(shape(t.offers.where("review_status = 'pending'"), "offers", "offer_id", F.lit(None))).unionByName(shape(t.actors.where("NOT active"), "actors", "actor_id", F.lit(None)))
-    impact = S.lookup(F.col("queue"), {"facts": 1, "offers": 2}, 3)
-    return u.select("queue", "id", S.review_priority(F.lit(""), impact, F.col("confidence")).alias("priority"))
+    """Eight queues in one row shape, with one formula of priority."""
+
+    def shape(df, queue, key, klass=None, confidence=None):
+        klass, confidence = F.lit("") if klass is None else klass, F.lit(None) if confidence is None else confidence
+        return df.select(F.lit(queue).alias("queue"), F.col(key).alias("id"), klass.alias("class"), confidence.cast("double").alias("confidence"))
+
+    a, labels = t.actors, t.table("labels")
+    queues = [
+        shape(t.evidence.where("status = 'review'").join(a.select("actor_id", "class"), "actor_id"), "evidence", "evidence_id", F.col("class"), F.col("confidence")),
+        shape(t.offers.where("review_status = 'pending'"), "offers", "offer_id"),
+        shape(t.table("documents").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), "tech_signals", "doc_id"),
+        shape(t.runs.where("event_type = 'error'"), "events", "event_id"),
+        shape(t.parts.where("market IS NULL"), "facts", "part_id", confidence=F.lit(0.5)),
+        shape(labels.where("quality = 0"), "vocabulary", "doc_id", confidence=F.lit(0.25)),
+        shape(a.where("NOT active"), "actors", "actor_id", F.col("class")),
+        shape(t.buyers.where("balance < 0"), "candidates", "buyer_id"),
+    ]
+    u = queues[0]
+    for x in queues[1:]:
+        u = u.unionByName(x)
+    return u.select("queue", "id", S.review_priority(F.col("class"), S.lookup(F.col("queue"), IMPACT, 1), F.col("confidence")).alias("priority"))
 
 
 @q("sc09_marketing_dossier", "SELECT class, count(*) AS actors, count(*) FILTER (WHERE active) AS active, round(avg(balance), 2) AS balance FROM actors GROUP BY 1", "actors")
@@ -195,20 +265,29 @@ def sc12(t):
 
 @q(
     "sc13_actor_list",
-    f"""WITH f AS (SELECT actor_id, count(*) AS n, max(created) AS last FROM evidence GROUP BY 1)
-    SELECT a.actor_id, a.name, coalesce(n, 0) AS facts, CASE WHEN coalesce(n, 0) >= 10 THEN 'good' WHEN coalesce(n, 0) >= 1 THEN 'partial' ELSE 'weak' END AS coverage,
-    (CASE WHEN last IS NULL THEN 0.3 WHEN date_diff('day', last, DATE '{AS_OF}') <= 30 THEN 1.0 WHEN date_diff('day', last, DATE '{AS_OF}') <= 90 THEN 0.85 WHEN date_diff('day', last, DATE '{AS_OF}') <= 180 THEN 0.6 ELSE 0.35 END)::DOUBLE AS freshness FROM actors a LEFT JOIN f USING (actor_id)""",
+    f"""WITH n AS (SELECT actor_id, count(*) AS n, max(created) AS last, count(*) FILTER (WHERE status = 'validated') AS v, count(*) FILTER (WHERE date_confidence = 'published') AS p, list_sort(list(DISTINCT bucket)) AS buckets FROM evidence GROUP BY 1),
+    th AS ({_THREAT}), co AS ({_CONFIDENCE}),
+    j AS (SELECT a.*, coalesce(n, 0) AS facts, last, coalesce(v, 0) AS v, coalesce(p, 0) AS p, coalesce(buckets, []) AS buckets, confidence, threat,
+      CASE WHEN last IS NULL THEN 0.3 WHEN date_diff('day', last, DATE '{AS_OF}') <= 30 THEN 1.0 WHEN date_diff('day', last, DATE '{AS_OF}') <= 90 THEN 0.85 WHEN date_diff('day', last, DATE '{AS_OF}') <= 180 THEN 0.6 ELSE 0.35 END AS f FROM actors a LEFT JOIN n USING (actor_id) LEFT JOIN th USING (actor_id) LEFT JOIN co USING (actor_id))
+    SELECT actor_id, name, facts, CASE WHEN facts >= 10 THEN 'good' WHEN facts >= 1 THEN 'partial' ELSE 'weak' END AS coverage, f::DOUBLE AS freshness, confidence, threat, buckets, v > 0 AS confirmed,
+      round(((facts > 0)::INT + (v > 0)::INT + (p > 0)::INT + (parent IS NOT NULL)::INT + (class <> '')::INT + active::INT) / 6.0 * f, 3)::DOUBLE AS completeness FROM j""",
     "actors evidence",
 )
 def sc13(t):
-    f = t.evidence.groupBy("actor_id").agg(one().alias("n"), F.max("created").alias("last"))
-    n = F.coalesce("n", F.lit(0))
-    return t.actors.join(f, "actor_id", "left").select("actor_id", "name", n.alias("facts"), S.coverage_level(n).alias("coverage"), S.freshness(D.whole_days(as_of(), F.col("last"))).alias("freshness"))
+    """The actors' page: counts, ladders, both scores, and six questions of completeness weighted by freshness."""
+    f = t.evidence.groupBy("actor_id").agg(one().alias("n"), F.max("created").alias("last"), F.count_if(F.col("status") == "validated").alias("v"), F.count_if(F.col("date_confidence") == "published").alias("p"), F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n, v, p = zero("n"), zero("v"), zero("p")
+    fresh = S.freshness(D.whole_days(as_of(), F.col("last")))
+    has = [n > 0, v > 0, p > 0, F.col("parent").isNotNull(), F.col("class") != "", F.col("active")]
+    complete = F.round(sum((x.cast("int") for x in has), F.lit(0)) / 6.0 * fresh, 3)
+    j = t.actors.join(f, "actor_id", "left").join(_threat(t), "actor_id", "left").join(_confidence(t), "actor_id", "left")
+    return j.select("actor_id", "name", n.alias("facts"), S.coverage_level(n).alias("coverage"), fresh.alias("freshness"), "confidence", "threat", F.coalesce("buckets", F.array().cast("array<string>")).alias("buckets"), (v > 0).alias("confirmed"), complete.alias("completeness"))
 
 
 @q(
     "sc14_network_edges",
-    """SELECT 'actor:' || actor_id AS source, 'country:' || country AS target, 'based_in' AS relation FROM actors UNION ALL SELECT DISTINCT 'actor:' || actor_id, 'market:' || market, 'serves' FROM evidence JOIN parts USING (part_id) WHERE market IS NOT NULL AND quantity > 49
+    """SELECT 'actor:' || actor_id AS source, 'country:' || country AS target, 'based_in' AS relation FROM actors UNION ALL SELECT DISTINCT 'actor:' || actor_id, 'market:' || market, 'serves' FROM evidence JOIN parts USING (part_id) WHERE market IS NOT NULL
     UNION ALL SELECT 'actor:' || actor_id, 'group:' || parent, 'part_of' FROM actors WHERE parent IS NOT NULL""",
     "actors evidence parts",
 )
@@ -216,7 +295,7 @@ def sc14(t):
     node = lambda k, c: F.concat(F.lit(k + ":"), F.col(c).cast("string"))
     a = t.actors
     based = a.select(node("actor", "actor_id").alias("source"), node("country", "country").alias("target"), F.lit("based_in").alias("relation"))
-    serves = t.evidence.where("quantity > 49").join(t.parts.where("market IS NOT NULL"), "part_id").select(node("actor", "actor_id"), node("market", "market"), F.lit("serves")).distinct()
+    serves = t.evidence.join(t.parts.where("market IS NOT NULL"), "part_id").select(node("actor", "actor_id"), node("market", "market"), F.lit("serves")).distinct()
     return based.union(serves).union(a.where("parent IS NOT NULL").select(node("actor", "actor_id"), node("group", "parent"), F.lit("part_of")))
 
 
@@ -248,9 +327,9 @@ def sc16(t):
     return t.table("pages").select("page_id", F.when(n < 1000, "render").when(n < 3000, "retry").otherwise("keep").alias("decision"))
 
 
-@q("sc17_offer_sheet", "SELECT actor_id, list_sort(list(DISTINCT component)) AS components, list_sort(list(DISTINCT bucket)) AS buckets FROM evidence JOIN parts USING (part_id) WHERE quantity > 49 GROUP BY 1", "evidence parts")
+@q("sc17_offer_sheet", "SELECT actor_id, list_sort(list(DISTINCT component)) AS components, list_sort(list(DISTINCT bucket)) AS buckets FROM evidence JOIN parts USING (part_id) GROUP BY 1", "evidence parts")
 def sc17(t):
-    j = t.evidence.where("quantity > 49").join(t.parts.select("part_id", "component"), "part_id")
+    j = t.evidence.join(t.parts.select("part_id", "component"), "part_id")
     return j.groupBy("actor_id").agg(F.array_sort(F.collect_set("component")).alias("components"), F.array_sort(F.collect_set("bucket")).alias("buckets"))
 
 

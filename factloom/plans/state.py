@@ -172,14 +172,20 @@ def st33(t):
     return X.transition(t.offers.withColumnRenamed("review_status", "state"), "state", {"pending": "promoted"}, F.col("price") > 250000).select("offer_id", "state")
 
 
+_TITLES = "SELECT regexp_extract(html, '<title>(.*?)</title>', 1) AS title, min(page_id) AS id FROM pages GROUP BY 1"
+
+
 @q(
     "fn32_near_duplicate",
-    """WITH w AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark))
-    SELECT a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.05""",
+    f"""WITH w AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM (SELECT id, list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS w FROM ({_TITLES}))),
+    g AS (SELECT id, len(s) AS n, unnest(s) AS g FROM w), k AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM g a JOIN g b USING (g) WHERE a.id < b.id GROUP BY 1, 2)
+    SELECT a, b FROM k WHERE k / (na + nb - k) >= 0.45""",
 )
-def fn32(t, least: float = 0.05):
-    w = t.table("benchmark").select("item_id", T.shingles(F.split(F.lower("text"), " ")).alias("s"))
-    each = w.select("item_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    pair = each.withColumnsRenamed({"item_id": "a", "n": "na"}).join(each.withColumnsRenamed({"item_id": "b", "n": "nb"}), "g").where("a < b")
+def fn32(t, least: float = 0.45):
+    """Different titles of pages (each named by its first page) whose 3-word shingles overlap so far."""
+    titles = t.table("pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title")).groupBy("title").agg(F.min("page_id").alias("id"))
+    w = titles.select("id", T.shingles(F.filter(F.split(F.lower("title"), " "), lambda x: x != "")).alias("s"))
+    each = w.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    pair = each.withColumnsRenamed({"id": "a", "n": "na"}).join(each.withColumnsRenamed({"id": "b", "n": "nb"}), "g").where("a < b")
     k = pair.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     return k.where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= least).select("a", "b")

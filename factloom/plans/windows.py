@@ -144,8 +144,7 @@ def wn16(t):
 
 @q("so01_multi_key", "SELECT actor_id, row_number() OVER (ORDER BY active DESC, is_reference DESC, name) AS place FROM actors", "actors")
 def so01(t):
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("active"), F.desc("is_reference"), "name")
-    return t.actors.select("actor_id", F.row_number().over(order).cast("bigint").alias("place"))
+    return N.global_rank(t.actors, [F.desc("active"), F.desc("is_reference"), F.asc("name")], "place").select("actor_id", "place")
 
 
 @q("so02_coalesced_order_limit", f"SELECT evidence_id FROM evidence ORDER BY coalesce(confidence, amount / 1000000) DESC, {_TIE_SQL} LIMIT 25", "evidence")
@@ -197,7 +196,7 @@ def so07(t):
 @q("so08_locale_ties", "SELECT label, row_number() OVER (ORDER BY strip_accents(lower(label)), label) AS place FROM (SELECT DISTINCT label FROM parts)", "parts")
 def so08(t):
     labels = t.parts.select("label").distinct()
-    return labels.select("label", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.collate("label", "fr"), "label")).cast("bigint").alias("place"))
+    return N.global_rank(labels, [F.collate("label", "fr").asc(), F.asc("label")], "place").select("label", "place")
 
 
 @q(
