@@ -20,7 +20,6 @@ NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:cookie|consent|banner|ad|ads|menu|bread
 BLOCK = {"p", "li", "td", "th", "blockquote", "figcaption", "dd", "dt", "div", "section", "article", "main", "body", "br", "tr", "ul", "ol", "table"}
 HEADING = {"h1": 1, "h2": 2, "h3": 3, "h4": 4}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MOST_BLOCKS = 80
 
 SCHEMA = "page_id long, title string, lang string, published string, n_links long, n_outbound long, blocks array<struct<heading:string,text:string,path:string,fingerprint:string>>, coverage double"
 
@@ -100,7 +99,7 @@ def parse(html: str, url: str = "") -> dict:
     seen, blocks = set(), []
     for heading, text, path in p.blocks:
         key = hashlib.sha256(f"{path}|{text}".encode()).hexdigest()[:24]
-        if key not in seen and len(blocks) < MOST_BLOCKS:
+        if key not in seen:
             seen.add(key)
             blocks.append({"heading": heading, "text": text, "path": path, "fingerprint": key})
     host = urlsplit(url).netloc

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import blocks as B
 from factloom.functions.html import parse_pages
 from factloom.sources import landed
 
@@ -68,10 +69,54 @@ def ht09(t):
     return p.select("page_id", "title", "lang", "published", "n_links", "n_outbound", F.size("blocks").alias("n_blocks"), "coverage")
 
 
+def _documents(t):
+    return B.documents(t.table("pages"))
+
+
+@q("ht02_links")
+def ht02(t):
+    d = _documents(t).select("page_id", F.explode(F.concat(F.transform("links", lambda x: F.struct(x["url"].alias("url"), x["category"].alias("category"), x["score"].alias("score"))), F.transform("outbound", lambda x: F.struct(x["url"].alias("url"), F.lit("outbound").alias("category"), F.lit(0).cast("long").alias("score"))))).alias("l"))
+    return d.select("page_id", "l.*")
+
+
+@q("ht04_editorial_blocks")
+def ht04(t):
+    d = _documents(t).select("page_id", F.posexplode("blocks").alias("pos", "b"))
+    return d.select("page_id", "pos", "b.kind", "b.heading", "b.level1", "b.level2", F.md5("b.text").alias("digest"))
+
+
 @q("ht07_page_quality")
 def ht07(t):
-    p = parse_pages(t.table("pages"))
-    return p.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("coverage"), 4).alias("coverage"), F.sum(F.size("blocks")).alias("blocks"))
+    return _documents(t).select("page_id", "coverage", "useful", "noise", "oversized", "score")
+
+
+@q("ht08_render_required")
+def ht08(t):
+    return _documents(t).select("page_id", "render")
+
+
+@q("src12_feed_discovery", """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages""")
+def src12(t):
+    """Addresses that a page links to, as a discovery pass reads them from the source text."""
+    return t.table("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1))).alias("href"))
+
+
+@q("snk02_upsert_overwrite", "SELECT o_custkey AS k, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS last FROM orders GROUP BY 1")
+def snk02(t):
+    from factloom.operators import state as X
+
+    o = t.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("last"), "o_orderdate", "o_orderkey")
+    cut = F.lit("1998-01-01").cast("date")
+    return X.fold(o.where(F.col("o_orderdate").cast("date") < cut), o.where(F.col("o_orderdate").cast("date") >= cut), ["k"], {"last": X.replace}, ["o_orderdate", "o_orderkey"])
+
+
+@q("snk03_upsert_do_nothing", "SELECT o_custkey AS k, arg_min(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS first FROM orders GROUP BY 1")
+def snk03(t):
+    from factloom.operators import state as X
+
+    o = t.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first"), "o_orderdate", "o_orderkey")
+    cut = F.lit("1998-01-01").cast("date")
+    return X.fold(o.where(F.col("o_orderdate").cast("date") < cut), o.where(F.col("o_orderdate").cast("date") >= cut), ["k"], {"first": X.keep}, ["o_orderdate", "o_orderkey"])
 
 
 @q("hourly_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
