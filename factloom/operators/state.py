@@ -88,3 +88,9 @@ def transition(df: DataFrame, column: str, moves: dict[str, str], guard: Column)
     for a, b in moves.items():
         out = F.when(guard & (F.col(column) == a), b).otherwise(out)
     return df.withColumn(column, out)
+
+
+def transitions(before: DataFrame, after: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, before, after): the log of a fold, a row for each known key whose value moved."""
+    j = before.select(*key, F.col(column).alias("before")).join(after.select(*key, F.col(column).alias("after")), key)
+    return j.where(F.col("before") != F.col("after"))

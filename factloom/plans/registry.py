@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, pages, relations, scalars, scores, state, texts, windows
+from . import aggregates, extraction, joins, pages, relations, scalars, scores, state, texts, windows
 
-MODULES: tuple = (scores, aggregates, joins, windows, scalars, state, relations, texts, pages)
+MODULES: tuple = (scores, aggregates, joins, windows, scalars, state, relations, texts, extraction, pages)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
