@@ -140,11 +140,14 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows[n * 4 : n * 4 + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     empty = spark.createDataFrame([], schema)
     arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = folds.upsert_stream(arrivals, f"{tmp_path}/state", f"{tmp_path}/cp", _fold, empty)
+    q = folds.upsert_stream(arrivals, f"{tmp_path}/state", f"{tmp_path}/cp", _fold, empty, ["k"], 4)
     q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state" / "index").iterdir())
+    named = {(r.bucket, r.version) for n in (last - 1, last) for r in spark.read.parquet(f"{tmp_path}/state/index/batch={n}").collect()}
+    held = {(int(b.name.split("=")[1]), int(v.name.split("=")[1])) for v in (tmp_path / "state" / "data").iterdir() for b in v.iterdir() if b.name.startswith("state_bucket=")}
+    assert held == named  # nothing older is kept
     key = lambda df: sorted((r.k, r.bucket, r.seen, r.at) for r in df.collect())
-    assert key(folds.read_state(spark, f"{tmp_path}/state", last)) == key(_fold(empty, spark.createDataFrame(rows, schema)))
+    assert key(folds.read_state(spark, f"{tmp_path}/state", last, empty)) == key(_fold(empty, spark.createDataFrame(rows, schema)))
 
 
 def test_windowed_stream(spark, tmp_path):
@@ -172,6 +175,49 @@ def test_sources_and_sinks(spark, tmp_path):
     assert text == b'x,y\r\n"a,b",1\r\n'
 
 
+def test_landed_archives_and_answers(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "projects.zip", "w") as z:
+        z.writestr("csv/organization.csv", "id;name\n1;\"A; é\"\n2;B\n")
+        z.writestr("csv/other.csv", "x\n")
+    got = landed.read_zip_member(spark, str(tmp_path / "*.zip"), "organization.csv", "id long, name string")
+    assert [(r.id, r.name) for r in got.orderBy("id").collect()] == [(1, "A; é"), (2, "B")]
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "index.xml").write_text("<sitemapindex><sitemap><loc>https://x.org/a.xml</loc></sitemap><sitemap><loc>https://x.org/b.xml.gz</loc></sitemap></sitemapindex>")
+    (tmp_path / "maps" / "a.xml").write_text("<urlset><url><loc>http://a</loc></url></urlset>")
+    (tmp_path / "maps" / "b.xml.gz").write_bytes(gzip.compress(b"<urlset><url><loc>http://b</loc><lastmod>2024-01-01</lastmod></url></urlset>"))
+    (tmp_path / "maps" / "c.xml").write_text("<urlset><url><loc>http://c</loc></url></urlset>")
+    assert {r["loc"] for r in landed.read_sitemap_index(spark, str(tmp_path / "maps"), "index.xml").collect()} == {"http://a", "http://b"}
+    (tmp_path / "atom.xml").write_text("<feed><entry><id>1</id><title>T</title><published>2024</published></entry></feed>")
+    assert [tuple(r) for r in landed.read_atom(spark, str(tmp_path / "atom.xml")).collect()] == [("1", "T", "2024")]
+    (tmp_path / "answers").mkdir()
+    for i in range(3):
+        (tmp_path / "answers" / f"page-{i}.json").write_text(f'{{"cursor": {i}, "results": [{{"id": {i}, "title": "Fast cutting {i}"}}, {{"id": {i + 10}, "title": "slow"}}]}}')
+    schema = "cursor int, results array<struct<id:long,title:string>>"
+    assert landed.read_json_pages(spark, str(tmp_path / "answers"), schema, "results", cursor="cursor", most_pages=2).count() == 4
+    assert {r.id for r in landed.search_rows(landed.read_json_pages(spark, str(tmp_path / "answers"), schema, "results"), "title", ["fast CUTTING"]).collect()} == {0, 1, 2}
+    (tmp_path / "cdx.txt").write_text("urlkey timestamp original\norg,x)/ 20200101000000 http://x.org/\norg,x)/ 20190101000000 http://x.org/\n")
+    assert [r.stamp for r in landed.read_snapshots(spark, str(tmp_path / "cdx.txt")).collect()] == ["20190101000000", "20200101000000"]
+    (tmp_path / "p.xml").write_text('<r><exchange-document country="EP" doc-number="1"><title lang="de">t</title><title lang="en">Title</title><applicant>A</applicant><date>20240102</date></exchange-document></r>')
+    assert [tuple(r) for r in landed.read_patents(spark, str(tmp_path / "p.xml")).collect()] == [("EP1", "Title", ["A"], "2024-01-02")]
+    assert landed.query_text("TechnoAlpine \"x\" (y)") == 'TechnoAlpine \\"x\\" (y)'
+    registry = spark.createDataFrame([("l1", "A"), ("l2", "B")], "lei string, name string")
+    assert [tuple(r) for r in landed.lookup(registry, spark.createDataFrame([("l2",), ("l9",)], "lei string"), "lei").orderBy("lei").collect()] == [("l2", "B"), ("l9", None)]
+    listed = spark.createDataFrame([("Partners 2020", "u1"), ("projets", "u2")], "title string, url string")
+    assert [r.url for r in landed.resources(listed, ["2020"]).collect()] == ["u1"]
+
+
+def test_versions_and_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a"b;c'), (2, None)], "k int, t string")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        landed.write_version(df, str(tmp_path / "v"), day)
+    assert landed.prune_versions(spark, str(tmp_path / "v"), 2) == ["2024-01-01"] and sorted(p.name for p in (tmp_path / "v").iterdir()) == ["stamp=2024-01-02", "stamp=2024-01-03"]
+    assert landed.export_csv(df) == b'\xef\xbb\xbfk;t\r\n1;"a""b;c"\r\n2;\r\n'
+    assert landed.emptied(df).count() == 0 and landed.emptied(df).schema == df.schema
+
+
 def test_page_parser():
     page = """<html lang=fr><head><title>T &amp; u</title><meta property="article:published_time" content="2024-05-06T01:02"></head><body><nav><a href=/n>menu</a></nav>
     <h1>Top</h1><p>One <b>bold</b> word</p><div class="cookie banner"><p>accept</p></div><h2>Sub</h2><p>Two <a href="https://other.org/x#y">link</a></p><p>Two <a href="/z">link</a></p><script>var a = "</p>";</script></body></html>"""
