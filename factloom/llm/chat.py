@@ -107,10 +107,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, regroup: bool = False) -> DataFrame:
     """Per conversation, from its examples alone: turns and trainable texts, with their digests.
 
-    The examples of a conversation must be in one partition in their order, as expand() leaves them.
+    Examples are taken in the order of their numbers. Those of a conversation must be in one partition, as expand() leaves them;
+    regroup brings them together where they may have been dealt out since.
     """
     fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
@@ -136,7 +137,9 @@ def read_back(examples: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in fields.split(", ")])
 
-    return examples.select("conv_id", "formatted", "loss_start", "loss_end", "is_last").mapInArrow(run, fields)
+    together = examples.repartition("conv_id") if regroup else examples
+    ordered = together.select("conv_id", "formatted", "loss_start", "loss_end", "is_last", "example").sortWithinPartitions("conv_id", "example")
+    return ordered.drop("example").mapInArrow(run, fields)
 
 
 def op4_prefix_target(spark, sf_dir: str) -> DataFrame:

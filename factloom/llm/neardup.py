@@ -23,7 +23,7 @@ Classes are keyed by a 64-bit fingerprint of their set (two sets of n get the sa
 Sets are read once more after signing, for classes that share a bucket with another one, and kept as a checkpoint.
 
 Defined cases: null or blank text is an empty set and linked with nothing; repeated rows are copies of one class; rows of
-one doc_id are one node, whatever their texts, and a null doc_id is a node of its own, linked with nothing; other columns are
+one doc_id that have words are one node, and a null doc_id is a node of its own, linked with nothing; other columns are
 ignored; an empty table gives an empty result.
 """
 

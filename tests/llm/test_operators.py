@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,6 +109,29 @@ def test_repeated_rows_are_copies(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (7, 7), (7, 7), (9, 7)]
 
 
+def test_one_id_with_two_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, b), (5, b + " tail"), (5, b + " tail"), (6, c), (7, None), (7, c + " tail"), (8, " ")]
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()})
+    assert got == [(1, 1, True), (2, 1, False), (5, 1, False), (6, 6, True), (7, 6, False), (7, 7, True), (8, 8, True)]
+
+
+def test_large_bucket_in_slices(spark, monkeypatch):
+    """Slices of a bucket's members lose no pair."""
+    monkeypatch.setattr(neardup, "SLICE", 3)
+    monkeypatch.setattr(neardup, "PEELS", 0)
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randrange(0, 14)):
+            w[r.randrange(120)] = f"m{r.randrange(7)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == near_brute(rows)
+
+
 def quality_brute(text):
     w = words(text)
     lines = [x for x in (text or "").split("\n")]
@@ -117,14 +141,16 @@ def quality_brute(text):
             dup += 1
         seen.add(x)
     tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    many = {t for t in tri if tri.count(t) > 1}
+    times = Counter(tri)
+    many = {t for t in tri if times[t] > 1}
     covered = {j for i, t in enumerate(tri) if t in many for j in (i, i + 1, i + 2)}
     n, rep = len(w), len(covered)
     return n, sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, rep, n < 50 or 100 * rep > 50 * n
 
 
 def test_quality(spark):
-    rows = [(i, t if t is None or len(t) < 3000 else t[:3000]) for i, t in corpus(60)]
+    rows = corpus(60)
+    rows += [(700, rows[6][1]), (701, "long word " * 60_000), (702, "x" * 200_000), (703, "\n" * 5000 + "a\n" * 5000), (6, rows[6][1])]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.repetition_coverage(frame(spark, rows)).collect()}
     assert got == {i: quality_brute(t) for i, t in rows}
     assert all(not r.kept for r in quality.repetition_coverage(frame(spark, rows)).where("base_failed").collect())
@@ -342,6 +368,17 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
+def test_chat_long_conversation_and_odd_order(spark):
+    """A long conversation among short ones, extra columns, and examples whose rows come back in another order."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(400)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame([(*r, 5, "clash") for r in rows], "conv_id long, turn long, role string, text string, example int, formatted string")
+    e = chat.expand(df)
+    want = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.read_back(e).collect()}
+    assert want[1][0] == 400 and want[2][0] == 1
+    shuffled = e.repartition(3, "example").sortWithinPartitions(F.desc("example"))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.read_back(shuffled, regroup=True).collect()} == want
+
+
 def test_warc_pushdown_and_ranges(spark, tmp_path):
     big = "é" * 900
     pages = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/4", "x"), (5, "http://a/5", "x"), (6, "http://a\r\nb", big + "!")]
@@ -418,6 +455,29 @@ def test_hilbert_curve_steps_by_one():
     assert np.abs(np.diff(p[np.argsort(h)], axis=0)).sum(axis=1).max() == 1
 
 
+def _names_cell(name):
+    return 0 if name is None else zlib.crc32(name.encode()) % 31 + 1
+
+
+def test_assignment_by_brute_force(spark):
+    """Every row's shard and slot, worked out in plain Python from the curve; null ids, repeated rows and clashing names included."""
+    rows = [(i, t, f"s{i % 5}" if i % 7 else None, "en" if i % 3 else None) for i, t in corpus(91)]
+    rows += [(None, "no id", "s1", "de"), (None, "no id", "s1", "de"), (4, rows[4][1], "s4", "en"), (4, "other text", "s4", "en")]
+    df = spark.createDataFrame([(*r, 9, 9, 9, 9) for r in rows], "doc_id long, text string, source string, lang string, shard int, size int, row int, curve int").repartition(5)
+    got = sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in sharding.assign(df, 7).select("row.doc_id", "text_crc32", "shard", "slot").collect())
+    keyed = []
+    for i, t, source, lang in rows:
+        raw = (t or "").encode()
+        size = len(raw) + 8
+        cells = np.array([[_names_cell(source), _names_cell(lang), min(int(np.floor(np.log2(size) * 2)) - 6, 31)]])
+        keyed.append((int(sharding.hilbert_index(cells, 5)[0]), -1 if i is None else i, zlib.crc32(raw), size, str(i)))
+    keyed.sort()
+    n = len(keyed)
+    want = [(i, crc, k * 7 // n, k - -(-(k * 7 // n) * n // 7)) for k, (_, _, crc, _, i) in enumerate(keyed)]
+    assert got == sorted(want)
+    assert Counter(s for _, _, s, _ in want).most_common()[-1][1] >= n // 7
+
+
 def test_shards(spark, tmp_path):
     rows = corpus(77)
     df = frame(spark, rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5)).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en"))
@@ -548,6 +608,12 @@ def test_scores_by_brute_force(spark):
         assert abs(got[i] - 1 / (1 + np.exp(-(a * total[t] + b)))) < 0.02
 
 
+def test_toxicity_reads_long_spans():
+    reader = _reader()
+    assert "moron" in reader.words("x " * 20_000 + "m o r o n" + " y" * 20_000) or reader.cells("m o r o n")
+    assert isinstance(reader.cells("m" * 100_000 + " 1d10t " + "a.b." * 20_000), set)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     same(spark, QUERIES[name], ORACLE[name])

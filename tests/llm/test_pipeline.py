@@ -59,3 +59,21 @@ def test_stages_keep_columns(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert out.count() == 0
     assert F.col("x") is not None
+
+
+def test_stages_with_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage over rows with nulls in every column and columns named like those that operators make."""
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a, "en", None, 5, "s", 7, "k"), (2, a + " more", None, "src", None, None, None, None), (3, None, "fr", "src", 0, "s", 1, "k"), (None, a, "de", "src", 3, "s", 2, "k"), (4, "", None, None, None, None, None, None), (5, a, "en", "x", 1, "s", 3, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, id long, row string")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (4, 1, 0), (5, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert got.columns == docs.columns, name
+        out[name] = sorted(str(r.doc_id) for r in got.collect())
+    everyone = ["1", "2", "3", "4", "5", "None"]
+    assert out["toxicity"] == everyone and out["substring_dedup"] == everyone and out["decontamination"] == everyone and out["bpe"] == everyone
+    assert out["near_dedup"] == ["1", "3", "4", "None"]
