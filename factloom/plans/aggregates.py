@@ -121,14 +121,14 @@ def ag16(t):
 
 @q(
     "ag17_positioning",
-    """SELECT market, len(list(DISTINCT e.actor_id) FILTER (WHERE bucket = 'existing' AND quantity > 47)) AS confirmed, len(list(DISTINCT e.actor_id)) AS named,
-    len(list_filter(list(DISTINCT e.actor_id), lambda x: NOT list_contains(coalesce(list(DISTINCT e.actor_id) FILTER (WHERE bucket = 'existing' AND quantity > 47), []), x))) AS unconfirmed FROM evidence e JOIN parts USING (part_id) GROUP BY 1""",
+    """SELECT market, len(list(DISTINCT e.actor_id) FILTER (WHERE bucket = 'existing')) AS confirmed, len(list(DISTINCT e.actor_id)) AS named,
+    len(list_filter(list(DISTINCT e.actor_id), lambda x: NOT list_contains(coalesce(list(DISTINCT e.actor_id) FILTER (WHERE bucket = 'existing'), []), x))) AS unconfirmed FROM evidence e JOIN parts USING (part_id) GROUP BY 1""",
     "evidence parts",
 )
 def ag17(t):
     e = t.evidence.join(t.parts.select("part_id", "market"), "part_id")
     # a pair (market, actor) first, so that no set of actors is gathered
-    pair = e.groupBy("market", "actor_id").agg(F.bool_or(F.expr("bucket = 'existing' AND quantity > 47")).alias("c"))
+    pair = e.groupBy("market", "actor_id").agg(F.bool_or(F.expr("bucket = 'existing'")).alias("c"))
     return pair.groupBy("market").agg(F.count_if("c").alias("confirmed"), one().alias("named"), F.count_if(~F.col("c")).alias("unconfirmed"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
-from factloom.operators import relations as L
 from factloom.operators import state as X
 
 from .base import Book
@@ -19,17 +18,6 @@ def n():
     return F.count(F.lit(1))
 
 
-@q("tx23_section_role", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'context' WHEN role = 'user' THEN 'heading' WHEN length(text) < 200 THEN 'list' ELSE 'body' END AS section FROM conversations")
-def tx23(t):
-    role = F.when(F.col("role") == "system", "context").when(F.col("role") == "user", "heading").when(F.length("text") < 200, "list").otherwise("body")
-    return t.table("conversations").select("conv_id", "turn", role.alias("section"))
-
-
-@q("tx20_market_inference", "SELECT part_id, coalesce(market, CASE component WHEN 'Brand#1' THEN 'LARGE' WHEN 'Brand#2' THEN 'SMALL' END) AS market FROM parts", "parts")
-def tx20(t):
-    return t.parts.select("part_id", L.infer(F.col("market"), F.col("component"), {"Brand#1": "LARGE", "Brand#2": "SMALL"}).alias("market"))
-
-
 @q("tx34_capability_numbers", "SELECT doc_id, list_sort(list_transform(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT)) AS numbers, len(list_filter(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT NOT BETWEEN 20 AND 1500))::BIGINT AS implausible FROM documents")
 def tx34(t):
     numbers = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{2,4})")), lambda x: x.cast("bigint"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from factloom.functions import dates as D
 from factloom.operators import scores as S
 
+from . import aggregates as AG
+from . import joins as JN
 from .base import Book
 
 book = Book()
@@ -226,19 +228,31 @@ def sc08(t):
     return u.select("queue", "id", S.review_priority(F.col("class"), S.lookup(F.col("queue"), IMPACT, 1), F.col("confidence")).alias("priority"))
 
 
-@q("sc09_marketing_dossier", "SELECT class, count(*) AS actors, count(*) FILTER (WHERE active) AS active, round(avg(balance), 2) AS balance FROM actors GROUP BY 1", "actors")
+_DOSSIER = "SELECT 'positioning' AS section, market AS key, confirmed AS a, named AS b FROM ({ag17_positioning}) UNION ALL SELECT 'demand', segment, total, recent FROM ({ag18_demand}) UNION ALL SELECT 'trend', component, n, cited FROM ({ag19_axis_trend}) UNION ALL SELECT 'movements', event_type, n, users FROM ({ag20_movements}) UNION ALL SELECT 'perimeter', class || '|' || country, n, 0 FROM ({ag21_perimeter}) UNION ALL SELECT 'gaps', gaps, 0, 0 FROM ({ag22_gap_rules})"
+
+
+@q("sc09_marketing_dossier", _DOSSIER.format(**AG.ORACLE))
 def sc09(t):
-    return t.actors.groupBy("class").agg(one().alias("actors"), F.count_if("active").alias("active"), F.round(F.avg("balance"), 2).alias("balance"))
+    """The dossier's six sections in one shape: (section, key, a, b)."""
+    part = lambda df, section, key, a, b: df.select(F.lit(section).alias("section"), key.alias("key"), F.col(a).cast("long").alias("a") if a else F.lit(0).cast("long").alias("a"), F.col(b).cast("long").alias("b") if b else F.lit(0).cast("long").alias("b"))
+    c = F.col
+    out = part(AG.ag17(t), "positioning", c("market"), "confirmed", "named")
+    for x in (part(AG.ag18(t), "demand", c("segment"), "total", "recent"), part(AG.ag19(t), "trend", c("component"), "n", "cited"), part(AG.ag20(t), "movements", c("event_type"), "n", "users"), part(AG.ag21(t), "perimeter", F.concat("class", F.lit("|"), "country"), "n", ""), part(AG.ag22(t), "gaps", c("gaps"), "", "")):
+        out = out.unionByName(x)
+    return out
 
 
-@q(
-    "sc10_feedback_dossier",
-    "SELECT coalesce(d.source, 'gone') AS source, count(*) AS decisions, count(*) FILTER (WHERE quality = 0) AS rejected, count(*) FILTER (WHERE d.doc_id IS NULL) AS rows_gone FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang <> 'de') d USING (doc_id) GROUP BY 1",
-)
+_FEEDBACK = "SELECT 'provenance' AS section, CASE WHEN row_still_exists THEN 'there' ELSE 'gone' END AS key, count(*) AS n FROM ({jn23_provenance}) GROUP BY 1, 2 UNION ALL SELECT 'misses', verdict, count(*) FROM ({jn24_miss_cascade}) GROUP BY 1, 2 UNION ALL SELECT 'terms', CASE WHEN rejected > accepted THEN 'mostly_rejected' ELSE 'mostly_accepted' END, count(*) FROM ({ag23_term_scoreboard}) GROUP BY 1, 2 UNION ALL SELECT 'tally', lang, n FROM ({ag24_tally})"
+
+
+@q("sc10_feedback_dossier", _FEEDBACK.format(**JN.ORACLE, **AG.ORACLE))
 def sc10(t):
-    d = t.table("documents").where("lang <> 'de'").select("doc_id", "source", F.lit(True).alias("there"))
-    j = t.table("labels").join(d, "doc_id", "left")
-    return j.groupBy(F.coalesce("source", F.lit("gone")).alias("source")).agg(one().alias("decisions"), F.count_if(F.col("quality") == 0).alias("rejected"), F.count_if(F.col("there").isNull()).alias("rows_gone"))
+    """What decisions tell: whose rows are still there, what the golden rows miss, which terms are rejected, and a tally."""
+    by = lambda df, section, key: df.groupBy(F.lit(section).alias("section"), key.alias("key")).agg(one().alias("n"))
+    terms = F.when(F.col("rejected") > F.col("accepted"), "mostly_rejected").otherwise("mostly_accepted")
+    out = by(JN.jn23(t), "provenance", F.when(F.col("row_still_exists"), "there").otherwise("gone"))
+    out = out.unionByName(by(JN.jn24(t), "misses", F.col("verdict"))).unionByName(by(AG.ag23(t), "terms", terms))
+    return out.unionByName(AG.ag24(t).select(F.lit("tally").alias("section"), F.col("lang").alias("key"), "n"))
 
 
 @q(

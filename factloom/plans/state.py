@@ -15,46 +15,6 @@ q = book.query
 CUT = "1999-01-01"
 _RANK = "CASE bucket WHEN 'existing' THEN 2 WHEN 'radar' THEN 1 ELSE 0 END"
 
-@q(
-    "tx25_partial_two_of_three",
-    "SELECT evidence_id, (market IS NOT NULL)::INT + (lang IS NOT NULL)::INT + (confidence IS NOT NULL)::INT = 2 AS partial FROM evidence JOIN parts USING (part_id)",
-    "evidence parts",
-)
-def tx25(t):
-    known = sum((F.col(c).isNotNull().cast("int") for c in ("market", "lang", "confidence")), F.lit(0))
-    return t.evidence.join(t.parts.select("part_id", "market"), "part_id").select("evidence_id", (known == 2).alias("partial"))
-
-
-@q(
-    "tx26_confidence_model",
-    """SELECT evidence_id, round(greatest(CASE WHEN date_confidence = 'unknown' THEN 0.45 ELSE 0.70 END, least(0.98, CASE date_confidence WHEN 'published' THEN 0.78 WHEN 'observed_only' THEN 0.70 ELSE 0.55 END + CASE WHEN verbatim THEN 0.05 ELSE 0 END + 0.02 * ((lang IS NOT NULL)::INT + (confidence IS NOT NULL)::INT))), 4)::DOUBLE AS model FROM evidence""",
-    "evidence",
-)
-def tx26(t):
-    base = F.when(F.col("date_confidence") == "published", 0.78).when(F.col("date_confidence") == "observed_only", 0.70).otherwise(0.55)
-    extra = F.when(F.col("verbatim"), 0.05).otherwise(0.0) + 0.02 * (F.col("lang").isNotNull().cast("int") + F.col("confidence").isNotNull().cast("int"))
-    floor = F.when(F.col("date_confidence") == "unknown", 0.45).otherwise(0.70)
-    return t.evidence.select("evidence_id", F.round(F.greatest(floor, F.least(F.lit(0.98), base + extra)), 4).alias("model"))
-
-
-@q("tx28_reject_reasons", "SELECT CASE WHEN NOT verbatim THEN 'not_verbatim' WHEN lang IS NULL THEN 'no_language' WHEN confidence IS NULL THEN 'no_confidence' ELSE 'kept' END AS reason, count(*) AS n FROM evidence GROUP BY 1", "evidence")
-def tx28(t):
-    reason = F.when(~F.col("verbatim"), "not_verbatim").when(F.col("lang").isNull(), "no_language").when(F.col("confidence").isNull(), "no_confidence").otherwise("kept")
-    return t.evidence.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@q(
-    "tx39_block_diff",
-    """WITH a AS (SELECT DISTINCT actor_id, part_id FROM evidence WHERE year(created) = 1998), b AS (SELECT DISTINCT actor_id, part_id FROM evidence WHERE year(created) = 1999)
-    SELECT coalesce(a.actor_id, b.actor_id) AS actor_id, coalesce(a.part_id, b.part_id) AS part_id, CASE WHEN a.actor_id IS NULL THEN 'block_added' ELSE 'block_removed' END AS change FROM a FULL JOIN b ON a.actor_id = b.actor_id AND a.part_id = b.part_id WHERE a.actor_id IS NULL OR b.actor_id IS NULL""",
-    "evidence",
-)
-def tx39(t):
-    year = lambda y, n: t.evidence.where(F.year("created") == y).select("actor_id", "part_id").distinct().withColumn(n, F.lit(True))
-    both = year(1998, "a").join(year(1999, "b"), ["actor_id", "part_id"], "full")
-    return both.where("a IS NULL OR b IS NULL").select("actor_id", "part_id", F.when(F.col("a").isNull(), "block_added").otherwise("block_removed").alias("change"))
-
-
 def _split(t):
     e = t.evidence.select("evidence_id", "actor_id", "part_id", "bucket", "confidence", "lang", "created", "amount")
     return e.where(F.col("created") < CUT), e.where(F.col("created") >= CUT)

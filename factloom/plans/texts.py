@@ -323,7 +323,7 @@ _RELATION = f"""WITH {_WINDOWS}, texts AS (SELECT DISTINCT text FROM w), {found_
   givers AS (SELECT DISTINCT giver FROM w WHERE giver IS NOT NULL), {found_sql("givers", "giver", "giver", _MARKET_RULES, "gf")},
   g AS (SELECT id, min(label) AS given FROM gf GROUP BY 1 HAVING count(*) = 1),
   j AS (SELECT w.block, w.level, w.ord, w.text, CASE WHEN level IN (1, 4) THEN g.given ELSE c.market END AS market, c.component, c.operation, amb, {_pad("w.text")} AS t FROM w JOIN c ON c.id = w.text LEFT JOIN g ON g.id = w.giver),
-  r AS (SELECT block, arg_min(level, struct_pack(a := level, b := ord)) AS level, md5(arg_min(text, struct_pack(a := level, b := ord))) AS window_md5 FROM j
+  r AS (SELECT block, arg_min(level, struct_pack(a := level, b := ord)) AS level, arg_min(text, struct_pack(a := level, b := ord)) AS win FROM j
     WHERE market IS NOT NULL AND component IS NOT NULL AND operation IS NOT NULL AND NOT amb AND NOT {_any(V.NEGATION)} AND {_any(V.PREDICATES)} GROUP BY 1)"""
 _STRENGTH = "CASE level WHEN 0 THEN 'direct' WHEN 1 THEN 'contextual' WHEN 2 THEN 'contextual' WHEN 3 THEN 'structured' ELSE 'page_context' END"
 
@@ -350,7 +350,7 @@ def _relation(t):
     return R.relation(windows, R.labels(texts, _rules(t, "market", "component", "operation")), V.market_of(), V.clusters())
 
 
-@q("tx24_relation_cascade", f"{_RELATION} SELECT block, {_STRENGTH} AS strength, window_md5 FROM r")
+@q("tx24_relation_cascade", f"{_RELATION} SELECT block, {_STRENGTH} AS strength, md5(win) AS window_md5 FROM r")
 def tx24(t):
     return _relation(t).select("block", "strength", F.md5("window").alias("window_md5"))
 
@@ -379,6 +379,106 @@ def tx37(t):
     return here.join(R.labels(here, _rules(t, DOMAIN), "id", "near").select("id").distinct(), "id", "left_semi").select("conv_id", "turn")
 
 
+#: Confidence by a relation's strength; more for the domain and for each further dimension in the window; its bounds.
+BASE = {"direct": 0.78, "structured": 0.74, "contextual": 0.70, "page_context": 0.66, "partial": 0.55}
+FURTHER = ("material", "architecture", "process_technology", "machine_capability")
+
+
+@q(
+    "tx26_confidence_model",
+    f"""{_RELATION}, ws AS (SELECT DISTINCT win FROM r), {found_sql("ws", "win", "win", [r for r in RULES if r[0] in FURTHER], "wf")}, k AS (SELECT id, count(DISTINCT dimension) AS dims, bool_or(dimension = '{DOMAIN}') AS domain FROM wf GROUP BY 1)
+    SELECT block, round(greatest(0.70, least(0.98, CASE {_STRENGTH} {" ".join(f"WHEN '{a}' THEN {b}" for a, b in BASE.items())} END + CASE WHEN coalesce(domain, false) THEN 0.05 ELSE 0 END + 0.02 * coalesce(dims, 0))), 4)::DOUBLE AS confidence FROM r LEFT JOIN k ON k.id = r.win""",
+)
+def tx26(t):
+    """Confidence of a full relation; a partial one may fall to .45 (tx25)."""
+    r = _relation(t).withColumn("wid", F.xxhash64("window"))
+    f = R.labels(r.select("wid", "window").dropDuplicates(["wid"]), _rules(t, *FURTHER), "wid", "window")
+    k = f.groupBy(F.col("id").alias("wid")).agg(F.countDistinct("dimension").alias("dims"), F.bool_or(F.col("dimension") == DOMAIN).alias("domain"))
+    base = F.lit(None).cast("double")
+    for a, b in BASE.items():
+        base = F.when(F.col("strength") == a, b).otherwise(base)
+    c = base + F.when(F.coalesce("domain", F.lit(False)), 0.05).otherwise(0.0) + 0.02 * F.coalesce("dims", F.lit(0))
+    return r.join(k, "wid", "left").select("block", F.round(F.greatest(F.lit(0.70), F.least(F.lit(0.98), c)), 4).alias("confidence"))
+
+
+@q("tx25_partial_two_of_three", f"WITH {_SENTENCE_CORE} SELECT id, (market IS NOT NULL)::INT + (component IS NOT NULL)::INT + (operation IS NOT NULL)::INT = 2 AND NOT amb AND len(markets) <= 1 AND len(components) <= 1 AS partial FROM c")
+def tx25(t):
+    _, c = _sentence_core(t)
+    known = sum((F.col(x).isNotNull().cast("int") for x in ("market", "component", "operation")), F.lit(0))
+    single = (F.size("markets") <= 1) & (F.size("components") <= 1)
+    return c.select(F.concat_ws(":", "id.doc", "id.position").alias("id"), ((known == 2) & ~R.ambiguous(V.clusters()) & single).alias("partial"))
+
+
+@q(
+    "tx28_reject_reasons",
+    f"""WITH {_SENTENCE_CORE}, p AS (SELECT sid, {_pad("sentence")} AS t FROM s), x AS (SELECT CASE WHEN c.id IS NULL OR market IS NULL OR component IS NULL OR operation IS NULL THEN 'relation_too_weak' WHEN amb THEN 'ambiguous_window' WHEN {_any(V.NEGATION)} THEN 'relation_negated' WHEN NOT {_any(V.PREDICATES)} THEN 'relation_no_predicate' ELSE 'kept' END AS reason FROM p LEFT JOIN c ON c.id = p.sid)
+    SELECT reason, count(*) AS n FROM x GROUP BY 1""",
+)
+def tx28(t):
+    each, c = _sentence_core(t)
+    j = each.withColumn("p", R.padded(F.col("sentence"))).select(F.col("sid").alias("id"), "p").join(c.withColumn("amb", R.ambiguous(V.clusters())), "id", "left")
+    weak = F.col("market").isNull() | F.col("component").isNull() | F.col("operation").isNull()
+    reason = F.when(weak, "relation_too_weak").when(F.col("amb"), "ambiguous_window").when(R.negated(F.col("p")), "relation_negated").when(~R.asserted(F.col("p")), "relation_no_predicate").otherwise("kept")
+    return j.groupBy(reason.alias("reason")).agg(n().alias("n"))
+
+
+_PATH = "lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[-_/]', ' ', 'g') || ' ' || regexp_extract(html, '<title>(.*?)</title>', 1))"
+
+
+@q("tx20_url_market", f"WITH u AS (SELECT page_id, {_PATH} AS words FROM pages), {found_sql('u', 'page_id', 'words', _MARKET_RULES)} SELECT id AS page_id, min(label) AS market FROM found GROUP BY 1 HAVING count(*) = 1")
+def tx20(t):
+    """The market that a page's address and title name, if it is only one."""
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "[-_/]", " ")
+    p = t.table("pages").select("page_id", F.lower(F.concat(path, F.lit(" "), F.regexp_extract("html", "<title>(.*?)</title>", 1))).alias("words"))
+    g = R.labels(p, _rules(t, "market"), "page_id", "words").groupBy(F.col("id").alias("page_id")).agg(n().alias("k"), F.min("label").alias("market"))
+    return g.where("k = 1").select("page_id", "market")
+
+
+#: Roles of a section from its heading, in order, and their terms in this vocabulary.
+ROLES = (("publication", ("erre", "eran")), ("news", ("onan", "onnd")), ("project", ("anan", "anin")), ("application", ("then", "thin")), ("service", ("of", "der", "que")))
+
+
+@q("tx23_section_role", f"WITH b AS (SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS heading FROM conversations), p AS (SELECT conv_id, turn, {_pad('heading')} AS t FROM b) SELECT conv_id, turn, CASE {' '.join(f'WHEN {_any(w)} THEN {r!r}' for r, w in ROLES)} ELSE 'content' END AS section FROM p")
+def tx23(t):
+    from pyspark.sql import Window as W
+
+    heading = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    p = t.table("conversations").select("conv_id", "turn", heading.alias("h")).select("conv_id", "turn", R.padded(F.col("h")).alias("t"))
+    role = F.lit("content")
+    for r, terms in reversed(ROLES):
+        role = F.when(R.named(F.col("t"), terms), r).otherwise(role)
+    return p.select("conv_id", "turn", role.alias("section"))
+
+
+_NUMBERS = "list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+'))"
+
+
+@q(
+    "tx39_page_diff",
+    f"""WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS cid, coalesce(text, '') AS text FROM conversations), {found_sql("c", "cid", "text", _CORE_RULES)},
+    l AS (SELECT id, list_distinct(list(label)) AS labels FROM found GROUP BY 1), x AS (SELECT conv_id, turn, list_distinct({sentences_sql("text")}) AS b, coalesce(labels, []) AS l, {_NUMBERS} AS n FROM c LEFT JOIN l ON l.id = cid),
+    v AS (SELECT conv_id, turn, b, l, n, lag(b) OVER w AS pb, lag(l) OVER w AS pl, lag(n) OVER w AS pn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    d AS (SELECT conv_id, turn, 'block_added' AS change, unnest(list_filter(b, lambda y: NOT list_contains(pb, y))) AS value FROM v WHERE pb IS NOT NULL UNION ALL SELECT conv_id, turn, 'block_removed', unnest(list_filter(pb, lambda y: NOT list_contains(b, y))) FROM v WHERE pb IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 'lexicon_term_appeared', unnest(list_filter(l, lambda y: NOT list_contains(pl, y))) FROM v WHERE pb IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 'numeric_spec_changed', array_to_string(list_sort(n), ',') FROM v WHERE pb IS NOT NULL AND list_sort(n) <> list_sort(pn) AND len(n) > 0)
+    SELECT conv_id, turn, change, md5(value) AS value FROM d""",
+)
+def tx39(t):
+    """What a version (turn) has against the one before it: blocks added and removed, labels that appear, numbers that change."""
+    from pyspark.sql import Window as W
+
+    c = t.table("conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.struct("conv_id", "turn"))
+    found = R.labels(c, _rules(t, "market", "component", "operation"), "id", "text").groupBy("id").agg(F.collect_set("label").alias("l"))
+    none = F.array().cast("array<string>")
+    x = c.join(found, "id", "left").select("conv_id", "turn", F.array_distinct(T.sentences(F.col("text"))).alias("b"), F.coalesce("l", none).alias("l"), F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+)")))).alias("n"))
+    w = W.partitionBy("conv_id").orderBy("turn")
+    v = x.withColumns({f"p{k}": F.lag(k).over(w) for k in "bln"}).where("pb IS NOT NULL")
+    kind = lambda name, values: F.transform(values, lambda y: F.struct(F.lit(name).alias("change"), y.alias("value")))
+    numbers = F.when((F.col("n") != F.col("pn")) & (F.size("n") > 0), F.array(F.array_join("n", ","))).otherwise(none)
+    every = F.concat(kind("block_added", F.array_except("b", "pb")), kind("block_removed", F.array_except("pb", "b")), kind("lexicon_term_appeared", F.array_except("l", "pl")), kind("numeric_spec_changed", numbers))
+    return v.select("conv_id", "turn", F.explode(every).alias("d")).select("conv_id", "turn", "d.change", F.md5("d.value").alias("value"))
+
+
 @q(
     "tx13_quote",
     f"""WITH x AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(0, len(l))) AS position, doc_id || ':' || unnest(range(0, len(l))) AS sid FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM documents)),
