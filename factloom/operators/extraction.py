@@ -73,3 +73,35 @@ def proposals(words: DataFrame, rules: DataFrame, word: str, least: int = 2, mos
 def number_text(c: Column) -> Column:
     """A number's text with a point, without trailing zeros behind it."""
     return F.regexp_replace(F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+#: Measures of a capability: name -> (pattern of number and unit, context, least, most, which value counts).
+MEASURES = {
+    "pulse_fs": (r"(\d[\d.,]*)\s*fs\b", "", 100, 1500, "least"),
+    "tolerance_um": (r"±\s*(\d[\d.,]*)\s*(?:µm|um|microns?)", "", 0, 1000, "least"),
+    "feature_um": (r"(\d[\d.,]*)\s*(?:µm|um|microns?)", r"(?i)feature|structure|hole|resolution", 0.5, 200, "least"),
+    "part_mm": (r"(\d[\d.,]*)\s*mm\b", r"(?i)part size|work ?piece|working area|up to", 0, 600, "most"),
+}
+_TOLERANCE = r"±\s*\d[\d.,]*\s*(?:µm|um|microns?|mm)"
+
+
+def measures(texts: DataFrame, group: str, source: str, text: str, table: dict = MEASURES) -> DataFrame:
+    """(group, measure, value, source, implausible): the best plausible value of each measure, and what was written but is out of range.
+
+    A measure counts in texts that name its context; what stands behind a plus-minus sign is a tolerance and nothing else.
+    """
+    from factloom.functions.text import number
+
+    bare = F.regexp_replace(text, _TOLERANCE, " ")
+    value = lambda x: number(F.regexp_replace(x, "[.,]+$", ""))
+
+    def met(name: str, pattern: str, context: str, least: float, most: float, which: str) -> Column:
+        got = F.regexp_extract_all(F.col(text) if "±" in pattern else bare, F.lit(pattern), 1)
+        got = F.when(F.col(text).rlike(context), got).otherwise(F.array().cast("array<string>")) if context else got
+        return F.transform(got, lambda x: F.struct(F.lit(name).alias("measure"), value(x).alias("value"), value(x).between(least, most).alias("fit"), F.lit(which == "most").alias("up")))
+
+    each = [met(name, *rest) for name, rest in table.items()]
+    found = texts.where(F.col(text).isNotNull()).select(F.col(group).alias("_group"), F.col(source).alias("_source"), F.explode(F.concat(*each)).alias("_m")).select("_group", "_source", "_m.*").where("value IS NOT NULL")
+    rank = F.struct(F.when(F.col("up"), -F.col("value")).otherwise(F.col("value")).alias("v"), "_source")
+    best = found.groupBy("_group", "measure").agg(F.min_by(F.struct("value", "_source"), F.when(F.col("fit"), rank)).alias("b"), F.array_sort(F.collect_set(F.when(~F.col("fit"), F.col("value")))).alias("implausible"))
+    return best.select(F.col("_group").alias(group), "measure", "b.value", F.col("b._source").alias(source), "implausible")

@@ -63,3 +63,12 @@ def intensity_level(score: Column) -> Column:
 
 def coverage_level(n: Column) -> Column:
     return F.when(n >= 10, "good").when(n >= 1, "partial").otherwise("weak")
+
+
+def crawl_decision(priority: Column, documents: Column, blocks: Column, errors: Column, sources: Column, unchanged: Column) -> tuple[Column, Column]:
+    """(strategy, anomaly) of a visit: adaptive for priority actors and where nothing was read or half of the sources failed.
+
+    Pages that answer "unchanged" are healthy, though they give no document.
+    """
+    anomaly = (documents + unchanged == 0) | ((unchanged == 0) & (blocks == 0)) | (errors >= F.greatest(F.lit(1), F.floor(sources / 2)))
+    return F.when(priority | anomaly, "adaptive").otherwise("generic"), anomaly

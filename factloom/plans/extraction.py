@@ -49,6 +49,22 @@ def tx35_grade(t):
     return E.best_grade(t.table("documents"), "lang", "doc_id", "text", VERSION, r"class ([0-9]+) never", CONTEXT).select("lang", "grade", "doc_id")
 
 
+#: Numbers with a "unit" that the landed texts have: a version, and two digits or more before a word.
+UNITS = {"version": (r"Version ([0-9]+\.[0-9]+)", CONTEXT, 0, 100, "most"), "quantity": (r"([0-9]{2,4}) [a-z]", "", 20, 1500, "least")}
+
+
+@q(
+    "tx34_measures",
+    """WITH x AS (SELECT source, doc_id, 'version' AS measure, true AS up, unnest(list_transform(regexp_extract_all(text, 'Version ([0-9]+\\.[0-9]+)', 1), lambda x: x::DOUBLE)) AS value FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')
+      UNION ALL SELECT source, doc_id, 'quantity', false, unnest(list_transform(regexp_extract_all(text, '([0-9]{2,4}) [a-z]', 1), lambda x: x::DOUBLE)) FROM documents),
+    y AS (SELECT *, CASE measure WHEN 'version' THEN value BETWEEN 0 AND 100 ELSE value BETWEEN 20 AND 1500 END AS fit FROM x)
+    SELECT source, measure, arg_min(value, struct_pack(a := CASE WHEN up THEN -value ELSE value END, b := doc_id)) FILTER (WHERE fit) AS value, arg_min(doc_id, struct_pack(a := CASE WHEN up THEN -value ELSE value END, b := doc_id)) FILTER (WHERE fit) AS doc_id,
+      coalesce(list_sort(list(DISTINCT value) FILTER (WHERE NOT fit)), []) AS implausible FROM y GROUP BY 1, 2""",
+)
+def tx34(t):
+    return E.measures(t.table("documents"), "source", "doc_id", "text", UNITS)
+
+
 @q("tx36_named_offers")
 def tx36(t):
     p = B.documents(t.table("pages")).select("page_id", F.posexplode("blocks").alias("pos", "b"))

@@ -18,13 +18,6 @@ def n():
     return F.count(F.lit(1))
 
 
-@q("tx34_capability_numbers", "SELECT doc_id, list_sort(list_transform(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT)) AS numbers, len(list_filter(regexp_extract_all(text, '[0-9]{2,4}'), lambda x: x::BIGINT NOT BETWEEN 20 AND 1500))::BIGINT AS implausible FROM documents")
-def tx34(t):
-    numbers = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{2,4})")), lambda x: x.cast("bigint"))
-    d = t.table("documents").select("doc_id", numbers.alias("x"))
-    return d.select("doc_id", F.array_sort("x").alias("numbers"), F.size(F.filter("x", lambda v: ~v.between(20, 1500))).cast("bigint").alias("implausible"))
-
-
 @q("tx41_context_text", "SELECT conv_id, turn, md5(concat_ws(' | ', lag(role) OVER (PARTITION BY conv_id ORDER BY turn), role, text)) AS context FROM conversations")
 def tx41(t):
     before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))

@@ -335,10 +335,17 @@ def sc15(t):
     return act(t.offers.where("review_status = 'pending' AND price > 480000"), "review", "offer_id").unionByName(act(t.actors.where("NOT active AND NOT is_reference"), "revisit", "actor_id")).unionByName(act(t.actors.where("class = ''"), "classify", "actor_id"))
 
 
-@q("sc16_crawl_decision", "SELECT page_id, CASE WHEN length(html) < 1000 THEN 'render' WHEN length(html) < 3000 THEN 'retry' ELSE 'keep' END AS decision FROM pages")
+@q(
+    "sc16_crawl_decision",
+    """WITH v AS (SELECT user_id, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS d, count(*) FILTER (WHERE event_type = 'click') AS b, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) AS s, count(*) FILTER (WHERE event_type = 'signup' AND value > 100) AS u, max(value) > 300 AS p FROM runs GROUP BY 1),
+    x AS (SELECT *, d + u = 0 OR (u = 0 AND b = 0) OR e >= greatest(1, floor(s / 2)) AS anomaly FROM v) SELECT user_id, CASE WHEN p OR anomaly THEN 'adaptive' ELSE 'generic' END AS strategy, anomaly FROM x""",
+    "runs",
+)
 def sc16(t):
-    n = F.length("html")
-    return t.table("pages").select("page_id", F.when(n < 1000, "render").when(n < 3000, "retry").otherwise("keep").alias("decision"))
+    kind = lambda *k: F.count_if(F.col("event_type").isin(*k))
+    v = t.runs.groupBy("user_id").agg(kind("view", "purchase").alias("d"), kind("click").alias("b"), kind("error").alias("e"), one().alias("s"), F.count_if(F.expr("event_type = 'signup' AND value > 100")).alias("u"), (F.max("value") > 300).alias("p"))
+    strategy, anomaly = S.crawl_decision(*[F.col(c) for c in "pdbesu"])
+    return v.select("user_id", strategy.alias("strategy"), anomaly.alias("anomaly"))
 
 
 @q("sc17_offer_sheet", "SELECT actor_id, list_sort(list(DISTINCT component)) AS components, list_sort(list(DISTINCT bucket)) AS buckets FROM evidence JOIN parts USING (part_id) GROUP BY 1", "evidence parts")

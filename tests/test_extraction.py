@@ -48,3 +48,9 @@ def test_proposals_and_numbers(spark):
 def test_transition_log(spark):
     old, new = spark.createDataFrame([(1, "radar"), (2, "radar")], "k int, b string"), spark.createDataFrame([(1, "existing"), (2, "radar"), (3, "radar")], "k int, b string")
     assert [tuple(r) for r in X.transitions(old, new, ["k"], "b").collect()] == [(1, "radar", "existing")]
+
+
+def test_measures_with_units(spark):
+    rows = [("a", "u1", "pulses of 300 fs and 2,5 fs; feature size 5 µm ± 2 µm"), ("a", "u2", "holes of 0.8 um, 250 fs"), ("a", "u3", "up to 1500 mm, working area 400 mm"), ("b", "u4", "thickness 3 µm"), ("b", "u5", None)]
+    got = {(r.g, r.measure): (r.value, r.url, r.implausible) for r in E.measures(spark.createDataFrame(rows, "g string, url string, t string"), "g", "url", "t").collect()}
+    assert got == {("a", "pulse_fs"): (250.0, "u2", [2.5]), ("a", "tolerance_um"): (2.0, "u1", []), ("a", "feature_um"): (0.8, "u2", []), ("a", "part_mm"): (400.0, "u3", [1500.0])}
