@@ -32,11 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where none is set (local tests)."""
+    """The shared folder that spark.checkpoint.dir names; a temporary one only where none is set and all runs in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not shared:
         shared = sc.getCheckpointDir()
+        if not shared and (sc.master != "local" and not sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not shared:
             shared = "file://" + tempfile.mkdtemp(prefix="factloom-")
     if not sc.getCheckpointDir():
@@ -89,11 +91,30 @@ _kept: dict = {}
 def kept(key, make):
     """One large object at a time for each Python worker: what another operator left there goes first."""
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    """Frees what another operator left in this Python worker, which Spark uses again; for functions that keep nothing."""
+    if _kept:
+        _kept.clear()
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+
+
+#: Bytes of an Arrow batch of texts at most, in the JVM and in the worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound for Arrow batches: whole texts are long, and a batch is held several times on its way."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, in place."""
     x ^= x >> _U(30)
