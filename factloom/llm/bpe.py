@@ -2,8 +2,9 @@
 
 A text is cut by the tokenizer's pattern; each distinct piece is encoded once per task memory. Pieces of similar byte
 length form one padded matrix of ids. In each round every row finds its adjacent pair of least rank (the leftmost at a
-tie) through a hashed pair table, merges it and compacts; rows without a mergeable pair leave. Decoding gathers the
-ids' bytes from one flat table.
+tie) through a hashed pair table, merges it and compacts; rows without a mergeable pair leave. A piece of more than LONG
+bytes would take as many rounds as it has bytes: its pairs wait in a heap by rank and place instead, which merges in the same
+order, in time that grows with n log n. Decoding gathers the ids' bytes from one flat table.
 
 Defined cases: null text is empty and gives no ids; texts of any length are encoded whole; rows are independent.
 """
@@ -12,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Distinct chunks whose ids a worker keeps; beyond it the half that was met least goes (results don't change).
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 250_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 19
+#: Bytes of a piece from which its merges are ordered by a heap.
+LONG = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NONE = np.int32(0x7FFFFFFF)
 _SPACED_SPACE = re.compile(r" \s")
@@ -117,9 +121,10 @@ class ChunkMemory:
         codes, is_head = codes[keep], is_head[keep]
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            lead = is_head[missing].tolist()
-            fresh_heads = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if h and names[i] not in self.heads))
-            fresh = list(dict.fromkeys(names[i] for i, h in zip(missing.tolist(), lead, strict=True) if not h))
+            new, lead = [names[i] for i in missing.tolist()], is_head[missing]
+            first = lead.tolist()
+            fresh_heads = list(dict.fromkeys(compress(new, first))) if lead.any() else []
+            fresh = list(dict.fromkeys(compress(new, (~lead).tolist()) if fresh_heads else new))
             flat, size = learn(fresh_heads + [" " + x for x in fresh])
             self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.kept)])
             self.size = np.concatenate([self.size, size])
@@ -128,7 +133,7 @@ class ChunkMemory:
             self.spaced.update(zip(fresh, range(self.n + len(fresh_heads), self.n + len(fresh_heads) + len(fresh)), strict=True))
             self.n += len(size)
             self.met = np.concatenate([self.met, np.zeros(len(size), np.int64)])
-            codes[missing] = [self.heads[names[i]] if h else self.spaced[names[i]] for i, h in zip(missing.tolist(), lead, strict=True)]
+            codes[missing] = [self.heads[x] if h else self.spaced[x] for x, h in zip(new, first, strict=True)] if fresh_heads else list(map(self.spaced.__getitem__, new))
         self.met += np.bincount(codes, minlength=self.n)
         size = self.size[codes]
         sums = np.concatenate([[0], np.cumsum(size)])
@@ -206,6 +211,7 @@ class ByteBPE:
         pairs = [(*p, r) for t, r in ranks.items() if len(t) > 1 and (p := _split(t, ranks, r)) is not None]
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self.pairs = PairTable(left, right, merged)
+        self.merge_of = None
         top = max(ranks.values()) + 1
         table = [b""] * top
         for t, r in ranks.items():
@@ -243,6 +249,31 @@ class ByteBPE:
                 length = length - 1
         return out
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: the leftmost pair of least rank is merged until none is left."""
+        if self.merge_of is None:  # few workers ever need it
+            used = np.flatnonzero(self.pairs.keys != _EMPTY)
+            self.merge_of = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        get, n = self.merge_of.get, len(piece)
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(rank << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, rank, ids[k]))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], rank))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece, by buckets of equal rounded length."""
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
@@ -251,6 +282,8 @@ class ByteBPE:
             whole = self.whole.get(p)
             if whole is not None:
                 out[i] = np.array([whole], np.int32)
+            elif len(p) > LONG:
+                out[i] = self._merge_long(p)
             else:
                 n = len(p)
                 buckets.setdefault(n if n <= 16 else 1 << (n - 1).bit_length(), []).append(i)
@@ -318,6 +351,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(ids)))], ["id", "ids"])
                 at += len(some)
 
+    C.bounded_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {key}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -357,6 +391,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(some)
 
+    C.bounded_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     fields = f"id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields).withColumnRenamed("id", id_col)
