@@ -31,9 +31,10 @@ WIDTH = 5
 THRESHOLD_PCT = 75
 #: Least hashes that a document must hold, by the size partition (power of two) of the item; 1 below the first.
 NEEDED = ((3, 2), (4, 3), (5, 4), (6, 6), (7, 8), (8, 12), (9, 16))
-#: Bits of the table for each signature hash, and the exponent of the largest table (16 MB).
-BITS_EACH = 64
-MOST_BITS = 27
+#: Bits of the table for each signature hash (a document has hundreds of shingles, and few should hit by chance), and the exponent of
+#: the largest table (8 MB); a fuller one lets more documents through to the joins, with the same result.
+BITS_EACH = 1 << 13
+MOST_BITS = 26
 
 _BLANK = r"[ \t\n\x0B\f\r]+"
 
@@ -92,8 +93,9 @@ def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
     """One row: an array of 2**(bits - 6) longs in which the bit of each hash h is set."""
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     words = hashes.groupBy(F.expr(f"cast(shiftrightunsigned(h, {64 - bits + 6}) as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    held = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # 2**(bits - 6) entries at most
-    return held.select(F.transform(F.sequence(F.lit(0), F.lit((1 << (bits - 6)) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("table"))
+    every = hashes.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word"))
+    held = every.join(words, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    return held.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("table"))  # 2**(bits - 6) entries
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -126,8 +128,10 @@ def _candidates(d: DataFrame, held: DataFrame, n: int, short: list[int], most_bi
     bits = max(8, min(most_bits, (n * BITS_EACH).bit_length()))
     table = bit_table(held.select("h").distinct(), bits).scalar()
     there = lambda h: F.getbit(F.element_at("table", F.shiftrightunsigned(h, 64 - bits + 6).cast("int") + 1), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    found = d.withColumn("table", table).select("doc_id", F.xxhash64("text").alias("row"), "text", F.array_distinct(F.filter(_hashes(F.col("text"), short), there)).alias("hs"))
-    return C.cut(found.where(F.size("hs") > 0))
+    # exploded rather than filtered: a filter would be pushed below and work the hashes out a second time
+    hs = F.array_distinct(F.filter(_hashes(F.col("text"), short), there))
+    found = d.withColumn("table", table).select("doc_id", F.xxhash64("text").alias("row"), "text", F.explode(F.filter(F.array(hs), lambda x: F.size(x) > 0)).alias("hs"))
+    return C.cut(found)
 
 
 def op9_minhash_containment(spark, sf_dir: str) -> DataFrame:
