@@ -6,8 +6,9 @@ partition, merged block by block. A window occurs at most as often as its anchor
 pass two leaves only windows whose anchor is counted once: none of them can be repeated. All others are grouped exactly
 by their 64-bit hash (64 bits tell the windows of a corpus apart but for about n**2 / 2**65 chance pairs).
 
-The sketch has a fixed size (SKETCH_ROWS x 2**SKETCH_BITS cells), so what is broadcast doesn't grow; with more text its
-counts get coarser and more windows are grouped exactly, with the same result.
+The sketch is sized from the bytes of the corpus, counted first: about CELLS_EACH cells for an expected anchor in each of SKETCH_ROWS
+rows, between 2**LEAST_BITS and 2**MOST_BITS cells (a bit for each goes to the workers, 64 MB at most). Beyond what the largest
+one holds its counts get coarser and more windows are grouped exactly, with the same result.
 
 Defined cases: null text has no words; a text of fewer words than a window is left alone; windows are judged on the input,
 inside one document too; repeated rows of one document are repeats of each other; other columns pass unchanged.
@@ -25,7 +26,11 @@ from . import common as C
 WINDOW = 35
 GRAM = 10
 SKETCH_ROWS = 4
-SKETCH_BITS = 24
+#: Exponents of the least and largest number of cells of a sketch's row, and cells for each anchor expected.
+LEAST_BITS, MOST_BITS = 22, 27
+CELLS_EACH = 2
+#: Bytes of text for one anchor, about: 13 words of 6.
+BYTES_EACH = 80
 #: Cells of a block: the unit in which sketches are merged.
 BLOCK_BITS = 16
 #: Anchors after which a partition hands on a sketch, so that its memory is bounded.
@@ -60,16 +65,21 @@ class Windows:
             self.anchors = np.empty(0, np.uint64)
 
 
-def _cells(anchors: np.ndarray, row: int) -> np.ndarray:
-    return ((anchors * _MULTS[row]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(n_bytes: int) -> int:
+    """Exponent of the cells of a row for a corpus of so many bytes."""
+    return min(MOST_BITS, max(LEAST_BITS, (n_bytes // BYTES_EACH * CELLS_EACH).bit_length()))
 
 
-def _sketch(anchors: np.ndarray) -> pa.RecordBatch:
+def _cells(anchors: np.ndarray, row: int, size: int) -> np.ndarray:
+    return ((anchors * _MULTS[row]) >> np.uint64(64 - size)).astype(np.int64)
+
+
+def _sketch(anchors: np.ndarray, size: int) -> pa.RecordBatch:
     rows, blocks, once, more = [], [], [], []
     for r in range(SKETCH_ROWS):
-        cells, counts = np.unique(_cells(anchors, r), return_counts=True)
+        cells, counts = np.unique(_cells(anchors, r, size), return_counts=True)
         block = cells >> BLOCK_BITS
-        cuts = np.searchsorted(block, np.arange((1 << (SKETCH_BITS - BLOCK_BITS)) + 1))
+        cuts = np.searchsorted(block, np.arange((1 << (size - BLOCK_BITS)) + 1))
         low = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part, n = low[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
@@ -91,10 +101,11 @@ def _merged(key, frame):
     return pd.DataFrame({"r": [key[0]], "block": [key[1]], "bits": [np.packbits(count > 1).tobytes()]})
 
 
-def repeated_cells(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Bit arrays (SKETCH_ROWS x 2**SKETCH_BITS / 8 bytes): cells counted twice or more over all documents."""
+def repeated_cells(keyed: DataFrame, window: int, gram: int, size: int) -> np.ndarray:
+    """Bit arrays (SKETCH_ROWS x 2**size / 8 bytes): cells counted twice or more over all documents."""
 
     def run(batches):
+        C.release()
         held, n = [], 0
         for b in batches:
             raw, off = C.utf8(b.column(1))
@@ -102,13 +113,13 @@ def repeated_cells(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 held.append(Windows(part, at, window, gram).anchors)
                 n += len(held[-1])
                 if n >= FLUSH:
-                    yield _sketch(np.concatenate(held))
+                    yield _sketch(np.concatenate(held), size)
                     held, n = [], 0
         if n:
-            yield _sketch(np.concatenate(held))
+            yield _sketch(np.concatenate(held), size)
 
     parts = keyed.select("k", "text").mapInArrow(run, "r int, block int, once binary, more binary")
-    out = np.zeros((SKETCH_ROWS, 1 << (SKETCH_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    out = np.zeros((SKETCH_ROWS, 1 << (size - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
     for row in parts.groupBy("r", "block").applyInPandas(_merged, "r int, block int, bits binary").toLocalIterator():
         out[row.r, row.block] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(SKETCH_ROWS, -1)
@@ -121,9 +132,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 def repeated_starts(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k, starts array<int>): the first words of every document's repeated windows. keyed: (k, text)."""
     spark = keyed.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_cells(keyed, window, gram))
+    size = sketch_bits(keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = spark.sparkContext.broadcast(repeated_cells(keyed, window, gram, size))
 
     def candidates(batches, placed: bool):
+        C.release()
         sketch = bits.value
         for b in batches:
             raw, off = C.utf8(b.column(1))
@@ -134,7 +147,7 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                     continue
                 again = np.ones(len(w.anchors), bool)
                 for r in range(SKETCH_ROWS):
-                    cell = _cells(w.anchors, r)
+                    cell = _cells(w.anchors, r, size)
                     again &= (sketch[r][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
                 some = again[w.anchor_of]
                 starts = w.starts[some]
@@ -159,17 +172,19 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(row struct of all input columns, kept_text, n_words, n_removed) for every input row; kept words are joined by one space."""
     spark = docs.sparkSession
+    C.bounded_batches(spark)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(key.alias("k"), F.col(text_col).alias("text"))
     marks = C.cut(repeated_starts(keyed, window, gram))
     C.free_shuffles(spark)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"), F.col(text_col).alias("text"))
-    both = whole.join(marks, "k", "left").select("row", "text", "starts")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    both = whole.join(marks, "k", "left").select("row", "starts")  # the text goes once, inside its row
 
     def run(batches):
+        C.release()
         for b in batches:
-            raw, off = C.utf8(b.column(1))
-            starts = b.column(2)
+            raw, off = C.utf8(b.column(0).field(text_col))
+            starts = b.column(1)
             kept, n_words, n_removed = [], [], []
             for i, j, part, at in C.pieces(raw, off):
                 w = C.Words(part, at)
