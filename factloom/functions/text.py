@@ -69,6 +69,18 @@ def shingles(words: Column, k: int = 3) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
 
 
+def inverted_index(words: Column) -> Column:
+    """(word, at) of each distinct word, at being its places from 0 on."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  # value is worked out once, not in each step of the body
+    entries = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    word = lambda s, k: F.element_at(s, k)["w"]
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (word(s, k) != word(s, F.greatest(k - 1, F.lit(1)))))
+    after = lambda s, b, j: F.coalesce(F.get(b, j + 1), F.size(s) + 1)
+    entry = lambda s, b: F.transform(b, lambda k, j: F.struct(word(s, k).alias("word"), F.transform(F.slice(s, k, after(s, b, j) - k), lambda e: e["i"]).alias("at")))
+    index = let(entries, lambda s: let(starts(s), lambda b: entry(s, b)))
+    return F.when(F.size(words) > 0, index).otherwise(F.when(words.isNotNull(), F.array().cast("array<struct<word:string,at:array<int>>>")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 

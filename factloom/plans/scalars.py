@@ -274,10 +274,10 @@ def fn27(t):
     "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, md5(left(array_to_string(w, ' '), 6000)) AS abstract FROM w",
 )
 def fn28(t):
-    texts = t.table("documents").select("doc_id", "text").repartition("doc_id")  # smaller than its words; both groupings stay where they are
-    index = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.collect_list(F.struct("word", "at")).alias("index"))
-    placed = F.array_sort(F.flatten(F.transform("index", lambda e: F.transform(e["at"], lambda p: F.struct(p.alias("p"), e["word"].alias("w"))))))
-    return index.select("doc_id", F.md5(F.left(F.array_join(F.transform(placed, lambda x: x["w"]), " "), F.lit(6000))).alias("abstract"))
+    """A text's words and their places, and the text rebuilt from them; both in the text's own row, so no word is shuffled."""
+    of = lambda index: F.flatten(F.transform(index, lambda e: F.transform(e["at"], lambda p: F.struct(p.alias("p"), e["word"].alias("w")))))
+    placed = F.sort_array(of(T.inverted_index(F.split("text", " "))))
+    return t.table("documents").select("doc_id", F.md5(F.left(F.array_join(F.transform(placed, lambda x: x["w"]), " "), F.lit(6000))).alias("abstract"))
 
 
 @q("fn29_preferred_language", "SELECT part_id, coalesce(min(lang) FILTER (WHERE lang = 'fr'), min(lang)) AS lang FROM evidence GROUP BY 1", "evidence")

@@ -1,5 +1,6 @@
 """Queries that once read only a part of their input, against the whole of it."""
 
+import hashlib
 import re
 
 import pytest
@@ -37,3 +38,20 @@ def test_roster_match_at_any_place(spark, tmp_path):
     roster = {"the", "der", "les", "que", "of", "un"}
     assert got == {i: next((w for w in re.split(r"[ \t\n\x0B\f\r]+", (t or "").lower()) if w in roster), None) for i, t in enumerate(texts)}
     assert got[0] == "der" and got[5] == "un"
+
+
+def test_index_in_the_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.functions import text as T
+
+    texts = ["a b a", "", None, " x  x ", "word " * 3000 + "end"]
+    folder = documents(spark, tmp_path, texts)
+    df = QUERIES["fn28_inverted_index"](spark, folder)
+    got = {r.doc_id: r.abstract for r in df.collect()}
+    assert got == {i: t if t is None else hashlib.md5(t[:6000].encode()).hexdigest() for i, t in enumerate(texts)}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    words = F.split("text", " ")
+    got = {r.doc_id: r.x and {e.word: e.at for e in r.x} for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", T.inverted_index(words).alias("x")).collect()}
+    want = {i: t if t is None else {w: [p for p, x in enumerate(t.split(" ")) if x == w] for w in t.split(" ")} for i, t in enumerate(texts)}
+    assert got == want
