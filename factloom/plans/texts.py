@@ -230,7 +230,8 @@ _IN_SENTENCES = f"""{_EACH}, m AS (SELECT *, {_MASKED} AS readable FROM s), p AS
 
 
 def _proofs(t):
-    return R.sentence_labels(t.table("documents"), _rules(t, "market", "component"), _lines(), "doc_id", NAMES, _guard)
+    guard = lambda sentence, readable: R.usable(sentence, readable, OFFER_MOST, True)
+    return R.sentence_labels(t.table("documents"), _rules(t, "market", "component"), _lines(), "doc_id", NAMES, guard, denied=V.NEGATION)
 
 
 @q("tx16_sentence_labels", f"WITH {_IN_SENTENCES} SELECT first.id, dimension, label, first.position, md5(sentence) AS proof FROM first JOIN s ON s.doc_id = first.id AND s.position = first.position")
@@ -240,9 +241,9 @@ def tx16(t):
 
 @q("tx33_compiled", f"WITH {_IN_SENTENCES} SELECT a.label AS market, b.label AS component, count(*) AS documents FROM first a JOIN first b ON a.id = b.id AND a.dimension = 'market' AND b.dimension = 'component' GROUP BY 1, 2")
 def tx33(t):
-    f = _proofs(t)
-    a = f.where("dimension = 'market'").select("id", F.col("label").alias("market"))
-    return a.join(f.where("dimension = 'component'").select("id", F.col("label").alias("component")), "id").groupBy("market", "component").agg(n().alias("documents"))
+    of = lambda d: F.collect_set(F.when(F.col("dimension") == d, F.col("label"))).alias(d)
+    pairs = _proofs(t).groupBy("id").agg(of("market"), of("component"))
+    return pairs.select(F.explode("market").alias("market"), "component").select("market", F.explode("component").alias("component")).groupBy("market", "component").agg(n().alias("documents"))
 
 
 @q(
