@@ -279,9 +279,14 @@ def tx19(t):
     return c.select("id", "market", "component", "operation", F.size("markets").alias("markets"), F.size("components").alias("components"))
 
 
+def _sentence_labels(t):
+    """(doc, position, sentence, found, negated, asserted) of every sentence; the labels stay in the row."""
+    each = t.table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(_lines()).alias("position", "sentence"))
+    return R.labelled(each, _rules(t, *R.CORE), "sentence", {"negated": V.NEGATION, "asserted": V.PREDICATES})
+
+
 def _sentence_core(t):
-    each = t.table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(_lines()).alias("position", "sentence")).withColumn("sid", F.struct("doc", "position"))
-    return each, R.core(R.labels(each, _rules(t, "market", "component", "operation"), "sid", "sentence"), V.market_of())
+    return R.core_of(_sentence_labels(t), V.market_of()).withColumn("id", F.concat_ws(":", "doc", "position"))
 
 
 _SENTENCE_CORE = f"{_EACH}, {found_sql('s', 'sid', 'sentence', _CORE_RULES)}, {_core_sql('found')}"
@@ -289,8 +294,7 @@ _SENTENCE_CORE = f"{_EACH}, {found_sql('s', 'sid', 'sentence', _CORE_RULES)}, {_
 
 @q("tx21_ambiguous_window", f"WITH {_SENTENCE_CORE} SELECT id, amb AS ambiguous FROM c")
 def tx21(t):
-    _, c = _sentence_core(t)
-    return c.select(F.concat_ws(":", "id.doc", "id.position").alias("id"), R.ambiguous(V.clusters()).alias("ambiguous"))
+    return _sentence_core(t).select("id", R.ambiguous(V.clusters()).alias("ambiguous"))
 
 
 @q(
@@ -304,11 +308,9 @@ def tx44(t):
     """The first sentence that resolves to its document's own triple, unambiguous, not denied, asserting it."""
     triple = ["market", "component", "operation"]
     whole = R.core(_found(t, *triple), V.market_of()).where("market IS NOT NULL AND component IS NOT NULL AND operation IS NOT NULL").select(F.col("id").alias("doc"), *triple)
-    each, c = _sentence_core(t)
-    same = c.where(~R.ambiguous(V.clusters()) & F.array_contains("markets", F.col("market"))).select("id", F.col("id.doc").alias("doc"), *triple).join(whole, ["doc", *triple], "left_semi")
-    p = F.col("p")
-    ok = each.join(same.select(F.col("id").alias("sid")), "sid", "left_semi").withColumn("p", R.padded(F.col("sentence"))).where(~R.negated(p) & R.asserted(p))
-    return ok.groupBy(F.col("doc").alias("id")).agg(F.min("position").cast("bigint").alias("position"))
+    c = _sentence_core(t).where(~R.ambiguous(V.clusters()) & F.array_contains("markets", F.col("market")) & ~F.col("negated") & F.col("asserted"))
+    own = c.select("doc", "position", *triple).join(whole, ["doc", *triple], "left_semi")
+    return own.groupBy(F.col("doc").alias("id")).agg(F.min("position").cast("bigint").alias("position"))
 
 
 #: A block of a page is a turn of a conversation: its heading is the turn before, its group the conversation, the page's title the first turn.
@@ -404,10 +406,9 @@ def tx26(t):
 
 @q("tx25_partial_two_of_three", f"WITH {_SENTENCE_CORE} SELECT id, (market IS NOT NULL)::INT + (component IS NOT NULL)::INT + (operation IS NOT NULL)::INT = 2 AND NOT amb AND len(markets) <= 1 AND len(components) <= 1 AS partial FROM c")
 def tx25(t):
-    _, c = _sentence_core(t)
     known = sum((F.col(x).isNotNull().cast("int") for x in ("market", "component", "operation")), F.lit(0))
     single = (F.size("markets") <= 1) & (F.size("components") <= 1)
-    return c.select(F.concat_ws(":", "id.doc", "id.position").alias("id"), ((known == 2) & ~R.ambiguous(V.clusters()) & single).alias("partial"))
+    return _sentence_core(t).select("id", ((known == 2) & ~R.ambiguous(V.clusters()) & single).alias("partial"))
 
 
 @q(
@@ -416,11 +417,9 @@ def tx25(t):
     SELECT reason, count(*) AS n FROM x GROUP BY 1""",
 )
 def tx28(t):
-    each, c = _sentence_core(t)
-    j = each.withColumn("p", R.padded(F.col("sentence"))).select(F.col("sid").alias("id"), "p").join(c.withColumn("amb", R.ambiguous(V.clusters())), "id", "left")
     weak = F.col("market").isNull() | F.col("component").isNull() | F.col("operation").isNull()
-    reason = F.when(weak, "relation_too_weak").when(F.col("amb"), "ambiguous_window").when(R.negated(F.col("p")), "relation_negated").when(~R.asserted(F.col("p")), "relation_no_predicate").otherwise("kept")
-    return j.groupBy(reason.alias("reason")).agg(n().alias("n"))
+    reason = F.when(weak, "relation_too_weak").when(R.ambiguous(V.clusters()), "ambiguous_window").when(F.col("negated"), "relation_negated").when(~F.col("asserted"), "relation_no_predicate").otherwise("kept")
+    return R.core_of(_sentence_labels(t), V.market_of(), every=True).groupBy(reason.alias("reason")).agg(n().alias("n"))
 
 
 _PATH = "lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[-_/]', ' ', 'g') || ' ' || regexp_extract(html, '<title>(.*?)</title>', 1))"

@@ -32,12 +32,12 @@ def test_labels_shuffle_nothing(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
 
 
-@pytest.mark.parametrize("name", ["tx04_rule_matches"])
+@pytest.mark.parametrize("name", ["tx04_rule_matches", "tx21_ambiguous_window", "tx25_partial_two_of_three"])
 def test_queries_that_shuffle_nothing(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["tx33_compiled", "tx16_sentence_labels", "tx09_domain_gate", "tx43_match_terms"])
+@pytest.mark.parametrize("name", ["tx28_reject_reasons", "tx33_compiled", "tx16_sentence_labels", "tx09_domain_gate", "tx43_match_terms"])
 def test_queries_that_read_texts_once(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert text.count("FileScan parquet") == 1 and "Join" not in text
