@@ -332,25 +332,25 @@ _STRENGTH = "CASE level WHEN 0 THEN 'direct' WHEN 1 THEN 'contextual' WHEN 2 THE
 
 
 def _relation(t):
+    """Every text is labelled where it stands: a turn for the market it gives to others, then each sentence, pair and group once."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("conv_id").orderBy("turn")
     empty = lambda c: F.coalesce(c, F.lit(""))
-    c = t.table("conversations").select("conv_id", "turn", "text")
-    b = c.select(F.concat_ws(":", "conv_id", "turn").alias("block"), empty(F.col("text")).alias("text"), empty(F.lag("text").over(w)).alias("heading"), empty(F.first("text").over(w)).alias("title"), F.concat_ws(" ", F.lag("text").over(w), "text", F.lead("text").over(w)).alias("grouped"))
+    c = R.labelled(t.table("conversations").select("conv_id", "turn", "text"), _rules(t, "market")).withColumn("gives", F.when(F.size("found") == 1, F.col("found")[0]["label"]))
+    b = c.select(F.concat_ws(":", "conv_id", "turn").alias("block"), empty(F.col("text")).alias("text"), F.lag("gives").over(w).alias("heading"), F.first("gives").over(w).alias("title"), F.concat_ws(" ", F.lag("text").over(w), "text", F.lead("text").over(w)).alias("grouped"))
     b = b.withColumn("ss", T.sentences(F.col("text"))).where(F.size("ss") > 0)
-    kind = lambda level, ord_, text, giver: F.struct(F.lit(level).alias("level"), ord_.cast("int").alias("ord"), text.alias("text"), giver.cast("string").alias("giver"))
-    each = lambda level, text, giver, last=0: F.transform(F.sequence(F.lit(1), F.size("ss") - last), lambda i: kind(level, i, text(i), giver))
+    kind = lambda level, ord_, text: F.struct(F.lit(level).alias("level"), ord_.cast("int").alias("ord"), text.alias("text"))
+    each = lambda level, text, last=0: F.transform(F.sequence(F.lit(1), F.size("ss") - last), lambda i: kind(level, i, text(i)))
     at = lambda i: F.try_element_at("ss", i)
-    pairs = F.when(F.size("ss") > 1, each(2, lambda i: F.concat_ws(" ", at(i), at(i + 1)), F.lit(None), 1)).otherwise(F.array().cast("array<struct<level:int,ord:int,text:string,giver:string>>"))
-    every = F.concat(each(0, at, F.lit(None)), each(1, at, F.col("heading")), pairs, F.array(kind(3, F.lit(1), F.col("grouped"), F.lit(None))), each(4, at, F.col("title")))
-    windows = b.select("block", F.explode(every).alias("w")).select("block", "w.*").withColumn("id", F.xxhash64("text"))
-    # equal texts are labelled once
-    texts = windows.select("id", "text").dropDuplicates(["id"])
-    givers = windows.where("giver IS NOT NULL").select(F.xxhash64("giver").alias("gid"), "giver").dropDuplicates(["gid"])
-    given = R.labels(givers, _rules(t, "market"), "gid", "giver").groupBy(F.col("id").alias("gid")).agg(n().alias("k"), F.min("label").alias("given")).where("k = 1").select("gid", "given")
-    windows = windows.withColumn("gid", F.xxhash64("giver")).join(given, "gid", "left")
-    return R.relation(windows, R.labels(texts, _rules(t, "market", "component", "operation")), V.market_of(), V.clusters())
+    pairs = F.when(F.size("ss") > 1, each(2, lambda i: F.concat_ws(" ", at(i), at(i + 1)), 1)).otherwise(F.array().cast("array<struct<level:int,ord:int,text:string>>"))
+    every = F.concat(each(0, at), pairs, F.array(kind(3, F.lit(1), F.col("grouped"))))
+    windows = b.select("block", "heading", "title", F.explode(every).alias("w")).select("block", "heading", "title", "w.*")
+    found = R.core_of(R.labelled(windows, _rules(t, *R.CORE), "text", {"negated": V.NEGATION, "asserted": V.PREDICATES}), V.market_of())
+    # a sentence stands alone, under its heading and under the page's title
+    under = lambda level, given: F.struct(F.lit(level).alias("level"), given.cast("string").alias("given"))
+    levels = F.when(F.col("level") == 0, F.array(under(0, F.lit(None)), under(1, F.col("heading")), under(4, F.col("title")))).otherwise(F.array(F.struct("level", F.lit(None).cast("string").alias("given"))))
+    return R.strongest(found.withColumn("u", F.explode(levels)).withColumn("level", F.col("u.level")).withColumn("given", F.col("u.given")), V.clusters())
 
 
 @q("tx24_relation_cascade", f"{_RELATION} SELECT block, {_STRENGTH} AS strength, md5(win) AS window_md5 FROM r")
@@ -394,14 +394,13 @@ FURTHER = ("material", "architecture", "process_technology", "machine_capability
 )
 def tx26(t):
     """Confidence of a full relation; a partial one may fall to .45 (tx25)."""
-    r = _relation(t).withColumn("wid", F.xxhash64("window"))
-    f = R.labels(r.select("wid", "window").dropDuplicates(["wid"]), _rules(t, *FURTHER), "wid", "window")
-    k = f.groupBy(F.col("id").alias("wid")).agg(F.countDistinct("dimension").alias("dims"), F.bool_or(F.col("dimension") == DOMAIN).alias("domain"))
+    r = R.labelled(_relation(t), _rules(t, *FURTHER), "window")
+    dims = F.array_distinct(F.transform("found", lambda x: x["dimension"]))
     base = F.lit(None).cast("double")
     for a, b in BASE.items():
         base = F.when(F.col("strength") == a, b).otherwise(base)
-    c = base + F.when(F.coalesce("domain", F.lit(False)), 0.05).otherwise(0.0) + 0.02 * F.coalesce("dims", F.lit(0))
-    return r.join(k, "wid", "left").select("block", F.round(F.greatest(F.lit(0.70), F.least(F.lit(0.98), c)), 4).alias("confidence"))
+    c = base + F.when(F.array_contains(dims, DOMAIN), 0.05).otherwise(0.0) + 0.02 * F.size(dims)
+    return r.select("block", F.round(F.greatest(F.lit(0.70), F.least(F.lit(0.98), c)), 4).alias("confidence"))
 
 
 @q("tx25_partial_two_of_three", f"WITH {_SENTENCE_CORE} SELECT id, (market IS NOT NULL)::INT + (component IS NOT NULL)::INT + (operation IS NOT NULL)::INT = 2 AND NOT amb AND len(markets) <= 1 AND len(components) <= 1 AS partial FROM c")

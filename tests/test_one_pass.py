@@ -43,7 +43,7 @@ def test_queries_that_read_texts_once(spark, name):
     assert text.count("FileScan parquet") == 1 and "Join" not in text
 
 
-@pytest.mark.parametrize("name", [])
+@pytest.mark.parametrize("name", ["tx24_relation_cascade", "tx26_confidence_model"])
 def test_relations_join_no_window(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert text.count("FileScan parquet") == 1 and "Join" not in text
