@@ -168,11 +168,11 @@ def tx10(t):
 
 @q("tx12_maturity", f"WITH d AS (SELECT doc_id AS id, {_pad('text')} AS t FROM documents) SELECT id, CASE {' '.join(f'WHEN {_any(w)} THEN {s!r}' for s, _, w in STAGES)} ELSE 'undetermined' END AS stage, CASE {' '.join(f'WHEN {_any(w)} THEN {b!r}' for _, b, w in STAGES)} ELSE 'unknown' END AS bucket FROM d")
 def tx12(t):
-    d = t.table("documents").select(F.col("doc_id").alias("id"), R.padded(F.col("text")).alias("t"))
+    d = t.table("documents").select(F.col("doc_id").alias("id"), "text")
+    d = R.labelled(d, R.rule_table(t.spark, []), "text", {s: terms for s, _, terms in STAGES})
     stage, bucket = F.lit("undetermined"), F.lit("unknown")
-    for s, b, terms in reversed(STAGES):
-        met = R.named(F.col("t"), terms)
-        stage, bucket = F.when(met, s).otherwise(stage), F.when(met, b).otherwise(bucket)
+    for s, b, _ in reversed(STAGES):
+        stage, bucket = F.when(F.col(s), s).otherwise(stage), F.when(F.col(s), b).otherwise(bucket)
     return d.select("id", stage.alias("stage"), bucket.alias("bucket"))
 
 

@@ -32,7 +32,7 @@ def test_labels_shuffle_nothing(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
 
 
-@pytest.mark.parametrize("name", ["tx04_rule_matches", "tx21_ambiguous_window", "tx25_partial_two_of_three"])
+@pytest.mark.parametrize("name", ["tx04_rule_matches", "tx12_maturity", "tx21_ambiguous_window", "tx25_partial_two_of_three"])
 def test_queries_that_shuffle_nothing(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF))
 
