@@ -365,7 +365,9 @@ def tx29(t):
 
 @q("tx31_career_signal", f"WITH {_FOUND} SELECT DISTINCT found.id FROM found JOIN found_n USING (id) WHERE dimension = '{DOMAIN}' AND {_any(CAREER)}")
 def tx31(t):
-    return _cued(t, CAREER).join(_found(t, DOMAIN).select("id").distinct(), "id", "left_semi")
+    d = t.table("documents").select(F.col("doc_id").alias("id"), "text")
+    f = R.labelled(d, _rules(t, DOMAIN), "text", {"career": CAREER})
+    return f.groupBy("id").agg(F.bool_or("career").alias("career"), F.bool_or(F.size("found") > 0).alias("domain")).where("career AND domain").select("id")
 
 
 @q(
