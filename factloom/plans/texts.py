@@ -130,20 +130,20 @@ def tx09(t):
     return _found(t, DOMAIN).select("id").distinct()
 
 
-def _cued(t, cues):
-    return t.table("documents").select(F.col("doc_id").alias("id"), R.padded(F.col("text")).alias("t")).where(R.named(F.col("t"), cues)).select("id")
+def _gated(t):
+    """A row for each text: whether it passes both negative gates, and what the gates and the domain ask.
 
-
-def _source_only(t, found):
-    """Texts on building the source itself: a cue, and neither operation nor architecture."""
-    named = found.where(F.col("dimension").isin("operation", "architecture")).select("id").distinct()
-    return _cued(t, SOURCE_CUES).join(named, "id", "left_anti")
-
-
-def _instrument_only(t, found):
-    """Texts that measure with it: a cue, and no axis, operation or architecture."""
-    named = found.where(F.col("dimension").isin("operation", "architecture", DOMAIN)).select("id").distinct()
-    return _cued(t, INSTRUMENT_CUES).join(named, "id", "left_anti")
+    source: a text on building the source itself: a cue, and neither operation nor architecture; instrument: one that measures with
+    it: a cue, and no axis, operation or architecture.
+    """
+    d = t.table("documents").select(F.col("doc_id").alias("id"), "text")
+    f = R.labelled(d, _rules(t, "operation", "architecture", DOMAIN), "text", {"source": SOURCE_CUES, "instrument": INSTRUMENT_CUES})
+    of = lambda *dims: F.bool_or(F.exists("found", lambda x: x["dimension"].isin(*dims)))
+    special = F.bool_or(F.exists("found", lambda x: (x["dimension"] == DOMAIN) & ~x["label"].isin(*GENERIC)))
+    cue = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    g = f.groupBy("id").agg(cue("source").alias("s"), cue("instrument").alias("i"), of("operation", "architecture").alias("worked"), of(DOMAIN).alias("domain"), special.alias("special"))
+    source, instrument = F.col("s") & ~F.col("worked"), F.col("i") & ~F.col("worked") & ~F.col("domain")
+    return g.select("id", "special", source.alias("source"), instrument.alias("instrument"))
 
 
 _GATES = f"""source_only AS (SELECT id FROM found_n WHERE {_any(SOURCE_CUES)} AND id NOT IN (SELECT id FROM found WHERE dimension IN ('operation', 'architecture'))),
@@ -152,8 +152,8 @@ _GATES = f"""source_only AS (SELECT id FROM found_n WHERE {_any(SOURCE_CUES)} AN
 
 @q("tx11_negative_gates", f"WITH {_FOUND}, {_GATES} SELECT id, 'source' AS gate FROM source_only UNION ALL SELECT id, 'instrument' FROM instrument_only")
 def tx11(t):
-    f = _found(t, "operation", "architecture", DOMAIN)
-    return _source_only(t, f).withColumn("gate", F.lit("source")).unionByName(_instrument_only(t, f).withColumn("gate", F.lit("instrument")))
+    gate = lambda g: F.when(F.col(g), g)
+    return _gated(t).select("id", F.explode(F.array_compact(F.array(gate("source"), gate("instrument")))).alias("gate"))
 
 
 @q(
@@ -161,9 +161,7 @@ def tx11(t):
     f"WITH {_FOUND}, {_GATES} SELECT DISTINCT id FROM found WHERE dimension = '{DOMAIN}' AND label NOT IN {GENERIC} AND id NOT IN (SELECT id FROM source_only) AND id NOT IN (SELECT id FROM instrument_only)",
 )
 def tx10(t):
-    f = _found(t, "operation", "architecture", DOMAIN)
-    named = f.where((F.col("dimension") == DOMAIN) & ~F.col("label").isin(*GENERIC)).select("id").distinct()
-    return named.join(_source_only(t, f), "id", "left_anti").join(_instrument_only(t, f), "id", "left_anti")
+    return _gated(t).where("special AND NOT source AND NOT instrument").select("id")
 
 
 @q("tx12_maturity", f"WITH d AS (SELECT doc_id AS id, {_pad('text')} AS t FROM documents) SELECT id, CASE {' '.join(f'WHEN {_any(w)} THEN {s!r}' for s, _, w in STAGES)} ELSE 'undetermined' END AS stage, CASE {' '.join(f'WHEN {_any(w)} THEN {b!r}' for _, b, w in STAGES)} ELSE 'unknown' END AS bucket FROM d")

@@ -37,7 +37,7 @@ def test_queries_that_shuffle_nothing(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["tx28_reject_reasons", "tx33_compiled", "tx16_sentence_labels", "tx09_domain_gate", "tx31_career_signal", "tx43_match_terms"])
+@pytest.mark.parametrize("name", ["tx28_reject_reasons", "tx33_compiled", "tx16_sentence_labels", "tx09_domain_gate", "tx10_on_topic", "tx11_negative_gates", "tx31_career_signal", "tx43_match_terms"])
 def test_queries_that_read_texts_once(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert text.count("FileScan parquet") == 1 and "Join" not in text
